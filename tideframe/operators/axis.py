@@ -64,13 +64,13 @@ def _range_sorted(df: DataFrame, order_by: list[str], label: str) -> tuple[DataF
     return stored, part
 
 
-def _offsets(df: DataFrame, rows: list[tuple], names: list[str]) -> DataFrame:
+def _offsets(df: DataFrame, rows: list[tuple], names: list[str], zero: int | float = 0) -> DataFrame:
     """Prefix sums over ranges, one row per range (at most one per shuffle partition)."""
-    running = [0] * len(names)
+    running = [zero] * len(names)
     out = []
     for part, *values in sorted(rows):
         out.append((part, *running))
-        running = [a + (b or 0) for a, b in zip(running, values)]
+        running = [a + (b or zero) for a, b in zip(running, values)]
     schema = f"{_PART} bigint, " + ", ".join(names)
     return df.sparkSession.createDataFrame(out, schema)
 
@@ -100,7 +100,7 @@ def running_totals(df: DataFrame, order_by: list[str], totals: dict[str, str]) -
     keys = list(totals)
     sums = [tuple(r) for r in stored.groupBy(part.alias(_PART)).agg(
         *[F.sum(F.col(q(totals[k])).cast("double")).alias(k) for k in keys]).collect()]
-    offsets = _offsets(df, sums, [f"`_before_{k}` double" for k in keys])
+    offsets = _offsets(df, sums, [f"`_before_{k}` double" for k in keys], 0.0)
     w = Window.partitionBy(_PART).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
     out = stored.withColumn(_PART, part).join(F.broadcast(offsets), _PART)
     out = out.select("*", *[(F.col(q(f"_before_{k}")) + F.sum(F.col(q(totals[k])).cast("double")).over(w)).alias(k)

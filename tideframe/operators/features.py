@@ -6,7 +6,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, WindowSpec, functions as F, types as T
 
 from tideframe.functions import names as N
 from tideframe.functions.names import q
@@ -285,10 +285,9 @@ def ewm(series: Series, cols: list[str], spans: list[int]) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("series_key", F.struct("mean", "last")))).alias("_states")) \
         .withColumnRenamed("block", "_chunk")
     names = {k: N.ewm_name(c, s) for k, (c, s, _) in keys.items()}
-    schema = df.drop("_chunk").schema
-    for label in names.values():
-        schema = schema.add(label, "double")
-    out_cols = [f.name for f in schema.fields]
+    schema = T.StructType([*df.drop("_chunk").schema.fields,
+                           *[T.StructField(label, T.DoubleType()) for label in names.values()]])
+    out_cols = schema.names
 
     def apply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values(ORD).reset_index(drop=True)

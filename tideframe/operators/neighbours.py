@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tideframe import staging
 
@@ -53,7 +53,8 @@ def merged(points: DataFrame, payload: dict[str, Column]) -> DataFrame:
 
 def assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Adds the nearest pivot and the distance to it."""
-    schema = df.schema.add("cell", "int").add("reach", "double")
+    schema = T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType()),
+                           T.StructField("reach", T.DoubleType())])
 
     def nearest(batches):
         for pdf in batches:
@@ -79,7 +80,7 @@ def build_cells(base: DataFrame, seed: int = 42) -> tuple[DataFrame, Cells]:
 
 def visit(queries: DataFrame, cells: Cells, reach: str) -> DataFrame:
     """One row per (query, cell) that may hold a point within ``reach`` of the query."""
-    schema = queries.schema.add("target", "int")
+    schema = T.StructType([*queries.schema.fields, T.StructField("target", T.IntegerType())])
     full = np.flatnonzero(cells.counts)
 
     def candidates(batches):
