@@ -8,6 +8,7 @@ normal equations all read from these sums.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,17 +21,28 @@ MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 _SCHEMA = "x string, y string, " + ", ".join(f"{m} double" for m in MOMENTS)
 
 
-def centres(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, int, int]]:
-    """Per column: a shift near its mean (exact for a constant), nulls, rows."""
+@dataclass(frozen=True)
+class ColumnSummary:
+    """What one pass tells about a column."""
+
+    shift: float
+    nulls: int
+    rows: int
+    variance: float | None
+
+
+def centres(df: DataFrame, cols: list[str]) -> dict[str, ColumnSummary]:
+    """Per column: a shift near its mean (exact for a constant), nulls, rows, population variance."""
     if not cols:
         return {}
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(cols):
         x = clean_double(F.col(q(c)))
         aggs += [F.when(F.min(x) == F.max(x), F.min(x)).otherwise(F.avg(x)).alias(f"m{i}"),
-                 F.count(x).alias(f"k{i}")]
+                 F.count(x).alias(f"k{i}"), F.var_pop(x).alias(f"v{i}")]
     row = df.agg(*aggs).first()
-    return {c: (row[f"m{i}"] or 0.0, row["rows"] - row[f"k{i}"], row["rows"]) for i, c in enumerate(cols)}
+    return {c: ColumnSummary(row[f"m{i}"] or 0.0, row["rows"] - row[f"k{i}"], row["rows"], row[f"v{i}"])
+            for i, c in enumerate(cols)}
 
 
 def cross_moments(df: DataFrame, xs: list[str], ys: list[str], shift: dict[str, float]) -> DataFrame:
@@ -66,24 +78,25 @@ def correlations(df: DataFrame, xs: list[str], ys: list[str] | None = None) -> D
     """(x, y, n, r) for every pair."""
     ys = xs if ys is None else ys
     info = centres(df, list(dict.fromkeys([*xs, *ys])))
-    sums = cross_moments(df, xs, ys, {c: m for c, (m, _, _) in info.items()})
+    sums = cross_moments(df, xs, ys, {c: s.shift for c, s in info.items()})
     return sums.select("x", "y", F.col("n").cast("bigint").alias("n"), correlation().alias("r"))
 
 
-def correlation_matrix(df: DataFrame, cols: list[str], null_mode: str = "pairwise") -> np.ndarray:
+def correlation_matrix(df: DataFrame, cols: list[str], null_mode: str = "pairwise",
+                       info: dict[str, ColumnSummary] | None = None) -> np.ndarray:
     """p x p matrix on the driver. ``strict`` voids a column that has any null."""
     p = len(cols)
     out = np.full((p, p), np.nan)
     if not p:
         return out
-    info = centres(df, cols)
+    info = info or centres(df, cols)
     at = {c: i for i, c in enumerate(cols)}
-    sums = cross_moments(df, cols, cols, {c: m for c, (m, _, _) in info.items()})
+    sums = cross_moments(df, cols, cols, {c: info[c].shift for c in cols})
     for r in sums.select("x", "y", correlation().alias("r")).collect():
         if r["r"] is not None:
             out[at[r["x"]], at[r["y"]]] = min(1.0, max(-1.0, r["r"]))
     if null_mode == "strict":
-        for c, (_, nulls, _) in info.items():
-            if nulls:
+        for c in cols:
+            if info[c].nulls:
                 out[at[c], :] = out[:, at[c]] = math.nan
     return out

@@ -74,13 +74,13 @@ def forest(ctx: FitContext, p: dict) -> Estimator:
 
 def boosting(ctx: FitContext, p: dict) -> Estimator:
     cls = R.GBTRegressor if ctx.task == REGRESSION else C.GBTClassifier
-    one = cls(maxIter=p.get("n_rounds", 40), stepSize=p.get("rate", 0.05), maxDepth=p.get("max_depth", 5),
+    one = cls(maxIter=p.get("n_rounds", 100), stepSize=p.get("rate", 0.05), maxDepth=p.get("max_depth", 5),
               minInstancesPerNode=p.get("min_leaf", 20), subsamplingRate=p.get("subsample", 1.0), seed=ctx.seed)
     return C.OneVsRest(classifier=one) if ctx.task == CLASSIFICATION and ctx.n_classes > 2 else one
 
 
 def linear_svc(ctx: FitContext, p: dict) -> Estimator:
-    one = C.LinearSVC(regParam=1.0 / (ctx.n * p.get("C", 10.0)), maxIter=200)
+    one = C.LinearSVC(regParam=1.0 / (ctx.n * p.get("C", 10.0)), maxIter=p.get("max_iter", 200))
     return C.OneVsRest(classifier=one) if ctx.n_classes > 2 else one
 
 
@@ -241,7 +241,7 @@ def prepare(series: Series, target: str, features: list[str], where, cfg: FitCon
     """Fit preprocessing, then selection, on the rows of ``where`` only."""
     train = part_of(series, where)
     numeric, categorical = P.column_types(series, features)
-    fitted = P.fit(train, numeric, categorical, cfg.prep)
+    fitted, filled = P.fit_filled(train, numeric, categorical, cfg.prep)
     if cfg.task == CLASSIFICATION and classes is None:
         found = train.df.select(q(target)).where(F.col(q(target)).isNotNull()).distinct().limit(MAX_CLASSES + 1).collect()
         if len(found) > MAX_CLASSES:
@@ -250,12 +250,14 @@ def prepare(series: Series, target: str, features: list[str], where, cfg: FitCon
     names = fitted.output_columns
     out = Prepared(fitted, names, target, cfg.task, classes or [], None, None)
     if cfg.fold_selection and names:
-        ready = fitted.transform(train, [target])
+        ready = fitted.finish(filled, [target])
         chosen = S.select_features(ready, names, target, cfg.task, cfg.top_k, cfg.corr_threshold,
                                    cfg.min_variance, compute_mi=bool(cfg.top_k)).names
         out.names = chosen or names
-    out.frame = out.assemble(train).where(F.col("label").isNotNull()).persist()
+    labelled = filled.withColumn("label", out.label())
+    out.frame = out.pack(labelled, [ORD, train.ts, "label"]).where(F.col("label").isNotNull()).persist()
     r = out.frame.agg(F.count(F.lit(1)), F.stddev_pop("label")).first()
+    filled.unpersist()
     out.context = FitContext(cfg.task, r[0], r[1] or 0.0, len(out.names), len(out.classes), cfg.seed)
     return out
 

@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tideframe import staging
 
-MAX_PIVOTS = 1_024
+MAX_PIVOTS = 4_096
+CELL_ROWS = 1_024
 BASE_BLOCK = 4_096
 QUERY_BLOCK = 2_048
 
@@ -68,7 +69,7 @@ def assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
 def build_cells(base: DataFrame, seed: int = 42) -> tuple[DataFrame, Cells]:
     """Pivots drawn by hash, every base point assigned and stored."""
     n = base.count()
-    m = max(1, min(MAX_PIVOTS, int(math.sqrt(n))))
+    m = max(1, min(MAX_PIVOTS, n // CELL_ROWS))
     drawn = base.orderBy(F.xxhash64("pid", F.lit(seed)), "pid").limit(m).select("vec").collect()
     pivots = np.array([r["vec"] for r in drawn], dtype=float).reshape(len(drawn), -1)
     placed = staging.store(assign(base, pivots), "cells")
@@ -160,11 +161,13 @@ def knn(queries: DataFrame, base: DataFrame, cells: Cells, k: int, payload: dict
         before = F.coalesce(F.sum("weight").over(closest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
         return found.withColumn("before", before).where(F.col("before") < k)
 
-    placed = assign(queries, cells.pivots)
-    own = placed.withColumn("target", F.col("cell"))
+    own = assign(queries, cells.pivots).withColumn("target", F.col("cell"))
+    if np.count_nonzero(cells.counts) <= 1:
+        return best(in_blocks(own, base, cells, fold, schema))
+    own = staging.store(own, "queries")
     first = staging.store(best(in_blocks(own, base, cells, fold, schema)), "knn")
     known = first.groupBy("pid").agg(F.sum("weight").alias("got"), F.max("dist").alias("far"))
-    bound = placed.join(known, "pid", "left").withColumn("limit", F.when(F.col("got") >= k, F.col("far")))
+    bound = own.drop("target").join(known, "pid", "left").withColumn("limit", F.when(F.col("got") >= k, F.col("far")))
     more = visit(bound.drop("got", "far"), cells, "limit").where(F.col("target") != F.col("cell"))
-    second = in_blocks(more.drop("limit"), base, cells, fold, schema)
+    second = in_blocks(staging.store(more.drop("limit"), "queries"), base, cells, fold, schema)
     return best(first.drop("before").unionByName(second))

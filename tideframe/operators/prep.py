@@ -13,6 +13,7 @@ from tideframe.operators import axis
 from tideframe.operators.axis import ORD, Series
 
 RARE_SHARE = 0.01
+ROWS_PER_PARTITION = 25_000
 NUMERIC_IMPUTERS = ("ffill", "median", "mean", "zero", "interpolate")
 # The interpolating imputer looks ahead in spirit; it fills with the median here too.
 LOOKS_AHEAD = frozenset({"interpolate"})
@@ -118,6 +119,14 @@ def onehot_name(col: str, level: str) -> str:
 
 def fit(train: Series, numeric: list[str], categorical: list[str], cfg: PreprocessConfig | None = None) -> FittedPrep:
     """Learn every statistic from the rows of ``train`` and nothing else."""
+    out, filled = fit_filled(train, numeric, categorical, cfg)
+    filled.unpersist()
+    return out
+
+
+def fit_filled(train: Series, numeric: list[str], categorical: list[str],
+               cfg: PreprocessConfig | None = None) -> tuple[FittedPrep, DataFrame]:
+    """The same, with the filled training rows, persisted: later steps need them too."""
     cfg = cfg or PreprocessConfig()
     if cfg.impute_numeric not in NUMERIC_IMPUTERS:
         raise ValueError(f"unknown imputer {cfg.impute_numeric}")
@@ -130,8 +139,8 @@ def fit(train: Series, numeric: list[str], categorical: list[str], cfg: Preproce
         out.fill = {c: r[i] if r[i] is not None else 0.0 for i, c in enumerate(numeric)}
     else:
         out.fill = {c: v if v is not None else 0.0 for c, v in medians(train.df, xs).items()}
+    filled = compact(out.impute(train), train.n).persist()
     if numeric and (cfg.clip_outliers or cfg.scaler in ("standard", "robust")):
-        filled = out.impute(train)
         if cfg.clip_outliers:
             cuts = exact_quantiles(filled, {c: F.col(q(c)) for c in numeric}, list(cfg.clip_quantiles))
             out.clip = {c: (v[0], v[1]) for c, v in cuts.items() if v[0] is not None}
@@ -147,7 +156,14 @@ def fit(train: Series, numeric: list[str], categorical: list[str], cfg: Preproce
             out.scale = {c: (v[2] - v[0]) if v[0] is not None and v[2] > v[0] else 1.0 for c, v in cuts.items()}
     for c in categorical:
         _fit_levels(out, train.df, c)
-    return out
+    return out, filled
+
+
+def compact(df: DataFrame, at_most: int) -> DataFrame:
+    """Few partitions for few rows: iterative fits run one task per partition and
+    step. Anything beyond a few partitions' worth of rows is left as it is."""
+    wanted = max(1, -(-at_most // ROWS_PER_PARTITION))
+    return df.coalesce(wanted) if wanted < df.sparkSession.sparkContext.defaultParallelism else df
 
 
 def _fit_levels(out: FittedPrep, df: DataFrame, c: str) -> None:

@@ -137,8 +137,8 @@ def correlated_pairs(df: DataFrame, cols: list[str] | None = None, threshold: fl
     if len(cols) < 2:
         return spark.createDataFrame([], schema)
     info = gram.centres(df, cols)
-    sums = gram.cross_moments(df, cols, cols, {c: m for c, (m, _, _) in info.items()})
-    about = spark.createDataFrame([(c, i, info[c][1]) for i, c in enumerate(cols)], "c string, at int, nulls bigint")
+    sums = gram.cross_moments(df, cols, cols, {c: s.shift for c, s in info.items()})
+    about = spark.createDataFrame([(c, i, info[c].nulls) for i, c in enumerate(cols)], "c string, at int, nulls bigint")
     a = about.select(F.col("c").alias("x"), F.col("at").alias("at_x"), F.col("nulls").alias("nulls_x"))
     b = about.select(F.col("c").alias("y"), F.col("at").alias("at_y"), F.col("nulls").alias("nulls_y"))
     pairs = sums.join(F.broadcast(a), "x").join(F.broadcast(b), "y").where("at_x < at_y")

@@ -30,12 +30,11 @@ class Selection:
 
 def spread(df: DataFrame, cols: list[str]) -> dict[str, tuple[float | None, float]]:
     """Population variance and missing share per column, one pass."""
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, c in enumerate(cols):
-        x = clean_double(F.col(q(c)))
-        aggs += [F.var_pop(x).alias(f"v{i}"), F.count(x).alias(f"k{i}")]
-    r = df.agg(*aggs).first()
-    return {c: (r[f"v{i}"], 1 - r[f"k{i}"] / r["rows"] if r["rows"] else 0.0) for i, c in enumerate(cols)}
+    return _spread(gram.centres(df, cols))
+
+
+def _spread(info: dict[str, gram.ColumnSummary]) -> dict[str, tuple[float | None, float]]:
+    return {c: (s.variance, s.nulls / s.rows if s.rows else 0.0) for c, s in info.items()}
 
 
 def correlated_away(matrix: np.ndarray, threshold: float) -> dict[int, int]:
@@ -98,7 +97,8 @@ def select_features(df: DataFrame, cols: list[str] | None, target: str, task: st
     out of the correlation step, ``pairwise`` uses the rows both know.
     """
     names = cols if cols is not None else numeric_columns(df, ("ts", ORD, target))
-    stats = spread(df, names) if names else {}
+    info = gram.centres(df, names)
+    stats = _spread(info)
     reason, status = {}, {c: "selected" for c in names}
     alive = []
     for c in names:
@@ -108,7 +108,7 @@ def select_features(df: DataFrame, cols: list[str] | None, target: str, task: st
         else:
             status[c] = "removed"
             reason[c] = f"variance {'none' if v is None else format(v, '.3g')} <= {min_variance:g}"
-    matrix = gram.correlation_matrix(df, alive, null_mode) if len(alive) > 1 else np.ones((len(alive),) * 2)
+    matrix = gram.correlation_matrix(df, alive, null_mode, info) if len(alive) > 1 else np.ones((len(alive),) * 2)
     for j, i in correlated_away(matrix, corr_threshold).items():
         status[alive[j]] = "removed"
         reason[alive[j]] = f"|corr| >= {corr_threshold:g} with {alive[i]}"

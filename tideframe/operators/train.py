@@ -45,6 +45,7 @@ class TrainConfig:
     champion_metric: str = "R2"
     ensemble_threshold: float = 0.03
     tune: TuneConfig = TuneConfig()
+    params: dict[str, dict] = field(default_factory=dict)
     threads: int = MAX_THREADS
 
     @property
@@ -165,7 +166,7 @@ def train_all(series: Series, target: str, features: list[str], split: SP.Split,
             try:
                 spec = known[name]
                 params = tune(series, target, features, rng, spec, cfg, classes) if cfg.tune.applies_to(name) else {}
-                pipe = M.fit(ready, spec, params)
+                pipe = M.fit(ready, spec, {**cfg.params.get(name, {}), **params})
                 out = [staging.store(_tagged(pipe.predict_vectors(df), name, part, number), "predictions")
                        for part, df in assembled.items()]
                 return name, pipe, params, out, None, time.perf_counter() - start
@@ -356,7 +357,7 @@ def random_vs_time(series: Series, target: str, features: list[str], names: list
     for label, s, fit_on, test_on in plans:
         ready = M.prepare(s, target, features, fit_on, cfg.fit)
         for name in [n for n in names if n in M.zoo(cfg.task)]:
-            pipe = M.fit(ready, M.ZOO[name])
+            pipe = M.fit(ready, M.ZOO[name], cfg.params.get(name))
             stored.append(staging.store(_tagged(pipe.predict(M.part_of(s, test_on)), name, label, 0, DIAGNOSTIC),
                                         "predictions"))
         classes = len(ready.classes)

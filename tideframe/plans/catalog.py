@@ -777,9 +777,13 @@ def components(spark, sf):
 
 # --- learnt models ---------------------------------------------------------------------------------------
 
+# Small settings for the slow learners, so that one run of the catalogue stays short.
+LIGHT = {"GradientBoosting": {"n_rounds": 10}, "RandomForest": {"n_trees": 20}, "MLP": {"hidden": (16,), "max_iter": 30}, "SVM": {"max_iter": 20}}
+
+
 def _training(spark, sf):
     s = timeaxis.with_target(hourly(spark, sf), "purchase")
-    cfg = T.TrainConfig(split=SP.SplitConfig(n_splits=3, gap=2), threads=4)
+    cfg = T.TrainConfig(split=SP.SplitConfig(n_splits=3, gap=2), params=LIGHT)
     return s, SP.three_way(s.n, 0.2, 0.15, 2), cfg
 
 
@@ -796,7 +800,7 @@ def classifier_leaderboard(spark, sf):
         .select("doc_id", "n_chars", "lang", "source", "quality").withColumn("ts", F.col("doc_id"))
     s = axis.ordinal(rows, ["doc_id"])
     cfg = T.TrainConfig(fit=M.FitConfig(task=scores.CLASSIFICATION, fold_selection=False), champion_metric="F1",
-                        split=SP.SplitConfig(n_splits=2), threads=4)
+                        split=SP.SplitConfig(n_splits=2), params=LIGHT)
     names = ["LogisticRegression", "DecisionTree", "RandomForest", "GradientBoosting", "SVM", "MLP", "KNN"]
     return shown(T.train_all(s, "quality", ["n_chars", "lang", "source"], SP.three_way(s.n), names, cfg)
                  .leaderboard.drop("fit_seconds"))
