@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Below this many rows the built-in exact percentile is used: its state is one
-# entry per distinct value and is held by a single task.
-SMALL_ROWS = 1_000_000
-# A bracket with at most this many distinct values is read to the driver.
-BRACKET_VALUES = 20_000
+# Up to this many values (rows x columns) the built-in exact percentile is used:
+# its state, one entry per distinct value, is held by a single task.
+SMALL_VALUES = 2_000_000
+# A gap between cut points with at most this many rows is read to the driver.
+GAP_ROWS = 5_000
 _ACCURACY = 10_000
+_MARGIN = 2.0 / _ACCURACY
 
 
 def clean_double(col: Column) -> Column:
@@ -20,107 +23,203 @@ def clean_double(col: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 
+def bucketed(df: DataFrame, edges: dict[str, list[float]], outputs: dict[str, str], equal: bool = False) -> DataFrame:
+    """Adds the number of edges under each value (a binary search in the JVM).
+
+    With ``equal`` the number is twice that, plus one for a value on an edge.
+    NULL values keep a number of their own; filter them by the value.
+    """
+    splits = {}
+    for c, cuts in edges.items():
+        points: list[float] = []
+        for e in sorted(set(cuts)):
+            for p in ((e, math.nextafter(e, math.inf)) if equal else (math.nextafter(e, math.inf),)):
+                points.append(p)
+        splits[c] = [-math.inf, *points, math.inf]
+    cols = list(edges)
+    return Bucketizer(splitsArray=[splits[c] for c in cols], inputCols=cols, outputCols=[outputs[c] for c in cols],
+                      handleInvalid="keep").transform(df)
+
+
 def exact_quantiles(
     df: DataFrame,
     exprs: dict[str, Column],
     probs: list[float],
-    small_rows: int | None = None,
+    small_values: int | None = None,
+    rows_at_most: int | None = None,
 ) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles of each expression, NULLs skipped.
 
     Small inputs use ``percentile``. Larger ones close in on each order
-    statistic: a mergeable sketch proposes a bracket, an exact count confirms
-    it, and the loop repeats inside the bracket until few values are left. No
-    task ever holds more than a sketch, and heavy ties close a bracket at once.
+    statistic: a mergeable sketch proposes cut points, one pass counts the rows
+    between them exactly, and the loop repeats inside the gap that holds the
+    rank until few rows are left there. No task ever holds more than a sketch,
+    and a value that fills a gap settles it at once. ``rows_at_most`` is the
+    caller's bound on the rows; without one the input counts as large.
     """
-    limit = SMALL_ROWS if small_rows is None else small_rows
+    limit = SMALL_VALUES if small_values is None else small_values
     if not exprs:
         return {}
     names = list(exprs)
-    work = df.select(*[clean_double(exprs[k]).alias(f"q{i}") for i, k in enumerate(names)])
-    counts = work.agg(*[F.count(f"q{i}").alias(f"q{i}") for i in range(len(names))]).first()
-    if max(counts) <= limit:
+    # Adding 0 makes negative zero zero.
+    work = df.select(*[(clean_double(exprs[k]) + 0.0).alias(f"q{i}") for i, k in enumerate(names)])
+    if rows_at_most is not None and rows_at_most * len(names) <= limit:
         grid = F.array(*[F.lit(float(p)) for p in probs])
         row = work.agg(*[F.percentile(f"q{i}", grid).alias(f"q{i}") for i in range(len(names))]).first()
         return {k: list(row[i]) if row[i] is not None else [None] * len(probs)
                 for i, k in enumerate(names)}
+    return _closing_in(work, names, probs)
+
+
+@dataclass(frozen=True)
+class _Gap:
+    """Rows strictly between two cut points: ``before`` rows lie at or under the
+    lower one, ``inside`` between them."""
 
-    ranks: dict[tuple[int, int], None] = {}
+    low: float
+    high: float
+    before: int
+    inside: int
+
+
+def _closing_in(work: DataFrame, names: list[str], probs: list[float]) -> dict[str, list[float | None]]:
+    # The first pass counts and sketches at once: ranks are shares of a count not known yet.
+    sides = sorted({min(max(p + side, 0.0), 1.0) for p in probs for side in (-_MARGIN, _MARGIN)})
+    first = work.agg(*[e for i in range(len(names)) for e in (
+        F.count(f"q{i}").alias(f"n{i}"), _sketch(F.col(f"q{i}"), sides).alias(f"g{i}"))]).first()
+    counts = [first[f"n{i}"] for i in range(len(names))]
+    cuts = [_apart(sorted(set(first[f"g{i}"] or []))) for i in range(len(names))]
     wanted: dict[tuple[int, int], tuple[int, int, float]] = {}
-    for i in range(len(names)):
+    for i, n in enumerate(counts):
         for j, p in enumerate(probs):
-            if counts[i] == 0:
-                continue
-            h = (counts[i] - 1) * p
-            lo = int(math.floor(h))
-            hi = min(lo + 1, counts[i] - 1)
-            wanted[(i, j)] = (lo, hi, h - lo)
-            ranks[(i, lo)] = None
-            ranks[(i, hi)] = None
-    found = _order_statistics(work, list(ranks), list(counts))
+            h = (n - 1) * p
+            if n:
+                wanted[(i, j)] = (math.floor(h), min(math.floor(h) + 1, n - 1), h - math.floor(h))
+    ranks = [{r for (i, _), (lo, hi, _) in wanted.items() if i == c for r in (lo, hi)} for c in range(len(names))]
+    found: list[dict[int, float]] = [{} for _ in names]
+    gaps: list[dict[_Gap, set[int]]] = [
+        {_Gap(-math.inf, math.inf, 0, n): r} if r else {} for r, n in zip(ranks, counts)]
+    while any(gaps):
+        tallies = _tally(work, cuts)
+        gaps = [_narrow(g, cuts[i], tallies[i], found[i]) for i, g in enumerate(gaps)]
+        small = [{g: r for g, r in per.items() if g.inside <= GAP_ROWS} for per in gaps]
+        if any(small):
+            _read_gaps(work, small, found)
+        gaps = [{g: r for g, r in per.items() if g.inside > GAP_ROWS} for per in gaps]
+        if any(gaps):
+            cuts = _propose(work, gaps)
     out: dict[str, list[float | None]] = {k: [None] * len(probs) for k in names}
     for (i, j), (lo, hi, frac) in wanted.items():
-        a, b = found[(i, lo)], found[(i, hi)]
+        a, b = found[i][lo], found[i][hi]
         out[names[i]][j] = a + (b - a) * frac
     return out
 
 
-def _order_statistics(
-    work: DataFrame, targets: list[tuple[int, int]], counts: list[int]
-) -> dict[tuple[int, int], float]:
-    """The value at each 0-based (column, rank)."""
-    # target -> open bracket (low, high), rows up to low, rows under high
-    brackets = {t: (float("-inf"), float("inf"), 0, counts[t[0]]) for t in targets}
-    found: dict[tuple[int, int], float] = {}
-    while True:
-        for t, (lo, hi, below, under) in list(brackets.items()):
-            if under - below > BRACKET_VALUES:
-                continue
-            c = F.col(f"q{t[0]}")
-            seen = below
-            for r in work.where((c > lo) & (c < hi)).groupBy(c.alias("v")).count().orderBy("v").collect():
-                seen += r["count"]
-                if seen > t[1]:
-                    found[t] = r["v"]
+def _sketch(x: Column, probs: list[float]) -> Column:
+    return F.percentile_approx(x, F.array(*[F.lit(p) for p in probs]), _ACCURACY)
+
+
+def _inside(x: Column, g: _Gap) -> Column:
+    return (x > F.lit(g.low)) & (x < F.lit(g.high))
+
+
+def _binned(work: DataFrame, cuts: list[list[float]]) -> DataFrame:
+    """(c, v, bin): bin 2k lies under cut k (and over cut k-1), bin 2k+1 equals it."""
+    live = [i for i, c in enumerate(cuts) if c]
+    cut = bucketed(work, {f"q{i}": cuts[i] for i in live}, {f"q{i}": f"b{i}" for i in live}, equal=True)
+    pairs = cut.select(*[F.struct(F.col(f"q{i}").alias("v"), F.col(f"b{i}").cast("int").alias("bin")).alias(f"b{i}")
+                         for i in live])
+    tall = pairs.unpivot([], [f"b{i}" for i in live], "c", "b")
+    return tall.select(F.substring("c", 2, 9).cast("int").alias("c"), "b.v", "b.bin").where(F.col("v").isNotNull())
+
+
+def _tally(work: DataFrame, cuts: list[list[float]]) -> list[dict[int, int]]:
+    """Exact rows per bin and column."""
+    out: list[dict[int, int]] = [{} for _ in cuts]
+    if any(cuts):
+        for r in _binned(work, cuts).groupBy("c", "bin").count().collect():
+            out[r["c"]][r["bin"]] = r["count"]
+    return out
+
+
+def _read_gaps(work: DataFrame, gaps: list[dict[_Gap, set[int]]], found: list[dict[int, float]]) -> None:
+    """Read the few rows of each gap, counted per value, and pick the ranks."""
+    edges = [sorted({e for g in per for e in (g.low, g.high) if math.isfinite(e)}) or ([0.0] if per else [])
+             for per in gaps]
+    hit = F.lit(False)
+    for i, per in enumerate(gaps):
+        bins = set()
+        for g in per:
+            k = edges[i].index(g.high) if math.isfinite(g.high) else len(edges[i])
+            bins.add(2 * k)
+            if not math.isfinite(g.low) and not math.isfinite(g.high):
+                bins.update((0, 1, 2))
+        if bins:
+            hit = hit | ((F.col("c") == i) & F.col("bin").isin(sorted(bins)))
+    rows = _binned(work, edges).where(hit).groupBy("c", "v").count().collect()
+    values: list[list] = [[] for _ in gaps]
+    for r in rows:
+        values[r["c"]].append((r["v"], r["count"]))
+    for i, per in enumerate(gaps):
+        ordered = sorted(values[i])
+        for g, ranks in per.items():
+            seen, todo = g.before, sorted(ranks)
+            for v, n in ordered:
+                if g.low < v < g.high:
+                    seen += n
+                    while todo and todo[0] < seen:
+                        found[i][todo.pop(0)] = v
+
+
+def _propose(work: DataFrame, gaps: list[dict[_Gap, set[int]]]) -> list[list[float]]:
+    """Sorted cut points per column: a sketch's values just beside each rank."""
+    aggs, owner = [], []
+    for i, per in enumerate(gaps):
+        for g, ranks in per.items():
+            shares = [(r - g.before + 0.5) / g.inside for r in ranks]
+            probs = sorted({min(max(s + side, 0.0), 1.0) for s in shares for side in (-_MARGIN, _MARGIN)})
+            x = F.col(f"q{i}")
+            aggs.append(_sketch(F.when(_inside(x, g), x), probs).alias(f"g{len(aggs)}"))
+            owner.append(i)
+    row = work.agg(*aggs).first()
+    cuts: list[set[float]] = [set() for _ in gaps]
+    for i, values in zip(owner, row):
+        cuts[i].update(values)
+    return [_apart(sorted(c)) for c in cuts]
+
+
+def _apart(cuts: list[float]) -> list[float]:
+    """Cuts with at least one number between neighbours, so that bins stay in order."""
+    out: list[float] = []
+    for c in cuts:
+        if not out or c > math.nextafter(out[-1], math.inf):
+            out.append(c)
+    return out
+
+
+def _narrow(gaps: dict[_Gap, set[int]], cuts: list[float], tally: dict[int, int],
+            found: dict[int, float]) -> dict[_Gap, set[int]]:
+    """Settle ranks that fall on a cut; put the others in the gaps between cuts."""
+    out: dict[_Gap, set[int]] = {}
+    for g, ranks in gaps.items():
+        for rank in ranks:
+            seen, low = 0, -math.inf
+            for k in range(len(cuts) + 1):
+                under, on = tally.get(2 * k, 0), tally.get(2 * k + 1, 0)
+                if rank < seen + under:
+                    high = cuts[k] if k < len(cuts) else math.inf
+                    # Rows of the column between two cuts of this pass, within the gap of the last one.
+                    lo, hi = max(low, g.low), min(high, g.high)
+                    before = seen if low >= g.low else g.before
+                    end = seen + under if high <= g.high else g.before + g.inside
+                    out.setdefault(_Gap(lo, hi, before, end - before), set()).add(rank)
                     break
-            del brackets[t]
-        if not brackets:
-            return found
-        keys = list(brackets)
-        guess = work.agg(*[_guess(brackets[t], t).alias(f"g{k}") for k, t in enumerate(keys)]).first()
-        counted = work.agg(*[e for k, t in enumerate(keys) for e in _positions(t, guess[k], k)]).first()
-        for k, t in enumerate(keys):
-            lo, hi, below, under = brackets[t]
-            (a, b), rank = guess[k], t[1]
-            if rank < counted[f"lt_a{k}"]:
-                brackets[t] = (lo, a, below, counted[f"lt_a{k}"])
-            elif rank < counted[f"le_a{k}"]:
-                found[t] = a
-                del brackets[t]
-            elif rank < counted[f"lt_b{k}"]:
-                brackets[t] = (a, b, counted[f"le_a{k}"], counted[f"lt_b{k}"])
-            elif rank < counted[f"le_b{k}"]:
-                found[t] = b
-                del brackets[t]
-            else:
-                brackets[t] = (b, hi, counted[f"le_b{k}"], under)
-        if not brackets:
-            return found
-
-
-def _positions(target: tuple[int, int], guess: list[float], k: int) -> list[Column]:
-    c, (a, b) = F.col(f"q{target[0]}"), guess
-    return [F.count_if(c < a).alias(f"lt_a{k}"), F.count_if(c <= a).alias(f"le_a{k}"),
-            F.count_if(c < b).alias(f"lt_b{k}"), F.count_if(c <= b).alias(f"le_b{k}")]
-
-
-def _guess(bracket: tuple[float, float, int, int], target: tuple[int, int]) -> Column:
-    lo, hi, below, under = bracket
-    p = (target[1] - below + 0.5) / max(under - below, 1)
-    d = 2.0 / _ACCURACY
-    c = F.col(f"q{target[0]}")
-    probs = F.array(F.lit(min(max(p - d, 0.0), 1.0)), F.lit(min(max(p + d, 0.0), 1.0)))
-    return F.percentile_approx(F.when((c > lo) & (c < hi), c), probs, _ACCURACY)
+                if rank < seen + under + on:
+                    found[rank] = cuts[k]
+                    break
+                seen += under + on
+                low = cuts[k] if k < len(cuts) else low
+    return out
 
 
 def medians(df: DataFrame, exprs: dict[str, Column], **kw) -> dict[str, float | None]:

@@ -79,20 +79,20 @@ def drift_verdict(table: DataFrame, threshold: float = 1.5) -> DataFrame:
                      F.max_by("MAE_ratio", F.when(r.isNotNull(), F.col("segment"))).alias("last_ratio"))
 
 
-def robust_scale(df: DataFrame, col: str) -> tuple[float | None, float | None]:
+def robust_scale(df: DataFrame, col: str, rows_at_most: int | None = None) -> tuple[float | None, float | None]:
     """Median and 1.4826 MAD; the standard deviation where the MAD is 0."""
     x = F.col(q(col))
-    mid = medians(df, {"m": x})["m"]
+    mid = medians(df, {"m": x}, rows_at_most=rows_at_most)["m"]
     if mid is None:
         return None, None
-    mad = medians(df, {"m": F.abs(x - F.lit(mid))})["m"]
+    mad = medians(df, {"m": F.abs(x - F.lit(mid))}, rows_at_most=rows_at_most)["m"]
     scale = mad * MAD_SCALE if mad > 0 else df.agg(F.stddev_samp(x)).first()[0]
     return mid, scale if scale and scale > 0 else None
 
 
 def outliers(res: Series, cfg: ResidualConfig = ResidualConfig()) -> DataFrame:
     """Rows whose robust z reaches the limit, the farthest first."""
-    mid, scale = robust_scale(res.df, "residual")
+    mid, scale = robust_scale(res.df, "residual", res.n)
     if scale is None:
         return res.df.where(F.lit(False)).select(
             res.ts, "residual", F.lit(0.0).alias("robust_z"), F.lit("").alias("direction"))
@@ -171,7 +171,7 @@ def summary(res: Series, cfg: ResidualConfig = ResidualConfig()) -> DataFrame:
     x = F.col("residual")
     mae = F.avg(F.abs(x))
     lag1 = series_autocorr(res, "residual", 1)
-    mid, scale = robust_scale(res.df, "residual")
+    mid, scale = robust_scale(res.df, "residual", res.n)
     far = F.count_if(F.abs((x - F.lit(mid)) / F.lit(scale)) >= cfg.outlier_sigma) if scale else F.lit(0).cast("bigint")
     return res.df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
                       mae.alias("MAE"), F.coalesce(F.try_divide(F.avg(x), mae), F.lit(0.0)).alias("bias_ratio"),

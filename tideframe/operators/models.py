@@ -239,7 +239,8 @@ def part_of(series: Series, where) -> Series:
 def prepare(series: Series, target: str, features: list[str], where, cfg: FitConfig,
             classes: list | None = None) -> Prepared:
     """Fit preprocessing, then selection, on the rows of ``where`` only."""
-    train = part_of(series, where)
+    needed = dict.fromkeys([ORD, series.ts, target, *features])
+    train = series.with_df(series.df.where(where).select(*[F.col(q(c)) for c in needed]))
     numeric, categorical = P.column_types(series, features)
     fitted, filled = P.fit_filled(train, numeric, categorical, cfg.prep)
     if cfg.task == CLASSIFICATION and classes is None:

@@ -138,11 +138,12 @@ def fit_filled(train: Series, numeric: list[str], categorical: list[str],
         r = train.df.agg(*[F.avg(e).alias(f"m{i}") for i, e in enumerate(xs.values())]).first()
         out.fill = {c: r[i] if r[i] is not None else 0.0 for i, c in enumerate(numeric)}
     else:
-        out.fill = {c: v if v is not None else 0.0 for c, v in medians(train.df, xs).items()}
+        out.fill = {c: v if v is not None else 0.0 for c, v in medians(train.df, xs, rows_at_most=train.n).items()}
     filled = compact(out.impute(train), train.n).persist()
     if numeric and (cfg.clip_outliers or cfg.scaler in ("standard", "robust")):
         if cfg.clip_outliers:
-            cuts = exact_quantiles(filled, {c: F.col(q(c)) for c in numeric}, list(cfg.clip_quantiles))
+            cuts = exact_quantiles(filled, {c: F.col(q(c)) for c in numeric}, list(cfg.clip_quantiles),
+                                   rows_at_most=train.n)
             out.clip = {c: (v[0], v[1]) for c, v in cuts.items() if v[0] is not None}
         clipped = {c: out._clipped(c) for c in numeric}
         if cfg.scaler == "standard":
@@ -151,7 +152,7 @@ def fit_filled(train: Series, numeric: list[str], categorical: list[str],
             out.centre = {c: r[f"m{i}"] or 0.0 for i, c in enumerate(numeric)}
             out.scale = {c: r[f"s{i}"] if r[f"s{i}"] else 1.0 for i, c in enumerate(numeric)}
         elif cfg.scaler == "robust":
-            cuts = exact_quantiles(filled, clipped, [0.25, 0.5, 0.75])
+            cuts = exact_quantiles(filled, clipped, [0.25, 0.5, 0.75], rows_at_most=train.n)
             out.centre = {c: v[1] or 0.0 for c, v in cuts.items()}
             out.scale = {c: (v[2] - v[0]) if v[0] is not None and v[2] > v[0] else 1.0 for c, v in cuts.items()}
     for c in categorical:

@@ -7,8 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tideframe.functions.names import q
 from tideframe.operators import axis
 
-BROADCAST_GROUPS = 100_000
-
 
 def grouped_quantiles(df: DataFrame, by: list[str], value: Column, probs: dict[str, float]) -> DataFrame:
     """One row per group with the interpolated quantiles named in ``probs``.
@@ -22,8 +20,6 @@ def grouped_quantiles(df: DataFrame, by: list[str], value: Column, probs: dict[s
     run = axis.running_totals(counted, [*by, "_v"], {"_upto": "_c"})
     spans = run.groupBy(*keys).agg(F.min(F.col("_upto") - F.col("_c")).alias("_start"),
                                    F.max("_upto").alias("_end"))
-    if spans.count() <= BROADCAST_GROUPS:
-        spans = F.broadcast(spans)
     n = F.col("_end") - F.col("_start")
     placed = run.join(spans, by).withColumn("_hi", F.col("_upto") - F.col("_start")) \
                 .withColumn("_lo", F.col("_hi") - F.col("_c"))

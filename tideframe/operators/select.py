@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tideframe.functions.names import numeric_columns, q
-from tideframe.functions.stats import clean_double, exact_quantiles
+from tideframe.functions.stats import bucketed, clean_double, exact_quantiles
 from tideframe.operators import gram
 from tideframe.operators.axis import ORD
 from tideframe.operators.features import Origin, ledger_frame
@@ -47,14 +47,6 @@ def correlated_away(matrix: np.ndarray, threshold: float) -> dict[int, int]:
     return {int(j): i for j, i in gone.items()}
 
 
-def _bin_of(x: Column, edges: list[float]) -> Column:
-    """How many edges lie under the value."""
-    if not edges:
-        return F.lit(0)
-    return F.aggregate(F.array(*[F.lit(float(e)) for e in edges]), F.lit(0),
-                       lambda acc, e: acc + F.when(x > e, 1).otherwise(0))
-
-
 def mutual_information(df: DataFrame, cols: list[str], target: str, task: str = "regression",
                        bins: int = MI_BINS) -> DataFrame:
     """(feature, mutual_info): binned estimate, in nats.
@@ -69,8 +61,15 @@ def mutual_information(df: DataFrame, cols: list[str], target: str, task: str =
     if task == "regression":
         want["__y"] = clean_double(F.col(q(target)))
     cuts = {k: sorted({v for v in vs if v is not None}) for k, vs in exact_quantiles(known, want, probs).items()}
-    y = _bin_of(want["__y"], cuts["__y"]) if task == "regression" else F.col(q(target))
-    binned = known.select(y.alias("_y"), *[_bin_of(e, cuts[c]).cast("int").alias(c) for c, e in xs.items()])
+    values = known.select(*[e.alias(f"v{i}") for i, e in enumerate(want.values())],
+                          *([] if task == "regression" else [F.col(q(target)).alias("_y")]))
+    at = {f"v{i}": cuts[k] for i, k in enumerate(want)}
+    cut = bucketed(values, at, {v: f"b{v}" for v in at})
+    names = list(want)
+    binned = cut.select(*([F.col(f"bv{names.index('__y')}").cast("int").alias("_y")] if task == "regression" else ["_y"]),
+                        *[F.col(f"bv{i}").cast("int").alias(c) for i, c in enumerate(names) if c != "__y"])
+    if task == "regression":
+        binned = binned.where(F.col("_y") <= len(cuts["__y"]))
     cells = binned.unpivot(["_y"], list(cols), "feature", "_x").groupBy("feature", "_x", "_y") \
                   .agg(F.count(F.lit(1)).alias("n"))
     return mi_from_cells(cells)
@@ -78,13 +77,13 @@ def mutual_information(df: DataFrame, cols: list[str], target: str, task: str =
 
 def mi_from_cells(cells: DataFrame) -> DataFrame:
     """Sum of p log(p / (px py)) from (feature, _x, _y, n) counts."""
-    px = cells.groupBy("feature", "_x").agg(F.sum("n").alias("nx"))
-    py = cells.groupBy("feature", "_y").agg(F.sum("n").alias("ny"))
-    total = cells.groupBy("feature").agg(F.sum("n").alias("all"))
-    joined = cells.join(px, ["feature", "_x"]).join(py, ["feature", "_y"]).join(total, "feature")
-    n, whole = F.col("n"), F.col("all")
-    term = n / whole * F.log(n * whole / (F.col("nx") * F.col("ny")))
-    return joined.groupBy("feature").agg(F.greatest(F.sum(term), F.lit(0.0)).alias("mutual_info"))
+    def total(*keys: str) -> Column:        # a feature has at most bins x bins cells
+        return F.sum("n").over(Window.partitionBy("feature", *keys))
+
+    n = F.col("n")
+    term = n / total() * F.log(n * total() / (total("_x") * total("_y")))
+    return cells.select("feature", term.alias("term")).groupBy("feature").agg(
+        F.greatest(F.sum("term"), F.lit(0.0)).alias("mutual_info"))
 
 
 def select_features(df: DataFrame, cols: list[str] | None, target: str, task: str = "regression",
