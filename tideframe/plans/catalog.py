@@ -437,10 +437,10 @@ def clip_quantiles(spark, sf):
 
 @query
 def encode_onehot(spark, sf):
+    """Which indicator is set for each part, rare levels sharing one."""
     s = axis.ordinal(table(spark, sf, "part"), ["p_partkey"], ts="p_partkey")
-    out = P.fit(s, [], ["p_type", "p_brand"], P.PreprocessConfig(scaler="none")).transform(s, ["p_partkey"])
-    return out.groupBy("p_partkey").agg(F.sum(sum((F.col(f"`{c}`") for c in out.columns[1:]), F.lit(0.0))).alias("hot"),
-                                        *[F.max(f"`{c}`").alias(c) for c in out.columns[1:]])
+    out = P.fit(s, [], ["p_type", "p_name"], P.PreprocessConfig(scaler="none")).transform(s, ["p_partkey"])
+    return out.unpivot(["p_partkey"], out.columns[1:], "feature", "hot").where("hot = 1").drop("hot")
 
 
 @query
@@ -748,13 +748,13 @@ def cluster_quality(spark, sf):
 
 @query
 def cluster_board(spark, sf):
-    cfg = U.UnsupervisedConfig(k_range=(3, 4), eps=0.9, min_samples=5)
+    cfg = U.UnsupervisedConfig(k_range=(3, 4), eps=1.2, min_samples=5)
     return shown(U.run_clustering(vectors(spark, sf).drop("label"), cfg)[0])
 
 
 @query
 def density_clusters(spark, sf):
-    return U.dbscan(vectors(spark, sf), 0.9, 5).groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"))
+    return U.dbscan(vectors(spark, sf), 1.2, 5).groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query
@@ -769,6 +769,15 @@ def anomaly_local(spark, sf):
     return shown(U.local_outlier_factor(vectors(spark, sf).drop("label")))
 
 
+@query
+def nearest_neighbours(spark, sf):
+    """Mean label of the 15 nearest even-numbered vectors, for each odd-numbered one."""
+    v = vectors(spark, sf, 16)
+    model = M.KnnEstimator(15, scores.REGRESSION, 0).fit(
+        v.where(F.col(ORD) % 2 == 0).select("features", F.col("label").cast("double").alias("label")))
+    return shown(model.transform(v.where(F.col(ORD) % 2 == 1)).select(F.col(ORD).alias("vec_id"), "prediction"))
+
+
 @query
 def components(spark, sf):
     c = U.run_pca(vectors(spark, sf).drop("label"), [f"d{i}" for i in range(64)])

@@ -342,6 +342,9 @@ FROM s x JOIN s y ON x.f < y.f LEFT JOIN b ON b.fa = x.f AND b.fb = y.f"""
     q["impute_mean_scaled"] = _prepared("coalesce({c}, avg_{c})", "({x} - m_{c}) / s_{c}")
     q["impute_zero_robust"] = _prepared("coalesce({c}, 0.0)", "({x} - q_{c}[3]) / (q_{c}[4] - q_{c}[2])")
     q["clip_quantiles"] = _prepared("coalesce({c}, med_{c})", "least(greatest({x}, q_{c}[1]), q_{c}[5])")
+    level = "CASE WHEN count(*) OVER (PARTITION BY {c}) >= 0.01 * count(*) OVER () THEN {c} ELSE 'infrequent' END"
+    q["encode_onehot"] = " UNION ALL ".join(
+        f"SELECT p_partkey, '{c}_' || {level.format(c=c)} AS feature FROM part" for c in ("p_type", "p_name"))
     q["encode_ordinal"] = """SELECT o_orderkey, coalesce(k, -1)::DOUBLE AS o_orderpriority FROM orders LEFT JOIN (
   SELECT o_orderpriority, row_number() OVER (ORDER BY o_orderpriority) - 1 AS k FROM (SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderpriority <> '3-MEDIUM'))
 USING (o_orderpriority)"""
@@ -407,6 +410,12 @@ SELECT count(*) AS n, {r('avg(residual)')} AS mean, {r('stddev_samp(residual)')}
 
     q["distribution_drift"] = f"""WITH {sized}, s AS (SELECT {shift('value')} AS y, {shift('user_id')} AS a, {shift('k')} AS b FROM z)
 SELECT round_even(y, 4) AS y_shift_sd, round_even((a + b) / 2, 4) AS x_shift_sd, round_even(greatest(a, b), 4) AS x_shift_max FROM s"""
+    q["split_gap_causes"] = f"""WITH {sized}, c AS (SELECT avg(value) AS m, var_pop(value) * count(*) AS sq FROM ev),
+a AS (SELECT sum((x.value - m) * (y.value - m)) / any_value(sq) AS acf FROM c, ev x, ev y WHERE y.ord = x.ord + 1),
+s AS (SELECT {shift('value')} AS y, {shift('user_id')} AS a, {shift('k')} AS b FROM z),
+f AS (SELECT 'autocorrelation' AS cause, acf AS value, 0.5::DOUBLE AS "limit" FROM a UNION ALL SELECT 'target drift', round_even(y, 4), 0.5 FROM s
+  UNION ALL SELECT 'input drift', round_even(greatest(a, b), 4), 1.0 FROM s), hit AS (SELECT * FROM f WHERE value >= "limit")
+SELECT cause, {r('value')} AS value, "limit" FROM hit UNION ALL SELECT 'lag mismatch', 0.2, 0.15 WHERE NOT EXISTS (SELECT * FROM hit)"""
     bt = f"""{sized}, b AS (SELECT ((ord - (n - 5 * (n // 6))) // (n // 6))::INT + 1 AS fold, ts, value AS y, {fit} AS p FROM z WHERE ord >= n - 5 * (n // 6)),
 t AS (SELECT fold, count(*) AS n, 1 - sum((y - p) ** 2) / (var_pop(y) * count(*)) AS r2, sqrt(avg((y - p) ** 2)) AS rmse, avg(abs(y - p)) AS mae,
   avg(abs(y - p) / abs(y)) FILTER (abs(y) > 1e-9) AS mape, min(ts) AS test_start FROM b GROUP BY fold)"""
@@ -474,6 +483,17 @@ bt AS (SELECT c.label, sum((c.m - o.m) ** 2) AS b FROM c JOIN o USING (d) GROUP
 SELECT count(*)::INT AS n_clusters, (SELECT {r('avg(worst)', 4)} FROM db) AS davies_bouldin,
   {r('sum(n * b) * (sum(n) - count(*)) / (sum(w) * (count(*) - 1))', 4)} AS calinski_harabasz FROM s JOIN bt USING (label)"""
 
+    q["nearest_neighbours"] = f"""WITH v AS (SELECT vec_id, CAST(embedding[1:16] AS DOUBLE[]) AS e, label FROM embeddings),
+d AS (SELECT a.vec_id, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.e, b.e)) AS k
+  FROM v a, v b WHERE a.vec_id % 2 = 1 AND b.vec_id % 2 = 0)
+SELECT vec_id, {r('avg(label)')} AS prediction FROM d WHERE k <= 15 GROUP BY 1"""
+    q["anomaly_local"] = f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+d AS (SELECT a.vec_id AS p, b.vec_id AS o, list_distance(a.e, b.e) AS dist, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.e, b.e)) AS k
+  FROM v a, v b WHERE a.vec_id <> b.vec_id), nn AS (SELECT * FROM d WHERE k <= 35), kd AS (SELECT p AS o, max(dist) AS kdist FROM nn GROUP BY 1),
+lrd AS (SELECT p, 1 / (avg(greatest(dist, kdist)) + 1e-10) AS lrd FROM nn JOIN kd USING (o) GROUP BY 1),
+s AS (SELECT nn.p AS ord, -avg(b.lrd) / any_value(a.lrd) AS score FROM nn JOIN lrd b ON b.p = nn.o JOIN lrd a ON a.p = nn.p GROUP BY 1)
+SELECT ord, {r('score')} AS anomaly_score, score < (SELECT quantile_cont(score, 0.01) FROM s) AS is_anomaly FROM s"""
+
     # flagship
     out = [f"{r('h.' + c)} AS {c}" for c in [*INPUTS, "purchase"]]
     f6 = "OVER (ORDER BY ord ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)"
