@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import as_series, pandas_of, walk
-from tideframe.operators import (axis, blend as B, diagnose as D, explain as X, models as M, split as SP, whatif as W)
+from tideframe.operators import (axis, blend as B, diagnose as D, explain as X, models as M, whatif as W)
 
 COLS = ["x1", "x2", "x3"]
 

@@ -1,7 +1,6 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from tests.conftest import as_series, pandas_of, walk
 from tideframe.operators import axis, features as FE

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import as_series, pandas_of, walk
 from tideframe import staging
-from tideframe.operators import blend as B, models as M, neighbours, prep as P, scores, split as SP, train as T
+from tideframe.operators import blend as B, models as M, neighbours, scores, split as SP, train as T
 
 X = ["x1", "x2", "x3"]
 

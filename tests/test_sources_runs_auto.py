@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from tests.conftest import SF, as_series, pandas_of, walk
-from tideframe import staging
-from tideframe.operators import blend as B, features as FE, models as M, prep as P, split as SP, train as T
+from tideframe.operators import features as FE, models as M
 from tideframe.plans import auto
 from tideframe.sources import readers, runs
 

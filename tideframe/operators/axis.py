@@ -76,12 +76,15 @@ def _offsets(df: DataFrame, rows: list[tuple], names: list[str], zero: int | flo
 
 
 def ordinal(
-    df: DataFrame, order_by: list[str], ts: str = "ts", name: str = ORD, chunk: int | None = None
+    df: DataFrame, order_by: list[str], ts: str = "ts", name: str = ORD, chunk: int | None = None,
+    settled: bool = False,
 ) -> Series:
     """Number rows 0..n-1 by ``order_by``, which must be unique for a repeatable result.
 
     The sorted rows are written to the shared folder first: partition numbers
     are only trusted once they are data, so recomputation cannot change them.
+    ``settled`` writes the numbered rows as well (no shuffle): a table that many
+    folds read then skips the row groups outside an ordinal range.
     """
     stored, part = _range_sorted(df.drop(name), order_by, "ordinal")
     sizes = [(r[0], r[1]) for r in stored.groupBy(part.alias(_PART)).count().collect()]
@@ -91,6 +94,8 @@ def ordinal(
                 .join(F.broadcast(offsets), _PART)
                 .withColumn(name, F.col("_before") + local)
                 .drop(_PART, _SLOT, "_before"))
+    if settled:
+        numbered = staging.store(numbered, "ordinal")
     return Series(numbered, sum(s for _, s in sizes), ts, chunk)
 
 

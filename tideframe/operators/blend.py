@@ -119,8 +119,8 @@ class Blend:
     def predict(self, part: Series) -> DataFrame:
         return self.predict_vectors(self.prepared.assemble(part))
 
-    def predict_grid(self, part: Series, feature: str, grid: list[float]) -> DataFrame:
-        return self.predict_vectors(self.prepared.over_grid(part, feature, grid))
+    def predict_grid(self, part: Series, feature: str, grid: list[float], only: DataFrame | None = None) -> DataFrame:
+        return self.predict_vectors(self.prepared.over_grid(part, feature, grid, only))
 
     def predict_vectors(self, df: DataFrame) -> DataFrame:
         """Members share one preprocessing, so one row carries all their answers."""

@@ -119,14 +119,24 @@ def zoo(task: str, include_heavy: bool = True) -> dict[str, ModelSpec]:
     return {n: s for n, s in ZOO.items() if task in s.tasks and (include_heavy or not s.heavy)}
 
 
+MAX_WHOLE_CLASSES = 15
+
+
 def detect_task(df: DataFrame, target: str) -> str:
-    """Text, at most two values, or at most 15 whole-number values mean classes."""
+    """Text, at most two values, or at most 15 whole-number values mean classes.
+
+    The distinct values are counted only when all are whole numbers; two values
+    or fewer show as nothing between the extremes.
+    """
     if kind(df.schema[target].dataType) != "numeric":
         return CLASSIFICATION
     y = clean_double(F.col(q(target)))
-    values = df.select(y.alias("y")).where(F.col("y").isNotNull()).distinct()
-    r = values.agg(F.count(F.lit(1)).alias("n"), F.every(F.col("y") % 1 == 0).alias("whole")).first()
-    return CLASSIFICATION if r["n"] <= 2 or (r["n"] <= 15 and r["whole"]) else REGRESSION
+    r = df.agg(F.min(y).alias("lo"), F.max(y).alias("hi"), F.every(y % 1 == 0).alias("whole")).first()
+    if r["lo"] is None or not df.where((y > F.lit(r["lo"])) & (y < F.lit(r["hi"]))).limit(1).count():
+        return CLASSIFICATION
+    if not r["whole"]:
+        return REGRESSION
+    return CLASSIFICATION if df.agg(F.countDistinct(y)).first()[0] <= MAX_WHOLE_CLASSES else REGRESSION
 
 
 # --- nearest neighbours as a model ------------------------------------------
@@ -217,11 +227,11 @@ class Prepared:
         packed = VectorAssembler(inputCols=self.names, outputCol="features", handleInvalid="keep").transform(ready)
         return packed.select(*keep, "features")
 
-    def over_grid(self, part: Series, feature: str, grid: list[float]) -> DataFrame:
-        """(ord, ts, grid, features): every row at every value of one input."""
+    def over_grid(self, part: Series, feature: str, grid: list[float], only: DataFrame | None = None) -> DataFrame:
+        """(ord, ts, grid, features): every row (or those ``only`` lists) at every value of one input."""
         if feature not in part.df.columns:
             raise KeyError(feature)
-        filled = self.prep.impute(part)
+        filled = listed(self.prep.impute(part), only)
         at = F.explode(F.array(*[F.lit(float(v)) for v in grid]))
         moved = filled.withColumn("grid", at).withColumn(feature, F.col("grid"))
         return self.pack(moved, [ORD, part.ts, "grid"])
@@ -232,6 +242,11 @@ class Prepared:
         return self.prep.transform(part, keep).select(*keep, *[F.col(q(c)) for c in self.names])
 
 
+def listed(df: DataFrame, only: DataFrame | None) -> DataFrame:
+    """The rows whose ordinal a small table lists; all without one."""
+    return df if only is None else df.join(F.broadcast(only.select(ORD)), ORD, "left_semi")
+
+
 def part_of(series: Series, where) -> Series:
     return series.with_df(series.df.where(where))
 
@@ -289,8 +304,8 @@ class FittedPipeline:
         """(ord, ts, label, prediction[, probability])."""
         return self.predict_vectors(self.prepared.assemble(part))
 
-    def predict_grid(self, part: Series, feature: str, grid: list[float]) -> DataFrame:
-        return self.predict_vectors(self.prepared.over_grid(part, feature, grid))
+    def predict_grid(self, part: Series, feature: str, grid: list[float], only: DataFrame | None = None) -> DataFrame:
+        return self.predict_vectors(self.prepared.over_grid(part, feature, grid, only))
 
     def linear_terms(self) -> tuple[list[float], float] | None:
         if isinstance(self.model, R.LinearRegressionModel):
@@ -326,7 +341,7 @@ class LinearFormula:
         label = F.col(q(self.target)).cast("double") if self.target else F.lit(None).cast("double")
         return part.df.select(ORD, part.ts, label.alias("label"), self.expression().alias("prediction"))
 
-    def predict_grid(self, part: Series, feature: str, grid: list[float]) -> DataFrame:
+    def predict_grid(self, part: Series, feature: str, grid: list[float], only: DataFrame | None = None) -> DataFrame:
         at = F.explode(F.array(*[F.lit(float(v)) for v in grid]))
-        moved = part.df.withColumn("grid", at).withColumn(feature, F.col("grid"))
+        moved = listed(part.df, only).withColumn("grid", at).withColumn(feature, F.col("grid"))
         return moved.select(ORD, part.ts, "grid", self.expression().alias("prediction"))

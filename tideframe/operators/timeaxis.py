@@ -140,12 +140,13 @@ def gap_report(series: Series, step: float | None = None) -> DataFrame:
 
 
 def period(df: DataFrame, start=None, end=None, ts: str = "ts") -> DataFrame:
-    """Rows from ``start`` to ``end``, both included."""
-    c = F.col(ts)
+    """Rows from ``start`` to ``end``, both included. The bounds take the
+    column's own type, so that the filter reaches the file scan."""
+    c, dtype = F.col(ts), df.schema[ts].dataType
     if start is not None:
-        df = df.where(c >= F.lit(start).cast("timestamp"))
+        df = df.where(c >= F.lit(start).cast(dtype))
     if end is not None:
-        df = df.where(c <= F.lit(end).cast("timestamp"))
+        df = df.where(c <= F.lit(end).cast(dtype))
     return df
 
 
@@ -162,7 +163,7 @@ def last_days(df: DataFrame, days: int, ts: str = "ts") -> DataFrame:
 def with_target(series: Series, target: str) -> Series:
     """Rows whose target is known, renumbered: splits count only these."""
     known = series.df.where(F.col(q(target)).isNotNull()).drop(ORD)
-    return axis.ordinal(known, [series.ts], series.ts, chunk=series.chunk)
+    return axis.ordinal(known, [series.ts], series.ts, chunk=series.chunk, settled=True)
 
 
 def stride(series: Series, cap: int) -> DataFrame:

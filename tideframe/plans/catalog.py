@@ -111,7 +111,7 @@ def gap_report(spark, sf):
 
 @query
 def period_filter(spark, sf):
-    return shown(timeaxis.period(events(spark, sf), "2024-01-10", "2024-01-12").select("ts", "event_id", "value"))
+    return shown(timeaxis.period(table(spark, sf, "events"), "2024-01-10", "2024-01-12").select("ts", "event_id", "value"))
 
 
 @query
