@@ -147,10 +147,23 @@ def haloed(df: DataFrame, chunk: int, before: int = 0, after: int = 0) -> tuple[
 
 
 def with_windows(series: Series, build, lookback: int = 0, lookahead: int = 0) -> DataFrame:
-    """Add columns ``build(window)`` that look at most ``lookback`` rows back."""
+    """Add columns ``build(window, once)`` that look at most ``lookback`` rows back.
+
+    Every window expression goes through ``once(key, expression)``, which gives
+    back a column: expressions with one key are evaluated once, however many
+    features use them.
+    """
     chunk = series.chunk_rows(max(lookback, lookahead))
     copied, w, keep = haloed(series.df, chunk, lookback, lookahead)
-    return copied.select("*", *build(w)).where(keep).drop("_chunk")
+    shared: dict[str, Column] = {}
+
+    def once(key: str, e: Column) -> Column:
+        shared.setdefault(f"_w_{key}", e)
+        return F.col(q(f"_w_{key}"))
+
+    made = build(w, once)
+    windowed = copied.select("*", *[e.alias(k) for k, e in shared.items()]).where(keep)
+    return windowed.select(*[F.col(q(c)) for c in series.df.columns], *made)
 
 
 def _carry_in(df: DataFrame, latest: dict[str, Column], n: int, chunk: int, by: list[str]) -> DataFrame:

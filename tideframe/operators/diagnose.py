@@ -43,10 +43,10 @@ def rolling_stats(res: Series, cfg: ResidualConfig = ResidualConfig()) -> DataFr
     rows = max(int(cfg.window), 2)
     least = max(2, rows // 4)
     x = F.col("residual")
-    return axis.with_windows(res, lambda w: [
-        rolling(x, w, rows, "mean", least).alias("roll_mean"),
-        rolling(x, w, rows, "std", least).alias("roll_std"),
-        rolling(F.abs(x), w, rows, "mean", least).alias("roll_mae")], lookback=rows - 1)
+    return axis.with_windows(res, lambda w, once: [
+        rolling("residual", x, w, rows, "mean", least, once).alias("roll_mean"),
+        rolling("residual", x, w, rows, "std", least, once).alias("roll_std"),
+        rolling("size", F.abs(x), w, rows, "mean", least, once).alias("roll_mae")], lookback=rows - 1)
 
 
 def drift_table(res: Series, cfg: ResidualConfig = ResidualConfig()) -> DataFrame:

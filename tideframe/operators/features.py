@@ -119,32 +119,37 @@ def trailing(w: WindowSpec, rows: int) -> WindowSpec:
     return w.rowsBetween(-(rows - 1), 0)
 
 
-def rolling(col: Column, w: WindowSpec, rows: int, stat: str, min_rows: int) -> Column:
+def rolling(name: str, col: Column, w: WindowSpec, rows: int, stat: str, min_rows: int, once) -> Column:
     """A trailing statistic, NULL until ``min_rows`` known values are in the window."""
     frame = trailing(w, rows)
-    made = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "median": lambda c: F.percentile(c, 0.5),
-            "sum": F.sum, "var": F.var_samp, "count": F.count}[stat](col).over(frame)
-    return F.when(F.count(col).over(frame) >= min_rows, made)
+    aggregate = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "median": lambda c: F.percentile(c, 0.5),
+            "sum": F.sum, "var": F.var_samp, "count": F.count}[stat]
+    known = once(f"{name}|count|{rows}", F.count(col).over(frame))
+    return F.when(known >= min_rows, once(f"{name}|{stat}|{rows}", aggregate(col).over(frame)))
 
 
-def column_features(name: str, cfg: FeatureConfig, w: WindowSpec) -> list[tuple[Column, Origin]]:
+def column_features(name: str, cfg: FeatureConfig, w: WindowSpec, once) -> list[tuple[Column, Origin]]:
     x = clean_double(F.col(q(name)))
+
+    def back(k: int) -> Column:
+        return once(f"{name}|lag|{k}", F.lag(x, k).over(w))
+
     out: list[tuple[Column, Origin]] = []
 
     def add(label: str, e: Column, transform: str, lookback: int) -> None:
         out.append((e.alias(label), Origin(label, (name,), transform, lookback)))
 
     for k in cfg.lags:
-        add(N.lag_name(name, k), F.lag(x, k).over(w), f"lag({k})", k)
+        add(N.lag_name(name, k), back(k), f"lag({k})", k)
     for rows in cfg.rolling_windows:
         for stat in cfg.rolling_stats:
             if stat in STATS:
-                add(N.rolling_name(name, rows, stat), rolling(x, w, rows, stat, max(2, rows // 2)),
+                add(N.rolling_name(name, rows, stat), rolling(name, x, w, rows, stat, max(2, rows // 2), once),
                     f"rolling({rows},{stat})", rows)
     for k in cfg.diffs:
-        add(N.diff_name(name, k), x - F.lag(x, k).over(w), f"diff({k})", k)
+        add(N.diff_name(name, k), x - back(k), f"diff({k})", k)
     if cfg.rate_of_change:
-        add(N.pct_name(name), F.try_divide(x, F.lag(x, 1).over(w)) - 1, "pct_change(1)", 1)
+        add(N.pct_name(name), F.try_divide(x, back(1)) - 1, "pct_change(1)", 1)
     return out
 
 
@@ -196,8 +201,8 @@ def generate(series: Series, target: str, columns: list[str], cfg: FeatureConfig
         narrow = narrow.with_df(ewm(narrow, numeric, list(cfg.ewm_spans)))
     windowed: list[Origin] = []
 
-    def build(w: WindowSpec) -> list[Column]:
-        made = [f for c in numeric for f in column_features(c, cfg, w)]
+    def build(w: WindowSpec, once) -> list[Column]:
+        made = [f for c in numeric for f in column_features(c, cfg, w, once)]
         windowed[:] = [o for _, o in made]
         return [e for e, _ in made]
 

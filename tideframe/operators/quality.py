@@ -71,10 +71,10 @@ def basic_profile(df: DataFrame, cols: list[str]) -> DataFrame:
                                  "mean double, std double, min double, max double")
 
 
-def outlier_ratios(df: DataFrame, cols: list[str]) -> DataFrame:
+def outlier_ratios(df: DataFrame, cols: list[str], rows_at_most: int | None = None) -> DataFrame:
     """Share of known values outside the quartiles by 1.5 IQR; 0 when the IQR is 0."""
     xs = {c: clean_double(F.col(q(c))) for c in cols}
-    quartiles = exact_quantiles(df, xs, [0.25, 0.75])
+    quartiles = exact_quantiles(df, xs, [0.25, 0.75], rows_at_most=rows_at_most)
     aggs = {}
     for c, x in xs.items():
         q1, q3 = quartiles[c]
@@ -114,7 +114,7 @@ def profile(series: Series, cols: list[str] | None = None) -> DataFrame:
     out = (labels.join(basic_profile(df, cols), "column", "left")
            .join(value_counts(df, cols), "column", "left"))
     if numbers:
-        out = (out.join(outlier_ratios(df, numbers), "column", "left")
+        out = (out.join(outlier_ratios(df, numbers, series.n), "column", "left")
                .join(flatline_ratios(series, numbers), "column", "left"))
     else:
         out = out.withColumn("outlier_ratio", F.lit(None).cast("double")) \

@@ -105,7 +105,7 @@ def deltas(series: Series) -> DataFrame:
     """Microseconds since the previous instant, one row per instant but the first."""
     narrow = series.with_df(series.df.select(series.ts, ORD))
     with_prev = axis.with_windows(
-        narrow, lambda w: [F.lag(series.ts, 1).over(w).alias("previous")], lookback=1)
+        narrow, lambda w, once: [once("previous", F.lag(series.ts, 1).over(w)).alias("previous")], lookback=1)
     gap = F.unix_micros(F.col(series.ts)) - F.unix_micros(F.col("previous"))
     return with_prev.where(F.col("previous").isNotNull()).withColumn("gap_us", gap)
 
