@@ -21,7 +21,7 @@ from tideframe.functions.names import q
 MASKS = ("1101100101011", "1110010110011", "1011010011101")
 STEP = 2
 WINDOW = 16
-SMALL = 2_000_000       # rows that may be broadcast: ids, or hashes of benchmark windows; some 100 MB
+SMALL = 500_000         # rows that may be broadcast: ids, alignments or hashes of benchmark windows; some 100 MB
 
 
 def tokens(text: Column) -> Column:
@@ -50,10 +50,10 @@ def _starts(t: Column, mask: str, step: int) -> Column:
 
 
 def seeds(items: DataFrame, id_col: str = "item_id", text_col: str = "text", masks: tuple[str, ...] = MASKS) -> DataFrame:
-    """(seed, item_id, at, item): every hash of the benchmark with its place and its item's tokens."""
+    """(seed, item_id, at): every hash of the benchmark with its place."""
     items = items.select(F.col(q(id_col)).alias("item_id"), _hashed(F.col(q(text_col))).alias("item"))
-    each = [items.select("item_id", "item", F.explode(_starts(F.col("item"), m, STEP)).alias("at"))
-            .select(_window(F.col("item"), m, i, F.col("at")).alias("seed"), "item_id", "at", "item")
+    each = [items.select("item_id", "item", F.explode_outer(_starts(F.col("item"), m, STEP)).alias("at")).where("at is not null")
+            .select(_window(F.col("item"), m, i, F.col("at")).alias("seed"), "item_id", "at")
             for i, m in enumerate(masks)]
     return functools.reduce(DataFrame.union, each)
 
@@ -81,31 +81,42 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     Repeated rows are one, equal items are found each for itself, and no rows on
     either side give no rows. Other columns are not read.
     """
-    t = F.col("t")
-    docs = docs.select(F.col(q(id_col)).alias("doc_id"), F.xxhash64(F.col(q(text_col))).alias("tk"),
-                       _hashed(F.col(q(text_col))).alias("t"))
+    t, item = F.col("t"), F.col("item")
+    docs = docs.select(F.col(q(id_col)).alias("doc_id"), F.xxhash64(F.col(q(text_col))).alias("tk"), F.col(q(text_col)).alias("text"))
 
     def windows(number: int, mask: str) -> Column:
         return F.transform(_starts(t, mask, 1), lambda at: _window(t, mask, number, at))
 
-    rows = docs.withColumn("h", F.array(*[windows(i, m) for i, m in enumerate(masks)])).select("doc_id", "tk", "t", F.explode("h").alias("h")) \
-        .select("doc_id", "tk", "t", F.posexplode("h").alias("place", "seed"))
+    # Outer, for a plain explode is given a filter that computes the tokens again for each window; no seed is null.
+    rows = docs.select("doc_id", "tk", _hashed(F.col("text")).alias("t")) \
+        .select("doc_id", "tk", F.array(*[windows(i, m) for i, m in enumerate(masks)]).alias("h")) \
+        .select("doc_id", "tk", F.explode_outer("h").alias("h")) \
+        .select("doc_id", "tk", F.posexplode_outer("h").alias("place", "seed"))
     known = seeds(items, item_col, item_text, masks)
-    if known.count() <= SMALL:
-        known = F.broadcast(known)
-    met = rows.join(known, "seed").withColumn("shift", F.col("place") - F.col("at"))
-    matched, best = overlap(t, F.col("item"), F.col("shift"))
-    need = F.ceil(F.least(F.lit(WINDOW), F.size("item")) * 0.75)
-    found = met.withColumns({"matched": matched, "best": best, "need": need}).where("best >= need")
-    return found.groupBy("doc_id", "tk", "item_id").agg(F.max("matched").alias("matched"),
-                                                        F.max(F.size("item")).alias("item_tokens"))
+    met = rows.join(_few(known), "seed").select("doc_id", "tk", "item_id", (F.col("place") - F.col("at")).alias("shift"))
+    met = met.distinct().groupBy("doc_id", "tk").agg(F.collect_list(F.struct("item_id", "shift")).alias("met"))
+    met = staging.store(met.withColumnsRenamed({"doc_id": "_id", "tk": "_tk"}), "met")
+
+    # Once more the texts with hits, each row's tokens beside its alignments.
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk"))
+    texts = docs.join(_few(met), same).select("doc_id", "tk", "met", _hashed(F.col("text")).alias("t"))
+    laid = texts.select("doc_id", "tk", "t", F.explode_outer("met").alias("x"))
+    whole = items.select(F.col(q(item_col)).alias("_item"), _hashed(F.col(q(item_text))).alias("item"))
+    laid = laid.join(_few(whole), F.col("x.item_id").eqNullSafe(F.col("_item")))
+    matched, best = overlap(t, item, F.col("x.shift"))
+    found = laid.where(best >= F.ceil(F.least(F.lit(WINDOW), F.size(item)) * 0.75))
+    return found.groupBy("doc_id", "tk", F.col("x.item_id").alias("item_id")).agg(
+        F.max(matched).alias("matched"), F.max(F.size(item)).alias("item_tokens"))
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """The rows, to be broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= SMALL else rows
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` in which no item is found, with all their columns."""
     bad = hits(docs, items, id_col, text_col, **how).select(F.col("doc_id").alias("_bad"), F.col("tk").alias("_tk"))
     bad = staging.store(bad.distinct(), "bad")
-    if bad.count() <= SMALL:
-        bad = F.broadcast(bad)
     same = F.col(q(id_col)).eqNullSafe(F.col("_bad")) & (F.xxhash64(F.col(q(text_col))) == F.col("_tk"))
-    return docs.join(bad, same, "left_anti")
+    return docs.join(_few(bad), same, "left_anti")

@@ -186,7 +186,7 @@ codes AS MATERIALIZED (SELECT {table_} AS t),
 bytes AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n,
   list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS l FROM documents),
 sums AS (SELECT doc_id, n + 8 AS size, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, l),
-  lambda c, x: xor(c >> 8, (SELECT t FROM codes)[(xor(c, x) & 255) + 1]))) AS crc FROM bytes)
+  lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) AS crc FROM bytes, codes)
 SELECT doc_id, size, crc AS text_crc32, 'key' AS law, here_last.s::INT AS shard,
   row_number() OVER (PARTITION BY here_last.s ORDER BY substr(md5(CAST(doc_id AS VARCHAR)), 17, 3), doc_id, crc, size) - 1 AS slot,
   grown_last.s::INT AS grown_shard
@@ -232,7 +232,7 @@ weighted AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY encode(source) NUL
 filled AS (SELECT *, (1.5 * sum(s) OVER () - coalesce(sum(2.0 * s) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level
   FROM weighted WINDOW o AS (ORDER BY 2.0 * s / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 goal AS (SELECT f.source, s, n, least(2.0 * s, l * w)::DOUBLE AS target FROM filled f,
-  (SELECT min(level) FILTER (level * w <= 2.0 * s) AS l FROM filled)),
+  (SELECT first(level ORDER BY 2.0 * s / w, source) FILTER (level * w <= 2.0 * s) AS l FROM filled)),
 passes AS (SELECT *, CASE WHEN s > 0 THEN floor(target / s) ELSE 0 END AS whole FROM goal),
 placed AS (SELECT r.*, p.s, p.target, p.whole, p.target - p.whole * p.s AS rest,
   sum(size) OVER (PARTITION BY r.source ORDER BY draw, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start
