@@ -152,7 +152,8 @@ def train(lexicon_rows: DataFrame, curve_rows: DataFrame, least: float = 1.5, sh
           sample: int = SAMPLE, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
     """Lexicon from all of the one set of labelled rows (doc_id, text, label), curve from up to ``sample`` of the other.
 
-    An entry is in ``share`` of the toxic texts, three at least, and exp(``least``) times likelier there.
+    An entry is in ``share`` of the toxic texts, three at least, and exp(``least``) times likelier there
+    by a cautious estimate.
     """
     rows = staging.store(lexicon_rows.select("text", "label"), "labelled")
     size = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -162,7 +163,7 @@ def train(lexicon_rows: DataFrame, curve_rows: DataFrame, least: float = 1.5, sh
     toxic = dict(zip(often["term"], often["n"]))
     clean = _documents_with(rows.where("label = 0"), set(toxic)).toPandas()
     clean = dict(zip(clean["term"], clean["n"]))
-    weight = {t: float(np.log((n + 0.5) / (bad + 1)) - np.log((clean.get(t, 0) + 0.5) / (good + 1))) for t, n in toxic.items()}
+    weight = {t: _weight(n, bad, clean.get(t, 0), good) for t, n in toxic.items()}
     best = sorted((t for t in weight if weight[t] >= least), key=lambda t: (-weight[t] * toxic[t], t))[:ENTRIES]
     model = Model({t: weight[t] for t in best}, np.array([-3.0, 1.0, 1.0, -1.0]), np.zeros(3), np.ones(3), exceptions)
     drawn = curve_rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -174,6 +175,12 @@ def train(lexicon_rows: DataFrame, curve_rows: DataFrame, least: float = 1.5, sh
     return model
 
 
+def _weight(bad: int, of_bad: int, good: int, of_good: int) -> float:
+    """How much likelier a term is in toxic texts, as a log ratio less its standard error."""
+    b, g = bad + 0.5, good + 0.5
+    return float(np.log(b / (of_bad + 1)) - np.log(g / (of_good + 1)) - np.sqrt(1 / b + 1 / g))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     """Newton steps; both classes weigh alike."""
     x = np.concatenate((np.ones((len(x), 1)), x), 1)
