@@ -1,16 +1,16 @@
 """Near duplicates by bottom-k sketches under one hash function.
 
 Every distinct shingle set is one node. A node's sketch holds the k smallest
-hashes of its set. Two sets of Jaccard similarity ``percent`` share far more
-than ``floor`` of their sketches (six standard deviations of the estimate), so
-they also share one of the rarest retained values that are left when all but
-that many are taken away. Only these go to inverted lists. Lists yield pairs of
-a member and one of the list's few most central members, the union sketch of a
-pair estimates its similarity, and full sets confirm it. A list whose members
-are then still in several components is compared further: the members outside
-its main component against all, in blocks of bounded size on both sides, which
-return nodes and spanning links, never pairs. So large groups cost rows in
-proportion to their size, and no link that the lists hold is left out.
+hashes of its set. Two sets of Jaccard similarity ``percent`` share so much of
+their sketches that some retained values are neighbours in both, and of the
+rarest such neighbours, less as many as they are sure to share, one at least is
+common. Only these go to inverted lists. Lists yield pairs of a member and one
+of the list's few most central members, the union sketch of a pair estimates its
+similarity, and full sets confirm it. A list whose members are then still in
+several components is compared further: the members outside its main component
+against all, in blocks of bounded size on both sides, which return nodes and
+spanning links, never pairs. So large groups cost rows in proportion to their
+size, and no link that the lists hold is left out.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tideframe import staging
 from tideframe.functions.names import q
@@ -86,13 +86,32 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return staging.store(sets.dropDuplicates(["node"]), "sets")
 
 
-def inverted(nodes: DataFrame, floor: float) -> DataFrame:
-    """(v, df, node, weight): the retained values to meet on, of those that two nodes have."""
-    values = nodes.select("node", F.size("sketch").alias("len"), F.explode("sketch").alias("v"))
+def sure_of(percent: int, length: Column) -> Column:
+    """Neighbours in the sketch that two linked sets have in common at least.
+
+    Sets that fit the sketch lose one neighbourhood of their common part for each
+    of the at most ``1 - p`` other members. Of larger sets the union's k smallest
+    hold mean k * p**2 common neighbours, less six standard deviations here.
+    """
+    p = percent / 100
+    large = max(1, math.floor(K * p ** 2 - 6 * math.sqrt(K * (p ** 2 + 2 * p ** 3 - 3 * p ** 4))))
+    return F.greatest(F.lit(1), F.least(F.lit(large), F.floor(length * (2 * p - 1) - 1).cast("int")))
+
+
+def inverted(nodes: DataFrame, percent: int) -> DataFrame:
+    """(v, df, node, weight): what nodes meet on, where at least two do.
+
+    A list is named by two retained values that are neighbours in a sketch. Alone
+    common values would bring unrelated texts together as the corpus grows.
+    """
+    sketch, len_ = F.col("sketch"), F.size("sketch")
+    pairs = F.zip_with(F.slice(sketch, 1, len_ - 1), F.slice(sketch, 2, len_ - 1), lambda x, y: F.xxhash64(x, y))
+    values = nodes.where(len_ > 1).select("node", (len_ - 1).alias("many"), sure_of(percent, len_).alias("sure"),
+                                          F.explode_outer(pairs).alias("v"))
     shared = values.join(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "v")
-    rarest = shared.groupBy("node", "len").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"),
-                                               F.sum("df").alias("weight"))
-    take = F.size("vs") + 1 - F.greatest(F.lit(1), F.floor(F.col("len") * floor).cast("int"))
+    rarest = shared.groupBy("node", "many", "sure").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"),
+                                                        F.sum("df").alias("weight"))
+    take = F.size("vs") + 1 - F.col("sure")
     lists = rarest.where(take > 0).select("node", "weight", F.explode(F.slice("vs", 1, take)).alias("x"))
     return staging.store(lists.select("x.v", "x.df", "node", "weight"), "inverted")
 
@@ -205,7 +224,7 @@ def unsettled(lists: DataFrame, labels: DataFrame) -> DataFrame:
 def links(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b): links between distinct sets, enough of them to hold every component together."""
     floor = floor_of(percent)
-    lists = inverted(nodes, floor)
+    lists = inverted(nodes, percent)
     pairs = staging.store(estimated(hub_pairs(lists), nodes, floor), "pairs")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = full_sets(docs, nodes.join(ends, "node"), width)
