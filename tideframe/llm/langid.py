@@ -54,7 +54,7 @@ def word_and_gram_counts(rows: DataFrame) -> DataFrame:
     def count(batches):
         totals: dict = {}
         for batch in batches:
-            for part in tx.slices(batch, "text", tx.BATCH_BYTES // 2):
+            for part in tx.slices(batch, "text", tx.BATCH_BYTES):
                 data, offsets = lowered(part.column(1))
                 begin, end, first = tx.spans(data, offsets)
                 langs, code = np.unique(np.array(part.column(0).to_pylist(), dtype=object).astype(str), return_inverse=True)
@@ -73,7 +73,7 @@ def word_and_gram_counts(rows: DataFrame) -> DataFrame:
                     yield from _drain(totals)
         yield from _drain(totals)
 
-    return rows.mapInArrow(count, "lang string, kind int, h long, n long")
+    return tx.small_batches(rows).mapInArrow(count, "lang string, kind int, h long, n long")
 
 
 def _add(totals: dict, key: tuple, hashes: np.ndarray, n: np.ndarray) -> None:
@@ -190,4 +190,4 @@ def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     [part.column(0), pa.array([own.langs[i] if i >= 0 else "und" for i in best], pa.string()), pa.array(share)],
                     ["doc_id", "lang_pred", "score"])
 
-    return rows.mapInArrow(judge, T.StructType([rows.schema["doc_id"]]).add("lang_pred", "string").add("score", "double"))
+    return tx.small_batches(rows).mapInArrow(judge, T.StructType([rows.schema["doc_id"]]).add("lang_pred", "string").add("score", "double"))

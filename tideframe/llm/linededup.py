@@ -150,7 +150,7 @@ def line_keys(named: DataFrame, min_chars: int, filters: dict | None = None, sha
                 yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row),
                                                   pa.array(k1[first]), pa.array(k2[first])], ["doc_id", "tk", "k1", "k2"])
 
-    return named.mapInArrow(read, T.StructType([named.schema["doc_id"]]).add("tk", "long").add("k1", "long").add("k2", "long"))
+    return tx.small_batches(named).mapInArrow(read, T.StructType([named.schema["doc_id"]]).add("tk", "long").add("k1", "long").add("k2", "long"))
 
 
 def _held(filters: dict, shards: int, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
@@ -274,5 +274,5 @@ def cleaned(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total), pa.array(dropped), pa.array(texts, pa.string())],
                                                  ["doc_id", "n_lines", "n_dropped", "kept"])
 
-    return rows.mapInArrow(cut, T.StructType([named.schema["doc_id"]]).add("n_lines", "long").add("n_dropped", "long")
+    return tx.small_batches(rows).mapInArrow(cut, T.StructType([named.schema["doc_id"]]).add("n_lines", "long").add("n_dropped", "long")
                            .add("kept", "string"))

@@ -63,7 +63,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                      pa.array([_node(s) if len(s) else None for s in found], pa.binary()),
                      tx.long_list([s[:K] for s in found])], ["doc_id", "tk", "n_shingles", "node", "sketch"])
 
-    return source.mapInArrow(sign, T.StructType([source.schema["doc_id"]]).add("tk", "long").add("n_shingles", "long")
+    return tx.small_batches(source).mapInArrow(sign, T.StructType([source.schema["doc_id"]]).add("tk", "long").add("n_shingles", "long")
                              .add("node", "binary").add("sketch", T.ArrayType(T.LongType())))
 
 
@@ -82,7 +82,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in found], pa.binary()), tx.long_list(found)],
                                                  ["node", "shingles"])
 
-    sets = source.select("text").mapInArrow(read, "node binary, shingles array<bigint>")
+    sets = tx.small_batches(source).select("text").mapInArrow(read, "node binary, shingles array<bigint>")
     return staging.store(sets.dropDuplicates(["node"]), "sets")
 
 

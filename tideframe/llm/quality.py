@@ -81,7 +81,7 @@ class Model:
 def _counted(rows: DataFrame, buckets: int) -> DataFrame:
     def count(batches):
         for batch in batches:
-            for part in tx.slices(batch, "text"):
+            for part in tx.slices(batch, "text", tx.BATCH_BYTES // 4):
                 data, offsets = tx.utf8(part.column(0))
                 bucket, row = features(data, offsets, buckets)
                 key, n = np.unique(row.astype(np.int64) * buckets + bucket, return_counts=True)
@@ -91,7 +91,7 @@ def _counted(rows: DataFrame, buckets: int) -> DataFrame:
                      pa.array([n[a:b].astype(np.float32).tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
                      part.column(1)], ["bucket", "n", "label"])
 
-    return rows.select("text", "label").mapInArrow(count, "bucket binary, n binary, label int")
+    return tx.small_batches(rows).select("text", "label").mapInArrow(count, "bucket binary, n binary, label int")
 
 
 def train(rows: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS, dims: int = 8, epochs: int = 8,
@@ -130,7 +130,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def judge(batches):
         for batch in batches:
-            for part in tx.slices(batch, "text", tx.BATCH_BYTES // 8):
+            for part in tx.slices(batch, "text", tx.BATCH_BYTES // 4):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sent.value.scores(part.column(1)))], ["doc_id", "score"])
 
-    return rows.mapInArrow(judge, T.StructType([rows.schema["doc_id"]]).add("score", "double"))
+    return tx.small_batches(rows).mapInArrow(judge, T.StructType([rows.schema["doc_id"]]).add("score", "double"))

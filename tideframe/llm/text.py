@@ -12,9 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
-SLICE = 1 << 20
-BATCH_BYTES = 8 << 20
+SLICE = 1 << 18
+BATCH_BYTES = 2 << 20
+ARROW_BYTES = "8m"
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = 0x9E3779B97F4A7C15
@@ -46,6 +48,13 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches bounded by bytes for what runs on it: ten thousand
+    long texts at once, the default, need more than a small executor has."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    return df
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column, and where each row begins and ends in them; null is empty."""
     column = column.cast(pa.large_string()).fill_null("")

@@ -135,11 +135,11 @@ def _documents_with(rows: DataFrame, known: set | None) -> DataFrame:
                 for text in folded(part.column(0)):
                     own = {t for w in set(_WORD.findall(text)) for t in terms(w)}
                     n.update(own if sent.value is None else own & sent.value)
-                    if len(n) > 300_000:
+                    if len(n) > 150_000:
                         yield from _drained(n)
         yield from _drained(n)
 
-    return rows.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return tx.small_batches(rows).select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def _drained(n: Counter):
@@ -206,7 +206,7 @@ def measures(rows: DataFrame, model: Model, more: str) -> DataFrame:
                 found = sent.value.measures(part.column(1), machine)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(found), pa.list_(pa.float64()))], [more, "measures"])
 
-    return rows.mapInArrow(measure, T.StructType([rows.schema[more]]).add("measures", T.ArrayType(T.DoubleType())))
+    return tx.small_batches(rows).mapInArrow(measure, T.StructType([rows.schema[more]]).add("measures", T.ArrayType(T.DoubleType())))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,7 +224,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 found = sent.value.scores(sent.value.measures(part.column(1), machine))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found)], ["doc_id", "score"])
 
-    return rows.mapInArrow(judge, T.StructType([rows.schema["doc_id"]]).add("score", "double"))
+    return tx.small_batches(rows).mapInArrow(judge, T.StructType([rows.schema["doc_id"]]).add("score", "double"))
 
 
 def clean(docs: DataFrame, model: Model, most: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -235,7 +235,8 @@ def clean(docs: DataFrame, model: Model, most: float = 0.5, text_col: str = "tex
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         machine = sent.value.automaton()
         for texts in batches:
-            found = sent.value.measures(pa.array(texts, pa.string(), from_pandas=True), machine)
-            yield pd.Series(sent.value.scores(found))
+            batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], ["text"])
+            found = [sent.value.scores(sent.value.measures(part.column(0), machine)) for part in tx.slices(batch, "text")]
+            yield pd.Series(np.concatenate(found) if found else np.zeros(0))
 
-    return docs.where(judge(F.col(q(text_col))) < most)
+    return tx.small_batches(docs).where(judge(F.col(q(text_col))) < most)
