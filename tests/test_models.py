@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import as_series, pandas_of, walk
 from tideframe import staging
-from tideframe.operators import blend as B, models as M, neighbours, scores, split as SP, train as T
+from tideframe.operators import axis, blend as B, models as M, neighbours, scores, split as SP, train as T
 
 X = ["x1", "x2", "x3"]
 
@@ -236,3 +236,11 @@ def test_classification_end_to_end(spark):
     assert got.classes == ["high", "low"] and board.loc["LogisticRegression", "insample_ROC_AUC"] > 0.9
     blends, made = B.fit_blends(s, SP.three_way(400), got, ["LogisticRegression", "DecisionTree"], cfg)
     assert list(made) == ["Ensemble_Voting"] and blends.first()["holdout_F1"] is not None
+
+
+def test_no_class_is_left_out(spark):
+    rows = [(i, i % 1200, float(i % 7)) for i in range(2600)]
+    s = axis.ordinal(spark.createDataFrame(rows, "ts long, kind int, x double"), ["ts"])
+    ready = M.prepare(s, "kind", ["x"], axis.in_range(0, 2600), M.FitConfig(task=scores.CLASSIFICATION, fold_selection=False))
+    assert ready.classes == list(range(1200)) and ready.frame.count() == 2600
+    assert ready.frame.where("label <> ord % 1200").count() == 0

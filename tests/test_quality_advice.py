@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import as_series, pandas_of, walk
-from tideframe.operators import advice, gram, quality
+from tideframe.operators import advice, axis, gram, quality
 
 
 def test_profile_of_a_gappy_frame(spark, gappy):
@@ -141,3 +141,9 @@ def test_encodings(spark):
     assert got.value == "onehot" and got.notes
     assert advice.categorical_profile(df, ["tag"], 3).first()["examples"] == ["0", "1", "10"]
     assert pandas_of(advice.categorical_profile(df), "column")["n_unique"].tolist() == [2, 2, 2, 31]
+
+
+def test_missing_grid_shows_every_column(spark):
+    wide = spark.range(30).select(F.col("id").alias("ts"), *[F.lit(1.0).alias(f"c{i}") for i in range(41)])
+    s = axis.ordinal(wide, ["ts"])
+    assert len(quality.missing_grid(s, [f"c{i}" for i in range(41)], 5).columns) == 43

@@ -73,7 +73,8 @@ def test_runs_are_saved_listed_and_loaded(spark, run, tmp_path):
     root = str(tmp_path / "runs")
     blend = got.pipelines["Ensemble_Voting"]
     for run_id, champion, pipe in (("r1", "Ridge", got.pipelines["Ridge"]), ("r2", "Ensemble_Voting", blend)):
-        m = runs.manifest(spark, "y", got.series, got.split, 42, champion, {"auto": cfg}, got.selection_report, got.unseen)
+        m = runs.manifest(spark, runs.RunParts(got.series, got.split, got.selection_report, got.unseen, {"auto": cfg},
+                                               {"target": "y", "seed": 42, "champion": champion}))
         runs.save_run(root, run_id, {"leaderboard": got.leaderboard, "predictions": got.trained.predictions,
                                      "selection_report": got.selection_report, "manifest": m}, pipe)
     again = runs.load_run(spark, root, "r1")
@@ -110,7 +111,7 @@ def test_challenger_needs_a_real_gain(spark):
 
 
 def test_settings_become_json():
-    json.dumps(runs.plain({"a": auto.AutoConfig(), "b": (1, np.float64(2.0)), "c": {3}}))
+    json.dumps({"a": auto.AutoConfig(), "b": (1, np.float64(2.0)), "c": {3}}, default=runs.as_json)
 
 
 def test_entry_and_contract(spark):

@@ -25,10 +25,12 @@ class ResidualConfig:
 
 def residuals(actual: DataFrame, predicted: DataFrame, ts: str = "ts", value: str = "label",
               prediction: str = "prediction") -> DataFrame:
-    """actual - predicted at the instants both have."""
-    a = actual.select(ts, F.col(q(value)).alias("actual"))
-    p = predicted.select(ts, F.col(q(prediction)).alias("predicted"))
-    both = a.join(p, ts).withColumn("residual", F.col("actual") - F.col("predicted"))
+    """actual - predicted at the rows both have: by ordinal if both are numbered, so that
+    repeated instants do not multiply, else by instant."""
+    key = ORD if ORD in actual.columns and ORD in predicted.columns else ts
+    a = actual.select(*dict.fromkeys((key, ts)), F.col(q(value)).alias("actual"))
+    p = predicted.select(key, F.col(q(prediction)).alias("predicted"))
+    both = a.join(p, key).select(ts, "actual", "predicted").withColumn("residual", F.col("actual") - F.col("predicted"))
     return both.where(F.col("residual").isNotNull())
 
 

@@ -23,9 +23,11 @@ ZERO_WEIGHT = 1e-9
 
 @dataclass(frozen=True)
 class ShapConfig:
-    max_samples: int = 3000
-    background: int = 20
-    sampled_max_rows: int = 300
+    """``background`` rows stand for an absent feature; ``rows`` is a condition for the rows
+    to explain, all of them without one. Sampled walks cost background x features per row."""
+
+    background: int = 200
+    rows: Column | None = None
     seed: int = 42
 
 
@@ -40,14 +42,10 @@ class Contributions:
         return replace(self, table=table)
 
 
-def plan(pipe, n_rows: int, cfg: ShapConfig = ShapConfig()) -> tuple[str, int]:
-    """(method, rows explained), decided in this one place."""
+def method(pipe) -> str:
     if isinstance(pipe, B.Blend):
-        parts = [plan(p, n_rows, cfg) for _, p, w in pipe.parts() if abs(w) >= ZERO_WEIGHT]
-        return "blend", min([n for _, n in parts], default=0)
-    if isinstance(pipe, M.LinearFormula) or pipe.linear_terms() is not None:
-        return "linear", min(n_rows, cfg.max_samples)
-    return "sampled", min(n_rows, cfg.sampled_max_rows)
+        return "blend"
+    return "linear" if isinstance(pipe, M.LinearFormula) or pipe.linear_terms() is not None else "sampled"
 
 
 def linear_table(df: DataFrame, terms: dict[str, float], means: dict[str, float], ts: str) -> DataFrame:
@@ -67,14 +65,14 @@ def formula_contributions(series: Series, formula: M.LinearFormula) -> Contribut
 
 
 def explain(pipe, series: Series, cfg: ShapConfig = ShapConfig()) -> Contributions:
-    """Contributions in the space the model sees. Rows are drawn once for all members."""
+    """Contributions in the space the model sees, of all rows or those of ``cfg.rows``."""
     if isinstance(pipe, M.LinearFormula):
         return formula_contributions(series, pipe)
-    _, n = plan(pipe, series.n, cfg)
-    # Vectors come from the whole series, since a fill needs the rows before; then rows are drawn.
+    # Vectors come from the whole series, since a fill needs the rows before; then rows are chosen.
     vectors = pipe.prepared.assemble(series)
-    drawn = vectors.orderBy(F.xxhash64(F.col(ORD), F.lit(cfg.seed)), ORD).limit(n) if n < series.n else vectors
-    rows = staging.store(drawn.select(ORD, series.ts, "features"), "explained")
+    if cfg.rows is not None:
+        vectors = vectors.where(cfg.rows)
+    rows = staging.store(vectors.select(ORD, series.ts, "features"), "explained")
     return _explain(pipe, rows, series.ts, cfg)
 
 

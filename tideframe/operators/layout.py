@@ -62,7 +62,7 @@ def _hinted(names: list[str], hints: tuple[str, ...]) -> str | None:
 
 
 def guess_time_column(df: DataFrame) -> str | None:
-    """By name, then by type, then the first text column whose head parses."""
+    """By name, then by type, then the first text column of which over 80% reads as time."""
     hinted = _hinted(df.columns, TIME_HINTS)
     if hinted:
         return hinted
@@ -70,12 +70,12 @@ def guess_time_column(df: DataFrame) -> str | None:
     typed = next((c for c in df.columns if types[c] == "datetime"), None)
     if typed:
         return typed
-    for name in [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]:
-        head = df.select(q(name)).where(F.col(q(name)).isNotNull()).limit(50)
-        share = head.agg(F.avg(as_time(F.col(q(name))).isNotNull().cast("double"))).first()[0]
-        if share is not None and share > 0.8:
-            return name
-    return None
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not texts:
+        return None
+    reads = [F.avg(F.when(F.col(q(c)).isNotNull(), as_time(F.col(q(c))).isNotNull().cast("double"))) for c in texts]
+    shares = df.agg(*[e.alias(f"s{i}") for i, e in enumerate(reads)]).first()
+    return next((c for c, share in zip(texts, shares) if (share or 0) > 0.8), None)
 
 
 def layout_stats(df: DataFrame, time_col: str) -> DataFrame:

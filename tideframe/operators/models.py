@@ -16,7 +16,6 @@ from tideframe.operators import neighbours, prep as P, select as S
 from tideframe.operators.axis import ORD, Series
 from tideframe.operators.scores import CLASSIFICATION, REGRESSION
 
-MAX_CLASSES = 1_000
 
 
 @dataclass(frozen=True)
@@ -68,13 +67,13 @@ def tree(ctx: FitContext, p: dict) -> Estimator:
 
 def forest(ctx: FitContext, p: dict) -> Estimator:
     cls = R.RandomForestRegressor if ctx.task == REGRESSION else C.RandomForestClassifier
-    return cls(numTrees=p.get("n_trees", 60), maxDepth=p.get("max_depth", 10), seed=ctx.seed,
-               minInstancesPerNode=p.get("min_leaf", 2), featureSubsetStrategy=p.get("features", "auto"))
+    return cls(numTrees=p.get("n_trees", 400), maxDepth=p.get("max_depth", DEEPEST), seed=ctx.seed,
+               minInstancesPerNode=p.get("min_leaf", 2), featureSubsetStrategy=p.get("features", "all" if ctx.task == REGRESSION else "sqrt"))
 
 
 def boosting(ctx: FitContext, p: dict) -> Estimator:
     cls = R.GBTRegressor if ctx.task == REGRESSION else C.GBTClassifier
-    one = cls(maxIter=p.get("n_rounds", 100), stepSize=p.get("rate", 0.05), maxDepth=p.get("max_depth", 5),
+    one = cls(maxIter=p.get("n_rounds", 400), stepSize=p.get("rate", 0.05), maxDepth=p.get("max_depth", 5),
               minInstancesPerNode=p.get("min_leaf", 20), subsamplingRate=p.get("subsample", 1.0), seed=ctx.seed)
     return C.OneVsRest(classifier=one) if ctx.task == CLASSIFICATION and ctx.n_classes > 2 else one
 
@@ -87,7 +86,7 @@ def linear_svc(ctx: FitContext, p: dict) -> Estimator:
 def perceptron(ctx: FitContext, p: dict) -> Estimator:
     hidden = list(p.get("hidden", (128, 64)))
     return C.MultilayerPerceptronClassifier(layers=[ctx.n_features, *hidden, max(ctx.n_classes, 2)],
-                                            maxIter=p.get("max_iter", 100), seed=ctx.seed)
+                                            maxIter=p.get("max_iter", 600), seed=ctx.seed)
 
 
 def nearest(ctx: FitContext, p: dict) -> "KnnEstimator":
@@ -95,18 +94,20 @@ def nearest(ctx: FitContext, p: dict) -> "KnnEstimator":
 
 
 ALL = (REGRESSION, CLASSIFICATION)
+DEEPEST = 30        # the depth at which Spark's trees end
+# Defaults and search grids, in Spark's terms.
 ZOO: dict[str, ModelSpec] = {s.name: s for s in (
     ModelSpec("Ridge", "linear", (REGRESSION,), ridge, grid={"alpha": [0.01, 0.1, 1.0, 10.0, 100.0]}),
     ModelSpec("ElasticNet", "linear", (REGRESSION,), elastic_net,
               grid={"alpha": [0.005, 0.01, 0.05, 0.1, 0.5], "l1_ratio": [0.1, 0.3, 0.5, 0.7, 0.9]}),
     ModelSpec("LogisticRegression", "linear", (CLASSIFICATION,), logistic, grid={"C": [0.01, 0.1, 1.0, 10.0]}),
     ModelSpec("DecisionTree", "tree", ALL, tree,
-              grid={"max_depth": [4, 6, 8, 12], "min_leaf": [1, 2, 5, 10, 20]}),
+              grid={"max_depth": [4, 6, 8, 12, DEEPEST], "min_leaf": [1, 2, 5, 10, 20]}),
     ModelSpec("RandomForest", "ensemble", ALL, forest,
-              grid={"n_trees": [60, 200, 400], "max_depth": [8, 12], "min_leaf": [1, 2, 5],
-                    "features": ["sqrt", "onethird", "all"]}),
+              grid={"n_trees": [200, 400, 800], "max_depth": [8, 16, DEEPEST], "min_leaf": [1, 2, 5],
+                    "features": ["sqrt", "0.5", "all"]}),
     ModelSpec("GradientBoosting", "boosting", ALL, boosting,
-              grid={"rate": [0.02, 0.05, 0.1], "n_rounds": [40, 100, 200], "max_depth": [3, 5, 6],
+              grid={"rate": [0.02, 0.05, 0.1], "n_rounds": [200, 400, 800], "max_depth": [3, 5, 6],
                     "subsample": [0.7, 0.85, 1.0], "min_leaf": [10, 20, 50]}),
     ModelSpec("KNN", "neighbors", ALL, nearest, heavy=True, grid={"n_neighbors": [5, 10, 15, 25, 40]}),
     ModelSpec("SVM", "svm", (CLASSIFICATION,), linear_svc, heavy=True, grid={"C": [1.0, 10.0, 100.0]}),
@@ -209,10 +210,10 @@ class Prepared:
     def label(self) -> Column:
         if self.task == REGRESSION:
             return clean_double(F.col(q(self.target)))
-        e = F.lit(None).cast("double")
-        for i, v in enumerate(self.classes):
-            e = F.when(F.col(q(self.target)) == F.lit(v), F.lit(float(i))).otherwise(e)
-        return e
+        if not self.classes:
+            return F.lit(None).cast("double")
+        place = F.array_position(F.lit(self.classes), F.col(q(self.target)))      # 0 for a class unknown in training
+        return F.when(place > 0, (place - 1).cast("double"))
 
     def assemble(self, part: Series) -> DataFrame:
         """(ord, ts, label, features) for a range; the feature axis is ``names``."""
@@ -242,6 +243,11 @@ class Prepared:
         return self.prep.transform(part, keep).select(*keep, *[F.col(q(c)) for c in self.names])
 
 
+def classes_of(df: DataFrame, target: str) -> list:
+    """Every class of the target, in order."""
+    return sorted(r[0] for r in df.select(q(target)).where(F.col(q(target)).isNotNull()).distinct().collect())
+
+
 def listed(df: DataFrame, only: DataFrame | None) -> DataFrame:
     """The rows whose ordinal a small table lists; all without one."""
     return df if only is None else df.join(F.broadcast(only.select(ORD)), ORD, "left_semi")
@@ -259,10 +265,7 @@ def prepare(series: Series, target: str, features: list[str], where, cfg: FitCon
     numeric, categorical = P.column_types(series, features)
     fitted, filled = P.fit_filled(train, numeric, categorical, cfg.prep)
     if cfg.task == CLASSIFICATION and classes is None:
-        found = train.df.select(q(target)).where(F.col(q(target)).isNotNull()).distinct().limit(MAX_CLASSES + 1).collect()
-        if len(found) > MAX_CLASSES:
-            raise ValueError("too many classes")
-        classes = sorted(r[0] for r in found)
+        classes = classes_of(train.df, target)
     names = fitted.output_columns
     out = Prepared(fitted, names, target, cfg.task, classes or [], None, None)
     if cfg.fold_selection and names:
@@ -272,6 +275,9 @@ def prepare(series: Series, target: str, features: list[str], where, cfg: FitCon
         out.names = chosen or names
     labelled = filled.withColumn("label", out.label())
     out.frame = out.pack(labelled, [ORD, train.ts, "label"]).where(F.col("label").isNotNull()).persist()
+    if out.classes:
+        # Without it Spark's classifiers take no more than 100 classes.
+        out.frame = out.frame.withMetadata("label", {"ml_attr": {"type": "nominal", "num_vals": len(out.classes)}})
     r = out.frame.agg(F.count(F.lit(1)), F.stddev_pop("label")).first()
     filled.unpersist()
     out.context = FitContext(cfg.task, r[0], r[1] or 0.0, len(out.names), len(out.classes), cfg.seed)

@@ -96,9 +96,12 @@ class FittedPrep:
         for c in self.categorical:
             value = F.coalesce(F.col(q(c)).cast("string"), F.lit(self.modes[c]))
             if c in self.level_tables:
-                df = df.withColumn(f"_l_{c}", value).join(
-                    self.level_tables[c].select(F.col("level").alias(f"_l_{c}"), F.col("code").alias(f"_c_{c}")),
-                    f"_l_{c}", "left")
+                # Frequent levels are not in the table; scattered keys without a match keep them apart.
+                aside = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*[F.col(q(k)) for k in keep]), F.lit(1_024)).cast("string"))
+                key = F.when(value.isin(self.levels[c]), aside).otherwise(value) if self.levels[c] else value
+                df = df.withColumns({f"_l_{c}": value, f"_k_{c}": key}).join(
+                    self.level_tables[c].select(F.col("level").alias(f"_k_{c}"), F.col("code").alias(f"_c_{c}")),
+                    f"_k_{c}", "left")
                 value = F.col(q(f"_l_{c}"))
             if self.cfg.categorical_encoding == "ordinal":
                 made.append(F.coalesce(F.col(q(f"_c_{c}")), F.lit(-1)).cast("double").alias(c))

@@ -179,9 +179,8 @@ def suggest_drops(prof: DataFrame, rule: QualityRule = QualityRule(), protect: l
         F.min_by("source", "rank").alias("source")).orderBy("column")
 
 
-def missing_grid(series: Series, cols: list[str], bins: int = 200, max_cols: int = 40) -> DataFrame:
+def missing_grid(series: Series, cols: list[str], bins: int = 200) -> DataFrame:
     """Share of NULLs per column in at most ``bins`` runs of rows, and each run's first instant."""
-    cols = cols[:max_cols]
     k = min(bins, max(series.n, 1))
     number = even_bucket(F.col(ORD), max(series.n, 1), k)
     return (series.df.groupBy(number.alias("bin"))

@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tideframe import staging
 from tideframe.functions.names import q
 from tideframe.operators import axis
 
 
+GROUPS = 200_000        # groups whose spans may be broadcast: some 20 MB
+SALTS = 64
+
+
+def _with_spans(run: DataFrame, spans: DataFrame, by: list[str]) -> DataFrame:
+    """The rows with their group's span: sent to every task while groups are few, else
+    met on salted keys, so that no group is one task."""
+    spans = staging.store(spans, "spans")
+    if spans.count() <= GROUPS:
+        return run.join(F.broadcast(spans), by)
+    salted = spans.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return run.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int")).join(salted, [*by, "_salt"]).drop("_salt")
+
+
 def grouped_quantiles(df: DataFrame, by: list[str], value: Column, probs: dict[str, float]) -> DataFrame:
     """One row per group with the interpolated quantiles named in ``probs``.
 
@@ -21,7 +36,7 @@ def grouped_quantiles(df: DataFrame, by: list[str], value: Column, probs: dict[s
     spans = run.groupBy(*keys).agg(F.min(F.col("_upto") - F.col("_c")).alias("_start"),
                                    F.max("_upto").alias("_end"))
     n = F.col("_end") - F.col("_start")
-    placed = run.join(spans, by).withColumn("_hi", F.col("_upto") - F.col("_start")) \
+    placed = _with_spans(run, spans, by).withColumn("_hi", F.col("_upto") - F.col("_start")) \
                 .withColumn("_lo", F.col("_hi") - F.col("_c"))
     aggs = []
     for name, p in probs.items():

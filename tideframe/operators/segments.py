@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
@@ -104,24 +105,34 @@ def cluster_metrics(df: DataFrame) -> dict[str, float | None]:
     return out
 
 
+def _attempt(make):
+    """(result, "ok"), or (None, the error)."""
+    try:
+        return make(), "ok"
+    except Exception as e:  # noqa: BLE001 - one method's failure must not stop the rest
+        return None, f"failed: {type(e).__name__}: {str(e)[:200]}"
+
+
 def run_clustering(vectors: DataFrame, cfg: UnsupervisedConfig = UnsupervisedConfig()) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """(board, labels per key): every partition for every k, DBSCAN once."""
+    """(board, labels per key): every partition for every k, DBSCAN once. What fails
+    is on the board with its error, and the others go on."""
     spark = vectors.sparkSession
-    rows, labels = [], {}
-    for k in range(cfg.k_range[0], cfg.k_range[1] + 1):
-        for name, make in PARTITIONS.items():
-            if cfg.wants(name):
-                got = make(k, cfg.seed).fit(vectors).transform(vectors).select(ORD, "features", "cluster")
-                labels[f"{name}_k{k}"] = staging.store(got, "clusters")
-                rows.append((f"{name}_k{k}", name, k))
+
+    def partition(make, k: int) -> DataFrame:
+        return make(k, cfg.seed).fit(vectors).transform(vectors).select(ORD, "features", "cluster")
+
+    runs = [(f"{name}_k{k}", name, k, functools.partial(partition, make, k))
+            for k in range(cfg.k_range[0], cfg.k_range[1] + 1) for name, make in PARTITIONS.items() if cfg.wants(name)]
     if cfg.wants("DBSCAN"):
-        labels["DBSCAN"] = dbscan(vectors, cfg.eps, cfg.min_samples, cfg.seed)
-        rows.append(("DBSCAN", "DBSCAN", None))
+        runs.append(("DBSCAN", "DBSCAN", None, lambda: dbscan(vectors, cfg.eps, cfg.min_samples, cfg.seed)))
     measures = ("n_clusters", "noise_ratio", "silhouette", "davies_bouldin", "calinski_harabasz")
-    filled = []
-    for key, name, k in rows:
-        m = cluster_metrics(labels[key])
-        filled.append((key, name, k, "ok", *[m[x] for x in measures]))
+    filled, labels = [], {}
+    for key, name, k, make in runs:
+        found, status = _attempt(lambda: staging.store(make(), "clusters"))
+        m, status = _attempt(lambda: cluster_metrics(found)) if found is not None else (None, status)
+        if m:
+            labels[key] = found
+        filled.append((key, name, k, status, *[m[x] if m else None for x in measures]))
     board = spark.createDataFrame(filled, "key string, model string, k int, status string, n_clusters int, "
                                           "noise_ratio double, silhouette double, davies_bouldin double, "
                                           "calinski_harabasz double")
@@ -322,13 +333,17 @@ def local_outlier_factor(vectors: DataFrame, cfg: UnsupervisedConfig = Unsupervi
 
 
 def run_anomaly(vectors: DataFrame, n: int, cfg: UnsupervisedConfig = UnsupervisedConfig()) -> tuple[DataFrame, dict[str, DataFrame]]:
-    made = {}
-    if cfg.wants("IsolationForest"):
-        made["IsolationForest"] = isolation_forest(vectors, n, cfg)
-    if cfg.wants("LocalOutlierFactor"):
-        made["LocalOutlierFactor"] = local_outlier_factor(vectors, cfg)
-    rows = []
-    for name, t in made.items():
+    ways = {"IsolationForest": lambda: isolation_forest(vectors, n, cfg),
+            "LocalOutlierFactor": lambda: local_outlier_factor(vectors, cfg)}
+    rows, made = [], {}
+    for name, make in ways.items():
+        if not cfg.wants(name):
+            continue
+        t, status = _attempt(make)
+        if t is None:
+            rows.append((name, status, None, None, None, None))
+            continue
+        made[name] = t
         r = t.agg(F.count_if("is_anomaly"), F.avg(F.col("is_anomaly").cast("double")), F.min("anomaly_score")).first()
         mid = exact_quantiles(t, {"s": F.col("anomaly_score")}, [0.5])["s"][0]
         rows.append((name, "ok", r[0], round(r[1], 4), r[2], mid))

@@ -145,8 +145,7 @@ def train_all(series: Series, target: str, features: list[str], split: SP.Split,
                               split.train.lo)
     classes: list = []
     if cfg.task == CLASSIFICATION:
-        labels = series.df.where(split.train.where()).select(q(target)).distinct().limit(M.MAX_CLASSES).collect()
-        classes = sorted(r[0] for r in labels if r[0] is not None)
+        classes = M.classes_of(series.df.where(split.train.where()), target)
     stored: list[DataFrame] = []
     pipelines: dict[str, M.FittedPipeline] = {}
     failed: dict[str, str] = {}

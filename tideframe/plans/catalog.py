@@ -88,6 +88,14 @@ def timeseries_dedupe(spark, sf):
     return shown(timeaxis.to_timeseries(rows, "o_orderdate", "o_orderkey").series.df)
 
 
+@query
+def timeseries_zone(spark, sf):
+    """Texts in another zone, every seventh of them no time at all."""
+    when = F.when(F.col("o_orderkey") % 7 == 0, "not a time").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    rows = orders(spark, sf).select(when.alias("seen"), "o_orderkey", "o_totalprice")
+    return shown(timeaxis.to_timeseries(rows, "seen", "o_orderkey", tz="Asia/Seoul").series.df)
+
+
 @query
 def resample_mean_last(spark, sf):
     rows = events(spark, sf).select("ts", "value", "event_type")
@@ -149,7 +157,7 @@ def outlier_ratios(spark, sf):
 
 @query
 def correlated_pairs(spark, sf):
-    return shown(quality.correlated_pairs(table(spark, sf, "lineitem"), LINE_NUMBERS, 0.5))
+    return shown(quality.correlated_pairs(table(spark, sf, "lineitem"), LINE_NUMBERS, 0.0))
 
 
 @query
@@ -177,7 +185,8 @@ def target_summary(spark, sf):
 
 @query
 def dataset_fingerprint(spark, sf):
-    return quality.fingerprint(events(spark, sf), "ts")
+    """What of it SQL can say: size and span. The hashes themselves are tested in pytest."""
+    return shown(quality.fingerprint(events(spark, sf), "ts").select("rows", "columns", "start", "end"))
 
 
 # --- advice ----------------------------------------------------------------------
@@ -312,6 +321,18 @@ def split_by_date(spark, sf):
     return shown(SP.describe(s, SP.three_way_by_date(s, "2024-01-20", "2024-01-26", 24)))
 
 
+@query
+def time_holdout(spark, sf):
+    s = event_series(spark, sf)
+    return shown(SP.describe(s, SP.time_holdout(s.n, 0.2, 24)))
+
+
+@query
+def date_holdout(spark, sf):
+    s = event_series(spark, sf)
+    return shown(SP.describe(s, SP.holdout_by_date(s, "2024-01-20", 24)))
+
+
 @query
 def split_random(spark, sf):
     s = event_series(spark, sf)
@@ -443,6 +464,15 @@ def encode_onehot(spark, sf):
     return out.unpivot(["p_partkey"], out.columns[1:], "feature", "hot").where("hot = 1").drop("hot")
 
 
+@query
+def encode_filled(spark, sf):
+    """As encode_onehot, with every fifth type unknown and filled by the mode."""
+    holes = table(spark, sf, "part").withColumn("p_type", F.when(F.col("p_partkey") % 5 != 0, F.col("p_type")))
+    s = axis.ordinal(holes, ["p_partkey"], ts="p_partkey")
+    out = P.fit(s, [], ["p_type"], P.PreprocessConfig(scaler="none")).transform(s, ["p_partkey"])
+    return out.unpivot(["p_partkey"], out.columns[1:], "feature", "hot").where("hot = 1").drop("hot")
+
+
 @query
 def encode_ordinal(spark, sf):
     s = axis.ordinal(table(spark, sf, "orders"), ["o_orderkey"], ts="o_orderkey")
@@ -696,6 +726,12 @@ def scenario_rows(spark, sf):
     return shown(W.run_scenario(FORMULA, event_series(spark, sf), MOVE))
 
 
+@query
+def predicted_period(spark, sf):
+    found = T.predict_range(FORMULA, event_series(spark, sf), "2024-01-10 06:00:00", "2024-01-12 18:30:00")
+    return shown(found.select(ORD, "ts", "prediction"))
+
+
 @query
 def scenario_summary(spark, sf):
     return shown(W.scenario_summary(W.run_scenario(FORMULA, event_series(spark, sf), MOVE)))
@@ -731,12 +767,12 @@ def ice_curves(spark, sf):
 
 def _wide_vectors(spark, sf) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"d{i}") for i in range(8)])
+    return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"d{i}") for i in range(64)])
 
 
 @query
 def cluster_profile(spark, sf):
-    return shown(U.cluster_profile(_wide_vectors(spark, sf), [f"d{i}" for i in range(8)], "label"))
+    return shown(U.cluster_profile(_wide_vectors(spark, sf), [f"d{i}" for i in range(64)], "label"))
 
 
 @query
@@ -772,7 +808,7 @@ def anomaly_local(spark, sf):
 @query
 def nearest_neighbours(spark, sf):
     """Mean label of the 15 nearest even-numbered vectors, for each odd-numbered one."""
-    v = vectors(spark, sf, 16)
+    v = vectors(spark, sf)
     model = M.KnnEstimator(15, scores.REGRESSION, 0).fit(
         v.where(F.col(ORD) % 2 == 0).select("features", F.col("label").cast("double").alias("label")))
     return shown(model.transform(v.where(F.col(ORD) % 2 == 1)).select(F.col(ORD).alias("vec_id"), "prediction"))
@@ -841,7 +877,7 @@ def _one_model(spark, sf, name: str):
 @query
 def sampled_contributions(spark, sf):
     s, _, _, pipe = _one_model(spark, sf, "DecisionTree")
-    c = X.explain(pipe, s, X.ShapConfig(background=10, sampled_max_rows=50))
+    c = X.explain(pipe, s, X.ShapConfig(background=10, rows=F.col(ORD) % 10 == 0))
     return shown(X.importance(c))
 
 
@@ -879,7 +915,8 @@ def saved_run(spark, sf):
     s, split, cfg, pipe = _one_model(spark, sf, "Ridge")
     root = staging.new_path(spark, "runs")
     pred = pipe.predict(M.part_of(s, split.valid.where()))
-    runs.save_run(root, "r1", {"predictions": pred, "manifest": runs.manifest(spark, "purchase", s, split, 42, "Ridge")}, pipe)
+    runs.save_run(root, "r1", {"predictions": pred, "manifest": runs.manifest(
+        spark, runs.RunParts(s, split, labels={"target": "purchase", "champion": "Ridge", "seed": 42}))}, pipe)
     again = runs.load_model(spark, f"{root}/models/r1").predict(M.part_of(s, split.valid.where()))
     stored = runs.load_run(spark, root, "r1", ("predictions",))["predictions"].select(ORD, F.col("prediction").alias("stored"))
     return shown(again.join(stored, ORD).select(ORD, "prediction", "stored"))

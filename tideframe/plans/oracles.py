@@ -151,6 +151,9 @@ SELECT count(DISTINCT event_type) AS tags, count(DISTINCT t) AS instants, 0 AS d
     q["timeseries_dedupe"] = """SELECT o_orderdate AS ts, arg_max(o_orderkey, o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice,
   arg_max(o_orderpriority, o_orderkey) AS o_orderpriority, row_number() OVER (ORDER BY o_orderdate) - 1 AS ord
 FROM orders GROUP BY o_orderdate"""
+    q["timeseries_zone"] = """SELECT o_orderdate - INTERVAL 9 HOUR AS ts, max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice,
+  row_number() OVER (ORDER BY o_orderdate) - 1 AS ord FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY o_orderdate"""
+    q["dataset_fingerprint"] = "SELECT count(*) AS rows, 6::INT AS columns, min(ts) AS start, max(ts) AS \"end\" FROM events"
     q["resample_mean_last"] = f"""WITH b AS (SELECT unnest(generate_series(date_trunc('hour', min(ts)), date_trunc('hour', max(ts)), INTERVAL 1 HOUR)) AS ts FROM events),
 g AS (SELECT date_trunc('hour', ts) AS ts, avg(value) AS value, arg_max(event_type, ts) AS event_type FROM events GROUP BY 1)
 SELECT ts, {r('value')} AS value, event_type FROM b LEFT JOIN g USING (ts)"""
@@ -192,7 +195,7 @@ WHERE ord % greatest(n // 500, 1) = 0 OR n <= 500"""
 FROM lineitem, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM lineitem)""" for c in LINE_NUMBERS)
     q["correlated_pairs"] = "SELECT * FROM (" + " UNION ALL ".join(
         f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round_even(abs(corr({a}, {b})), 4) AS corr, '{a}' AS suggest_drop FROM lineitem"
-        for i, a in enumerate(LINE_NUMBERS) for b in LINE_NUMBERS[i + 1:]) + ") WHERE corr >= 0.5"
+        for i, a in enumerate(LINE_NUMBERS) for b in LINE_NUMBERS[i + 1:]) + ") WHERE corr >= 0.0"
     q["correlations"] = f"WITH {HOURS} " + " UNION ALL ".join(
         f"SELECT '{a}' AS x, '{b}' AS y, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n, {r(f'corr({a}, {b})')} AS r FROM hw"
         for a in TAGS for b in TAGS)
@@ -289,6 +292,10 @@ SELECT kind, minutes, CASE WHEN k >= 1 THEN k END AS rows, CASE WHEN k >= 1 THEN
     q["split_three_way"] = f"WITH {sized} " + _describe(_parts(24), "z")
     q["split_by_date"] = f"""WITH {sized}, c AS (SELECT count(*) FILTER (ts < '2024-01-20') AS v, count(*) FILTER (ts < '2024-01-26') AS u FROM ev),
 zz AS (SELECT * FROM z, c) """ + _describe({"train": ("0", "v - 24"), "valid": ("v", "u - 24"), "unseen": ("u", "n")}, "zz")
+    q["time_holdout"] = f"WITH {sized} " + _describe(
+        {"train": ("0", "n - round_even(n * 0.2, 0)::BIGINT - 24"), "valid": ("n - round_even(n * 0.2, 0)::BIGINT", "n")}, "z")
+    q["date_holdout"] = f"""WITH {sized}, c AS (SELECT count(*) FILTER (ts < '2024-01-20') AS v FROM ev),
+zz AS (SELECT * FROM z, c) """ + _describe({"train": ("0", "v - 24"), "valid": ("v", "n")}, "zz")
     q["split_random"] = """WITH c AS (SELECT count(*) AS n, round_even(count(*) * 0.2, 0)::BIGINT AS t FROM events)
 SELECT true AS is_test, t AS rows FROM c UNION ALL SELECT false, n - t FROM c"""
     q["fold_audit"] = _audit("""SELECT i AS fold, 0 AS train_lo, n - (6 - i) * (n // 6) - 24 AS train_hi, n - (6 - i) * (n // 6) AS test_lo,
@@ -345,6 +352,10 @@ FROM s x JOIN s y ON x.f < y.f LEFT JOIN b ON b.fa = x.f AND b.fb = y.f"""
     level = "CASE WHEN count(*) OVER (PARTITION BY {c}) >= 0.01 * count(*) OVER () THEN {c} ELSE 'infrequent' END"
     q["encode_onehot"] = " UNION ALL ".join(
         f"SELECT p_partkey, '{c}_' || {level.format(c=c)} AS feature FROM part" for c in ("p_type", "p_name"))
+    q["encode_filled"] = """WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN p_type END AS t FROM part),
+m AS (SELECT t AS m FROM p WHERE t IS NOT NULL GROUP BY t ORDER BY count(*) DESC, t LIMIT 1),
+f AS (SELECT p_partkey, coalesce(t, m) AS t FROM p, m)
+SELECT p_partkey, 'p_type_' || CASE WHEN count(*) OVER (PARTITION BY t) >= 0.01 * count(*) OVER () THEN t ELSE 'infrequent' END AS feature FROM f"""
     q["encode_ordinal"] = """SELECT o_orderkey, coalesce(k, -1)::DOUBLE AS o_orderpriority FROM orders LEFT JOIN (
   SELECT o_orderpriority, row_number() OVER (ORDER BY o_orderpriority) - 1 AS k FROM (SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderpriority <> '3-MEDIUM'))
 USING (o_orderpriority)"""
@@ -450,6 +461,8 @@ SELECT bin, {r('median(x)')} AS x, {r('avg(y)')} AS y FROM b GROUP BY bin"""
 
     # what if
     q["scenario_rows"] = f"WITH {MOVED} SELECT ord, ts, {r('baseline')} AS baseline, {r('scenario')} AS scenario, {r('scenario - baseline')} AS delta FROM mv"
+    q["predicted_period"] = f"""WITH {EVENTS} SELECT ord, ts, {r('30.0 + 0.1 * user_id + 0.2 * k')} AS prediction FROM ev
+WHERE ts BETWEEN '2024-01-10 06:00:00' AND '2024-01-12 18:30:00'"""
     q["scenario_summary"] = f"""WITH {MOVED} SELECT {r('avg(baseline)')} AS baseline_mean, {r('avg(scenario)')} AS scenario_mean, {r('avg(scenario - baseline)')} AS mean_change,
   {r('100 * avg(scenario - baseline) / avg(baseline)')} AS change_pct, {r('max(scenario - baseline)')} AS max_up, {r('min(scenario - baseline)')} AS max_down FROM mv"""
     nu, nk = "user_id * (1 + 10.0 / 100)", "k + (user_id * (1 + 10.0 / 100) - user_id) * 0.5 + 5.0"
@@ -470,7 +483,7 @@ SELECT {r('arg_min(grid, abs(p - 45.0))')} AS best_value, {r('arg_min(p, abs(p -
 
     # unsupervised
     q["cluster_profile"] = "WITH t AS (" + " UNION ALL ".join(
-        f"SELECT 'd{i}' AS feature, label, embedding[{i + 1}]::DOUBLE AS v FROM embeddings" for i in range(8)) + f""")
+        f"SELECT 'd{i}' AS feature, label, embedding[{i + 1}]::DOUBLE AS v FROM embeddings" for i in range(64)) + f""")
 SELECT feature, label AS cluster, {r('avg(v)')} AS cluster_mean, count(*) AS rows, {r('any_value(o)')} AS overall_mean
 FROM t JOIN (SELECT feature, avg(v) AS o FROM t GROUP BY 1) USING (feature) GROUP BY feature, label"""
     q["cluster_quality"] = f"""WITH t AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS d FROM embeddings),
@@ -483,7 +496,7 @@ bt AS (SELECT c.label, sum((c.m - o.m) ** 2) AS b FROM c JOIN o USING (d) GROUP
 SELECT count(*)::INT AS n_clusters, (SELECT {r('avg(worst)', 4)} FROM db) AS davies_bouldin,
   {r('sum(n * b) * (sum(n) - count(*)) / (sum(w) * (count(*) - 1))', 4)} AS calinski_harabasz FROM s JOIN bt USING (label)"""
 
-    q["nearest_neighbours"] = f"""WITH v AS (SELECT vec_id, CAST(embedding[1:16] AS DOUBLE[]) AS e, label FROM embeddings),
+    q["nearest_neighbours"] = f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),
 d AS (SELECT a.vec_id, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.e, b.e)) AS k
   FROM v a, v b WHERE a.vec_id % 2 = 1 AND b.vec_id % 2 = 0)
 SELECT vec_id, {r('avg(label)')} AS prediction FROM d WHERE k <= 15 GROUP BY 1"""
