@@ -28,6 +28,7 @@ def corpus(rng: random.Random, copies: int) -> list[tuple]:
 def test_texts_are_linked_as_by_brute_force(spark, monkeypatch, width):
     monkeypatch.setattr(minhash, "PART", 16)        # blocks of a large group
     monkeypatch.setattr(minhash, "HUBS", 2)
+    monkeypatch.setattr(minhash, "FEW_HUBS", 1)
     rows = corpus(random.Random(width), 150)
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("x")).withColumn("kept", F.lit(1))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs, width).collect()}

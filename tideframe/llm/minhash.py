@@ -29,6 +29,7 @@ from tideframe.llm.graph import components
 
 K = 64
 HUBS = 8
+FEW_HUBS = 3
 PART = 256
 SMALL = 2_000_000       # rows of (id, hash) that may be broadcast: some 50 MB
 
@@ -69,7 +70,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
 def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, shingles): the whole sets of ``nodes``, read again from one text of each."""
-    own = nodes.select(F.col("rep.doc_id").alias("_id"), F.col("rep.tk").alias("_tk"))
+    own = staging.store(nodes.select(F.col("rep.doc_id").alias("_id"), F.col("rep.tk").alias("_tk")), "wanted")
     if own.count() <= SMALL:
         own = F.broadcast(own)
     source = docs.withColumn("tk", F.xxhash64("text"))
@@ -117,17 +118,16 @@ def inverted(nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def hub_pairs(lists: DataFrame) -> DataFrame:
-    """(a, b): each list's members with its most central ones, those whose sketches
-    hold the most common values; lists of up to HUBS + 1 members yield all their pairs."""
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("df") / PART))
-    best = [F.desc("weight"), F.col("node")]
-    tops = lists.withColumn("part", part) \
-        .withColumn("n", F.row_number().over(Window.partitionBy("v", "part").orderBy(*best))).where(F.col("n") <= HUBS) \
-        .withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy(*best))).where(F.col("n") <= HUBS)
+    """(a, b): each list's members with its most central ones, those whose sketches hold the
+    commonest values. Lists of up to HUBS + 1 members yield all their pairs, longer ones
+    have FEW_HUBS. A limited rank is taken map-side first, so no task sorts a whole list."""
+    best = Window.partitionBy("v").orderBy(F.desc("weight"), "node")
+    rank = F.row_number().over(best)
+    tops = lists.withColumn("rank", rank).where(F.col("rank") <= HUBS) \
+        .where((F.col("rank") <= FEW_HUBS) | (F.col("df") <= HUBS + 1))
     hubs = tops.groupBy("v").agg(F.sort_array(F.collect_list("node")).alias("hubs"))
-    met = lists.select("v", "node").join(hubs, "v").groupBy("node").agg(F.collect_set("hubs").alias("hubs"))
-    pairs = met.select("node", F.explode(F.array_distinct(F.flatten("hubs"))).alias("hub")).where("node <> hub")
-    return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    met = lists.select("v", "node").join(hubs, "v").groupBy(F.col("node").alias("a")).agg(F.collect_set("hubs").alias("hubs"))
+    return met.select("a", F.explode(F.array_distinct(F.flatten("hubs"))).alias("b")).where("a <> b")
 
 
 def _two(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
@@ -149,28 +149,18 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _two(pairs, sets, "shingles").where(both * 100 >= union * percent).select("a", "b")
 
 
-def _similar(one: np.ndarray, others: list[np.ndarray], k: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """(intersection, union) sizes of one sorted set with others; within the union's k smallest if k is given."""
-    sizes = np.array([len(o) for o in others])
-    flat = np.concatenate(others)
+def _common(one: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of one sorted set with the sets that ``flat`` strings together."""
     at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
-    hit = one[at] == flat
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    both = np.add.reduceat(hit, starts)
-    union = sizes + len(one) - both
-    if k is not None:
-        for i in np.flatnonzero(union > k):
-            cut = np.partition(np.union1d(one, others[i]), k - 1)[k - 1]
-            own = slice(starts[i], starts[i] + sizes[i])
-            both[i], union[i] = (hit[own] & (flat[own] <= cut)).sum(), k
-    return both, union
-
-
-def crossed(members: DataFrame, table: DataFrame, column: str, least: float, k: int | None, spanning: bool) -> DataFrame:
+    return np.add.reduceat((one[at] == flat).astype(np.int64), starts)
+
+
+def crossed(members: DataFrame, table: DataFrame, column: str, least: float, spanning: bool) -> DataFrame:
     """Members outside the main component of their group against all of it.
 
-    ``members`` (main, node, label, outer) meet in blocks. Returns the spanning
-    links (a, b) of each block, or (main, node) of all that are in any.
+    ``members`` (main, node, label, outer) meet in blocks. Returns the spanning links
+    (a, b) of each block, by the full sets; or, by sketches, (main, node) of all that
+    share ``least`` of the smaller sketch with any, which linked sets do.
     """
     counts = members.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"),
                                          F.ceil(F.sum(F.col("outer").cast("int")) / PART).cast("int").alias("outs"))
@@ -193,9 +183,12 @@ def crossed(members: DataFrame, table: DataFrame, column: str, least: float, k:
             return x
 
         found, touched = [], {}
+        flat, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         for node, label, own in zip(one["node"], one["label"], one["values"]):
-            both, union = _similar(own, sets, k)
-            for i in np.flatnonzero((both >= least * union - 1e-9) & (labels != label)):
+            both = _common(own, flat, starts)
+            whole = sizes + len(own) - both if spanning else np.minimum(sizes, len(own))
+            for i in np.flatnonzero((both >= least * whole - 1e-9) & (labels != label)):
                 touched[node] = touched[nodes[i]] = True
                 a, b = root(label), root(labels[i])
                 if spanning and a != b:
@@ -226,19 +219,19 @@ def links(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFr
     floor = floor_of(percent)
     lists = inverted(nodes, percent)
     pairs = staging.store(estimated(hub_pairs(lists), nodes, floor), "pairs")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = full_sets(docs, nodes.join(ends, "node"), width)
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    sets = full_sets(docs, nodes.join(ends, "node", "left_semi"), width)
     first = staging.store(confirmed(pairs, sets, percent), "links")
     members = staging.store(unsettled(lists, components(first)), "members")
     if members.isEmpty():
         return first
-    near = staging.store(crossed(members, nodes, "sketch", floor, K, False).distinct(), "near")
+    near = staging.store(crossed(members, nodes, "sketch", floor, False).distinct(), "near")
     members = staging.store(members.join(near.select(F.col("a").alias("main"), F.col("b").alias("node")),
                                          ["main", "node"]), "members")
     if members.isEmpty():
         return first
-    sets = full_sets(docs, nodes.join(members.select("node").distinct(), "node"), width)
-    return first.union(staging.store(crossed(members, sets, "shingles", percent / 100, None, True), "links"))
+    sets = full_sets(docs, nodes.join(members, "node", "left_semi"), width)
+    return first.union(staging.store(crossed(members, sets, "shingles", percent / 100, True), "links"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
