@@ -27,7 +27,7 @@ from tideframe.functions.names import q
 from tideframe.llm import text as tx
 
 SHORTEST, LONGEST = 4, 8        # letters of a word's beginning
-SAMPLE = 50_000                 # rows, at most, that the curve is fitted on
+SAMPLE = 10_000                 # rows, at most, that the curve is fitted on
 ENTRIES = 5_000                 # lexicon entries, at most
 CANDIDATES = 200_000            # words and beginnings looked at more closely, at most
 #: Phrases in which an entry means no harm.
