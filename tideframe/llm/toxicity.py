@@ -12,12 +12,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -231,12 +229,11 @@ def clean(docs: DataFrame, model: Model, most: float = 0.5, text_col: str = "tex
     """The rows of ``docs`` that score below ``most``, with all their columns."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def keep(batches):
         machine = sent.value.automaton()
-        for texts in batches:
-            batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], ["text"])
-            found = [sent.value.scores(sent.value.measures(part.column(0), machine)) for part in tx.slices(batch, "text")]
-            yield pd.Series(np.concatenate(found) if found else np.zeros(0))
+        for batch in batches:
+            for part in tx.slices(batch, text_col):
+                found = sent.value.measures(part.column(part.schema.get_field_index(text_col)), machine)
+                yield part.filter(pa.array(sent.value.scores(found) < most))
 
-    return tx.small_batches(docs).where(judge(F.col(q(text_col))) < most)
+    return tx.small_batches(docs).mapInArrow(keep, docs.schema)
