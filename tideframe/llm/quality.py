@@ -42,6 +42,14 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_c
     return docs.join(own, F.col("doc_id") == F.col("_id")).drop("_id")
 
 
+def drawn(rows: DataFrame, sample: int, seed: int = 42) -> DataFrame:
+    """Up to ``sample`` of the rows, by a hash of doc_id. A share a little larger is taken where
+    the rows are, so the task that ends the draw reads no more than that from all of them."""
+    share = min(1.0, 1.2 * sample / max(1, rows.count()))
+    lot = F.xxhash64("doc_id", F.lit(seed))
+    return rows.where(F.pmod(lot, F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(lot, "doc_id").limit(sample)
+
+
 def features(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, row) of every word and n-gram. An n-gram may begin or end with the
     white space beside a word, which marks its border, but holds none inside."""
@@ -98,8 +106,7 @@ def train(rows: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS, dims: i
           rate: float = 0.5, seed: int = 42) -> Model:
     """Fit on up to ``sample`` rows of (doc_id, text, label), drawn by a hash of the id. The driver
     holds the sample's feature counts, some 20 KB for a text of a few pages. Classes weigh alike."""
-    drawn = rows.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
-    got = _counted(drawn, buckets).collect()
+    got = _counted(drawn(rows, sample, seed), buckets).collect()
     seen = [(np.frombuffer(r["bucket"], dtype=np.int32), np.frombuffer(r["n"], dtype=np.float32), r["label"]) for r in got]
     seen = [(b, n / n.sum(), y) for b, n, y in seen if len(b)]
     rng = np.random.default_rng(seed)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tideframe import staging
 from tideframe.functions.names import q
-from tideframe.llm import text as tx
+from tideframe.llm import quality, text as tx
 
 SHORTEST, LONGEST = 4, 8        # letters of a word's beginning
 SAMPLE = 10_000                 # rows, at most, that the curve is fitted on
@@ -164,8 +164,7 @@ def train(lexicon_rows: DataFrame, curve_rows: DataFrame, least: float = 1.5, sh
     weight = {t: _weight(n, bad, clean.get(t, 0), good) for t, n in toxic.items()}
     best = sorted((t for t in weight if weight[t] >= least), key=lambda t: (-weight[t] * toxic[t], t))[:ENTRIES]
     model = Model({t: weight[t] for t in best}, np.array([-3.0, 1.0, 1.0, -1.0]), np.zeros(3), np.ones(3), exceptions)
-    drawn = curve_rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    seen = measures(drawn, model, "label").toPandas()
+    seen = measures(quality.drawn(curve_rows, sample), model, "label").toPandas()
     if seen["label"].nunique() == 2:
         x, y = np.stack(seen["measures"].to_numpy()), seen["label"].to_numpy(dtype=float)
         model.centre, model.spread = x.mean(0), np.maximum(x.std(0), 1e-6)
