@@ -1,6 +1,8 @@
 """Line dedup, URL rules and benchmark passages."""
 
 import fnmatch
+import itertools
+import math
 import random
 import re
 
@@ -124,3 +126,47 @@ def test_passages_with_replaced_words_are_found(spark):
     assert left.columns == ["doc_id", "text", "tk"] and left.where("doc_id is null").count() == 1
     assert left.count() == len(rows) + 1 - len({d for d, _ in planted}) - 1
     assert decontaminate.hits(docs.limit(0), bench).count() == decontaminate.hits(docs, bench.limit(0)).count() == 0
+
+
+def test_masks_are_met_whatever_the_rule_lets_be_replaced():
+    for size in range(1, decontaminate.WINDOW + 1):
+        masks = [m for least, m in decontaminate.FAMILIES if least <= size][-1]
+        places = [sum(1 << (at + i) for i, c in enumerate(m) if c == "1") for m in masks for at in range(size - len(m) + 1)]
+        for gone in itertools.combinations(range(size), size - math.ceil(0.75 * size)):
+            hit = sum(1 << i for i in gone)
+            assert any(not hit & p for p in places), (size, gone)
+
+
+def test_hits_are_those_of_all_alignments(spark):
+    rng = random.Random(8)
+    vocabulary = [f"tok{i}" for i in range(40)]
+    sizes = list(range(0, 34)) * 2
+    items = [(i, " ".join(rng.choices(vocabulary, k=n))) for i, n in enumerate(sizes)] + [(500, "春眠不覚暁"), (501, None)]
+    rows = [(900, "処処聞啼鳥。春眠不覚暁、夜来風雨声"), (901, None), (902, "")]
+    for i in range(300):
+        words = rng.choices(vocabulary, k=rng.randrange(0, 40))
+        item = items[rng.randrange(len(sizes))][1].split()
+        begin = rng.randrange(max(1, len(item) - 15))
+        part = item[begin:begin + 16]
+        for at in rng.sample(range(len(part)), min(len(part), rng.randrange(6))):
+            part[at] = "replaced"
+        rows.append((i, " ".join(words[:3] + part + words[3:])))
+
+    def best(text, item):
+        found = []
+        for shift in range(-len(item) + 1, len(text)):
+            same = [x == text[i + shift] for i, x in enumerate(item) if 0 <= i + shift < len(text)]
+            width = min(16, len(item))
+            if any(4 * sum(same[i:i + width]) >= 3 * width for i in range(len(same) - width + 1)):
+                found.append(sum(same))
+        return max(found, default=None)
+
+    split = {i: [t for t in re.split(r"[\W_]+", (x or "").lower()) if t] for i, x in items}
+    want = {}
+    for d, x in rows:
+        text = [t for t in re.split(r"[\W_]+", (x or "").lower()) if t]
+        want |= {(d, i): n for i, item in split.items() if item and (n := best(text, item)) is not None}
+    assert (900, 500) in want
+    got = decontaminate.hits(spark.createDataFrame(rows, "doc_id long, text string"),
+                             spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]): r["matched"] for r in got.collect()} == want
