@@ -47,6 +47,16 @@ def test_repeated_rows_null_ids_and_no_rows(spark):
     assert left.where("doc_id is not null").count() == 1
 
 
+def test_repeated_and_null_ids_lose_no_text_and_keep_no_copy(spark):
+    a, b, c, d, e = ("".join(f"{x}{i} " for i in range(30)) for x in "abcde")
+    rows = [(3, b), (5, a), (5, b), (7, c), (7, d), (7, c), (7, c + "more"), (8, None), (8, None), (None, a), (None, e), (None, e),
+            (None, e.upper()), (None, "")]
+    left = minhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    groups = {a: "a", b: "b", c: "c", c + "more": "c", d: "d", e: "e", e.upper(): "e"}
+    got = sorted((str(r["doc_id"]), str(groups.get(r["text"], r["text"]))) for r in left)
+    assert got == sorted([("3", "b"), ("5", "a"), ("7", "c"), ("7", "d"), ("None", "e"), ("8", "None"), ("8", "None"), ("None", "")])
+
+
 def test_one_very_long_text(spark):
     long = " ".join(str(i) for i in range(400_000))
     docs = spark.createDataFrame([(1, long), (2, long + " more"), (3, "x" * 3_000_000)], "doc_id long, text string")

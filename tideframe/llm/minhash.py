@@ -247,33 +247,43 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     rows is kept. Null ids never name a component unless it holds no other; its
     rows are then kept. No rows give no rows. Other columns are not read.
     """
+    out = _grouped(docs, width, percent, id_col, text_col)
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("rep.doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"),
+                      F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def _grouped(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, tk, n_shingles, node, rep) for every row. rep names one text of the row's component:
+    (none, doc_id, tk) with the smallest id, a null id last, and of its texts the smallest tk."""
     docs = docs.select(F.col(q(id_col)).alias("doc_id"), F.col(q(text_col)).alias("text"))
     rows = staging.store(signatures(docs, width), "signatures")
+    rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")
     nodes = staging.store(rows.where("node is not null").groupBy("node").agg(
-        F.min(F.struct("doc_id", "tk")).alias("rep"), F.min("doc_id").alias("least_id"),
-        F.first("sketch").alias("sketch")), "nodes")
+        F.min(rep).alias("rep"), F.first("sketch").alias("sketch")), "nodes")
     found = components(links(docs, nodes, width, percent))
-    named = nodes.select("node", "least_id").join(found, "node", "left") \
+    named = nodes.select("node", "rep").join(found, "node", "left") \
         .withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of = named.join(least, "component").select("node", "component_id")
-    out = rows.select("doc_id", "n_shingles", "node").join(of, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(component).alias("kept"))
+    least = named.groupBy("component").agg(F.min("rep").alias("rep"))
+    of = named.drop("rep").join(least, "component").select("node", "rep")
+    return rows.select("doc_id", "tk", "n_shingles", "node").join(of, "node", "left")
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one of each group, with all their columns. Of rows
-    that repeat an id any one stays; rows without an id stay."""
-    found = staging.store(near_duplicates(docs, width, percent, id_col, text_col).select("doc_id", "kept"), "groups")
-    kept = docs.join(_few(found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()),
-                     F.col(q(id_col)) == F.col("_gone"), "left_anti")
-    again = _few(found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_again")).count()
-                 .where("count > 1").select("_again"))
-    repeats = F.col(q(id_col)) == F.col("_again")
-    return kept.join(again, repeats, "left_anti").unionByName(kept.join(again, repeats, "left_semi").dropDuplicates([id_col]))
+    """The rows of ``docs`` that stay, one of each group, with all their columns.
+
+    A row is known by its id and a hash of its text, so texts that share an id, or
+    have none, are each in their own group; of rows alike in both any one stays.
+    Null and empty texts are in no group and all stay.
+    """
+    stays = F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("tk") == F.col("rep.tk"))
+    found = staging.store(_grouped(docs, width, percent, id_col, text_col).where("node is not null").select(
+        F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), stays.alias("_stays")), "groups")
+    same = F.col(q(id_col)).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(q(text_col))) == F.col("_tk"))
+    kept = docs.join(_few(found.where("not _stays").select("_id", "_tk").distinct()), same, "left_anti")
+    again = _few(found.where("_stays").groupBy("_id", "_tk").count().where("count > 1").select("_id", "_tk"))
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def _few(ids: DataFrame) -> DataFrame:
