@@ -3,8 +3,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import as_series, pandas_of, walk
+from tests.conftest import SF, as_series, pandas_of, walk
 from tideframe.operators import (axis, blend as B, diagnose as D, explain as X, models as M, whatif as W)
+from tideframe.plans import catalog
 
 COLS = ["x1", "x2", "x3"]
 
@@ -106,6 +107,12 @@ def test_sampled_contributions_of_a_linear_model_are_exact(fitted):
     assert got.base_value == pytest.approx(want.base_value)
 
 
+def test_the_query_explains_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(X, "importance", lambda c: c.table)
+    got = catalog.sampled_contributions(spark, SF)
+    assert got.select("ord").distinct().count() == catalog._training(spark, SF)[0].df.count()
+
+
 @pytest.fixture(scope="module")
 def halves(spark):
     """Contributions of valve grow sixfold in the second half."""

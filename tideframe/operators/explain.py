@@ -143,13 +143,13 @@ def sampled_shapley(pipe, rows: DataFrame, ts: str, cfg: ShapConfig = ShapConfig
             for o, v in zip(pdf[ORD], pdf["v"]):
                 x = np.asarray(v, dtype=float)
                 rng = np.random.default_rng([seed, int(o)])
-                for b, z in enumerate(start):
-                    order = rng.permutation(d)
-                    path = np.repeat(z[None, :], d + 1, axis=0)
-                    for s, j in enumerate(order, 1):
-                        path[s:, j] = x[j]
-                    yield pd.DataFrame({ORD: o, "draw": b, "step": range(d + 1), "at": [-1, *order],
-                                        "v": list(path)})
+                orders = np.array([rng.permutation(d) for _ in start])
+                places = np.argsort(orders, axis=1)                # of each feature in its walk
+                switched = places[:, None, :] < np.arange(d + 1)[None, :, None]
+                path = np.where(switched, x, start[:, None, :]).reshape(-1, d)
+                yield pd.DataFrame({ORD: o, "draw": np.repeat(np.arange(len(start)), d + 1),
+                                    "step": np.tile(np.arange(d + 1), len(start)),
+                                    "at": np.insert(orders, 0, -1, axis=1).ravel(), "v": list(path)})
 
     steps = rows.select(ORD, vector_to_array("features").alias("v")).mapInPandas(
         walks, f"{ORD} bigint, draw int, step int, at int, v array<double>")

@@ -877,7 +877,7 @@ def _one_model(spark, sf, name: str):
 @query
 def sampled_contributions(spark, sf):
     s, _, _, pipe = _one_model(spark, sf, "DecisionTree")
-    c = X.explain(pipe, s, X.ShapConfig(background=10, rows=F.col(ORD) % 10 == 0))
+    c = X.explain(pipe, s, X.ShapConfig())
     return shown(X.importance(c))
 
 
