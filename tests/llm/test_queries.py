@@ -36,7 +36,7 @@ def test_query_equals_its_sql(spark, db, name):
 
 def test_all_queries_are_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14)) and "pipeline" in entry.queries()
     assert set(queries.SQL) <= set(entry.oracle_sql())
 
 

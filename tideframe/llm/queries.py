@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tideframe.llm import (crosspoly, decontaminate, langid, linededup, minhash, mixing, quality, sharding, toxicity,
-                           urlfilter)
+from tideframe.llm import (audit, crosspoly, decontaminate, langid, linededup, minhash, mixing, quality, sharding, topk,
+                           toxicity, urlfilter, whiten)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,6 +112,21 @@ def op10_mixing(spark, sf):
                        F.round("_target", 6).alias("target"), (F.col("_size") * F.size("_shards")).cast("long").alias("taken"))
 
 
+@query
+def op11_filter_audit(spark, sf):
+    return audit.interactions(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op12_whitening(spark, sf):
+    return whiten.whitened(table(spark, sf, "embeddings"))
+
+
+@query
+def op13_top_k(spark, sf):
+    return topk.top_k(table(spark, sf, "embeddings"))
+
+
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _REACH = """
 reach AS (SELECT id, id AS c FROM nodes UNION SELECT e.b, r.c FROM reach r JOIN links e ON e.a = r.id),
@@ -245,6 +260,47 @@ SELECT doc_id, size, s::BIGINT AS source_size, round(target, 6) AS target,
   (size * (whole + (2 * start + size < 2 * rest)::INT))::BIGINT AS taken FROM placed"""
 
 
+def _op11_sql() -> str:
+    """Masks as strings of failing letters, all orders by joining the letters."""
+    letters = "(VALUES ('A'), ('B'), ('C'), ('D'), ('E'))"
+    return rf"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+f AS (
+  SELECT doc_id, part, CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails FROM d),
+cells AS MATERIALIZED (
+  SELECT part, fails, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic, count(*) AS n
+  FROM f LEFT JOIN labels USING (doc_id) GROUP BY ALL),
+orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS o FROM {letters} a(l), {letters} b(l), {letters} c(l), {letters} d(l), {letters} e(l)
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps AS (SELECT o, s, substr(o, s, 1) AS l, substr(o, 1, s - 1) AS before FROM orders, range(1, 6) r(s)),
+met AS (SELECT part, o, s, l, n, fails, good, toxic, strpos(fails, l) > 0 AS hit,
+  length(translate(fails, before, '')) < length(fails) AS gone FROM cells, steps),
+counts AS (SELECT part, o, s, l, sum(n) FILTER (NOT gone AND NOT hit) AS kept, sum(n) FILTER (hit AND NOT gone) AS removed,
+  sum(n) FILTER (hit AND gone) AS redundant, sum(n) FILTER (fails = l) AS unique_fails,
+  sum(n) FILTER (hit AND NOT gone AND good) AS good_lost, sum(n) FILTER (hit AND NOT gone AND toxic) AS toxic_lost
+  FROM met GROUP BY part, o, s, l)
+SELECT part, o AS filter_order, s::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+  coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  (sum(coalesce(removed, 0)) OVER (PARTITION BY part, l))::BIGINT AS shapley FROM counts"""
+
+
+SQL |= {
+    "op11_filter_audit": _op11_sql(),
+    "op13_top_k": """
+WITH good AS MATERIALIZED (
+  SELECT vec_id AS id, list_transform(embedding, lambda c: floor(64 * c::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT x.id AS query_id, y.id AS vec_id, list_inner_product(x.v::DOUBLE[], y.v::DOUBLE[])::BIGINT AS score
+  FROM good x JOIN good y ON x.id <> y.id WHERE x.id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 20""",
+}
 SQL |= {"op4_sharding": _op4_sql(), "op8_decontamination": _op8_sql(), "op10_mixing": _op10_sql()}
 
 
