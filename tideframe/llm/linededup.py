@@ -25,7 +25,6 @@ from tideframe.llm import text as tx
 SLOTS = 4
 SHARD_KEYS = 32_768
 FILTER_BYTES = 64 << 20     # filters beyond this are not sent round; every line then meets the counts
-OTHER = tx.mix(tx.FOLDED ^ np.uint64(0x2545F4914F6CDD1D))
 
 
 class Cuckoo:
@@ -123,8 +122,8 @@ def lines(part: pa.RecordBatch, text: str = "text"):
 
 
 def _keys(data, left, right) -> tuple[np.ndarray, np.ndarray]:
-    return (tx.hash_spans(data, left, right).view(np.int64),
-            tx.hash_spans(data, left, right, OTHER).view(np.int64))
+    return (tx.folded_hashes(data, left, right).view(np.int64),
+            tx.folded_hashes(data, left, right, 1).view(np.int64))
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -8,6 +8,7 @@ its own bytes and eight bytes a word.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,6 +109,42 @@ def hash_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray, table: np.n
     return mix(out)
 
 
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+LONG = 512      # bytes beyond which a span is hashed by itself
+
+
+def folded_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash for each span with A-Z lower-cased, to know spans by: eight bytes at a time go
+    through the mixer, and very long spans through BLAKE2, so that unlike the polynomial of
+    ``hash_spans``, which serves learned features, no pattern of bytes cancels out."""
+    low = LOWER[data]
+    eights = np.ndarray(len(data) + 1, dtype="<u8", buffer=np.concatenate((low, np.zeros(8, dtype=np.uint8))), strides=(1,))
+    size = end - begin
+    out = mix(size.astype(np.uint64) + np.uint64((2 * seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+    live, at = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(live):
+        lane, left = eights[begin[live] + at], size[live] - at
+        lane = np.where(left >= 8, lane, lane & ((np.uint64(1) << (8 * np.minimum(left, 7)).astype(np.uint64)) - np.uint64(1)))
+        out[live] = mix(out[live] ^ lane) + np.uint64(0x9E3779B97F4A7C15)
+        at += 8
+        live = live[left > 8]
+    for i in np.flatnonzero(size > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(low[begin[i]:end[i]], digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return mix(out)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` has it in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shingles(words: np.ndarray, first: np.ndarray, width: int) -> Iterator[np.ndarray]:
     """Row by row the sorted distinct hashes of its ``width``-word shingles; a
     shorter row is one shingle, a row without words has none."""
