@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tideframe import staging
 from tideframe.functions.names import q
+from tideframe.llm import text as tx
 
 WINDOW = 16
 #: (least tokens of an item, masks), by that number. Masks that serve n tokens of which k were replaced serve n + 1 with k, too, and n - 1 with k - 1.
@@ -145,8 +146,13 @@ def _few(rows: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` in which no item is found, with all their columns."""
-    bad = hits(docs, items, id_col, text_col, **how).select(F.col("doc_id").alias("_bad"), F.col("tk").alias("_tk"))
+    """The rows of ``docs`` in which no item is found, with all their columns.
+
+    Rows that repeat stay or go together; null and empty texts stay, as does
+    everything if there is no item. No rows give no rows.
+    """
+    id_, tk = tx.unused(docs, "_id", "_tk")
+    bad = hits(docs, items, id_col, text_col, **how).select(F.col("doc_id").alias(id_), F.col("tk").alias(tk))
     bad = staging.store(bad.distinct(), "bad")
-    same = F.col(q(id_col)).eqNullSafe(F.col("_bad")) & (F.xxhash64(F.col(q(text_col))) == F.col("_tk"))
+    same = F.col(q(id_col)).eqNullSafe(F.col(id_)) & (F.xxhash64(F.col(q(text_col))) == F.col(tk))
     return docs.join(_few(bad), same, "left_anti")

@@ -47,7 +47,7 @@ def _node(shingles: np.ndarray) -> bytes:
 def _sets(part: pa.RecordBatch, width: int) -> list[np.ndarray]:
     data, offsets = tx.utf8(part.column(part.schema.get_field_index("text")))
     begin, end, first = tx.spans(data, offsets)
-    return list(tx.shingles(tx.hash_spans(data, begin, end), first, width))
+    return list(tx.shingles(tx.folded_hashes(data, begin, end), first, width))
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
@@ -275,14 +275,15 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
 
     A row is known by its id and a hash of its text, so texts that share an id, or
     have none, are each in their own group; of rows alike in both any one stays.
-    Null and empty texts are in no group and all stay.
+    Null and empty texts are in no group and all stay. No rows give no rows.
     """
+    id_, tk = tx.unused(docs, "_id", "_tk")
     stays = F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("tk") == F.col("rep.tk"))
     found = staging.store(_grouped(docs, width, percent, id_col, text_col).where("node is not null").select(
-        F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), stays.alias("_stays")), "groups")
-    same = F.col(q(id_col)).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(q(text_col))) == F.col("_tk"))
-    kept = docs.join(_few(found.where("not _stays").select("_id", "_tk").distinct()), same, "left_anti")
-    again = _few(found.where("_stays").groupBy("_id", "_tk").count().where("count > 1").select("_id", "_tk"))
+        F.col("doc_id").alias(id_), F.col("tk").alias(tk), stays.alias("stays")), "groups")
+    same = F.col(q(id_col)).eqNullSafe(F.col(id_)) & (F.xxhash64(F.col(q(text_col))) == F.col(tk))
+    kept = docs.join(_few(found.where("not stays").select(id_, tk).distinct()), same, "left_anti")
+    again = _few(found.where("stays").groupBy(id_, tk).count().where("count > 1").select(id_, tk))
     return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
 
 

@@ -132,8 +132,9 @@ def judge(df: DataFrame, rules: list[Rule], url_col: str = "url", otherwise: str
     fit = best(F.concat("host", "path")) if rules else F.lit(-1)
     names, verdicts = (F.array(*[F.lit(x) for x in xs]) if rules else F.array(F.lit("")) for xs in
                        ([r.name for r in rules], [r.verdict for r in rules]))
-    df = df.withColumn("_fit", fit)
-    some = F.col("_fit") >= 0
-    return df.withColumn("rule", F.when(some, F.get(names, F.col("_fit")))) \
-        .withColumn("verdict", F.when(some, F.get(verdicts, F.col("_fit"))).otherwise(otherwise)).drop("_fit")
+    place, = tx.unused(df, "_fit")
+    df = df.withColumn(place, fit)
+    some = F.col(place) >= 0
+    return df.withColumn("rule", F.when(some, F.get(names, F.col(place)))) \
+        .withColumn("verdict", F.when(some, F.get(verdicts, F.col(place))).otherwise(otherwise)).drop(place)
 
