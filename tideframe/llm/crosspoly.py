@@ -84,7 +84,7 @@ def tables_for(dims: int, width: int, cosine: float, miss: float, pairs: int = 4
     b /= np.maximum(np.linalg.norm(b, axis=1), 1e-300)[:, None]
     hash_ = Hash(dims, 1, width, seed=11)
     found = _met(hash_.codes(a), hash_.codes(cosine * a + math.sqrt(1 - cosine ** 2) * b)).any((1, 2)).mean()
-    return max(2, min(256, math.ceil(math.log(miss) / math.log(max(1e-9, 1 - min(found, 1 - 1e-9))))))
+    return max(2, math.ceil(math.log(miss) / math.log(max(1e-9, 1 - min(found, 1 - 1e-9)))))
 
 
 def unit_vectors(rows: DataFrame) -> DataFrame:
