@@ -75,14 +75,16 @@ def drawn(docs: DataFrame, shards: int = 16, share: float = 1.5, weights: tuple[
     output shard of each copy, none to ``ceil(most)`` of them. ``carry`` adds the
     whole row as the struct _row, so no column of ``docs`` can clash. A source's taken words differ from its target by half a row at most. Null
     texts have no words, null sources form a source of their own, which is the
-    last; null or repeated ids are placed by the text as well, and rows alike in
-    both are interchangeable. No rows give no rows.
+    last; a source that is no string is compared as text. Rows are drawn by id and
+    text, so null or repeated ids spread as far as their texts differ, and rows
+    alike in both are interchangeable. No rows give no rows.
     """
     spark = docs.sparkSession
-    name = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(q(id_col)).cast("string"), F.lit("null")))
+    name = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(q(id_col)).cast("string"), F.lit("null")),
+                       F.md5(F.coalesce(F.col(q(text_col)), F.lit("")).cast("binary")))
     docs = docs.select(
         F.struct(*[F.col(q(c)) for c in docs.columns]).alias("_row"), F.col(q(id_col)).alias("_id"),
-        F.col(q(source_col)).alias("_source"), word_count(F.col(q(text_col))).alias("_size"),
+        F.col(q(source_col)).cast("string").alias("_source"), word_count(F.col(q(text_col))).alias("_size"),
         F.crc32(F.coalesce(F.col(q(text_col)), F.lit(""))).alias("_crc"), F.md5(name).alias("_draw"))
     thin = docs.select("_id", "_source", "_size", "_draw", "_crc")
     if not carry:

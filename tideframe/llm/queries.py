@@ -200,10 +200,11 @@ WITH RECURSIVE ids AS (SELECT DISTINCT doc_id FROM documents),{jumps("here", SHA
 codes AS MATERIALIZED (SELECT {table_} AS t),
 bytes AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n,
   list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS l FROM documents),
-sums AS (SELECT doc_id, n + 8 AS size, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, l),
+sums AS (SELECT doc_id, n, n + 8 AS size, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, l),
   lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) AS crc FROM bytes, codes)
 SELECT doc_id, size, crc AS text_crc32, 'key' AS law, here_last.s::INT AS shard,
-  row_number() OVER (PARTITION BY here_last.s ORDER BY substr(md5(CAST(doc_id AS VARCHAR)), 17, 3), doc_id, crc, size) - 1 AS slot,
+  row_number() OVER (PARTITION BY here_last.s ORDER BY
+    substr(md5(md5(CAST(doc_id AS VARCHAR)) || ':' || md5(CAST(crc AS VARCHAR)) || ':' || md5(CAST(n + 8 AS VARCHAR))), 17, 3), doc_id, crc, n) - 1 AS slot,
   grown_last.s::INT AS grown_shard
 FROM sums JOIN here_last USING (doc_id) JOIN grown_last USING (doc_id)"""
 
@@ -245,7 +246,7 @@ def _op10_sql() -> str:
     return r"""
 WITH rows_ AS MATERIALIZED (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-    md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS draw FROM documents),
+    md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS draw FROM documents),
 sums AS (SELECT source, sum(size) AS s, count(*) AS n FROM rows_ GROUP BY source),
 weighted AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1] AS w FROM sums),
 filled AS (SELECT *, (1.5 * sum(s) OVER () - coalesce(sum(2.0 * s) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tideframe.functions.names import q
+from tideframe.llm import text as tx
 
 CELLS = 4_096       # cells of a shard that places are counted in; three hex digits
 
@@ -49,17 +50,21 @@ def shard_of(key: Column, shards: int) -> Column:
 def assign(df: DataFrame, shards: int, key: str = "doc_id", ties: tuple[str, ...] = ()) -> DataFrame:
     """Adds shard, slot (gapless from 0 in its shard) and grown_shard, the shard if there were one more.
 
-    Slots go by the key's digest, the key and ``ties``; rows alike in all of them
+    The shard follows from the key alone; slots go by the digest of the key and
+    ``ties``, then by these, so the rows of one key spread over the cells that
+    places are counted in as far as their ties differ. Rows alike in all of them
     are interchangeable. Null keys share one shard, as do repeated keys. No rows
     give no rows. A column of ``df`` named like an added one is replaced.
     """
-    df = df.drop("shard", "slot", "grown_shard", "_cell", "_before")
-    k = F.col(q(key))
+    df = df.drop("shard", "slot", "grown_shard")
+    cell, before = tx.unused(df, "_cell", "_before")
+    k, more = F.col(q(key)), [F.col(q(t)) for t in ties]
+    mark = F.concat_ws(":", digest(k), *[F.md5(F.coalesce(t.cast("string"), F.lit("")).cast("binary")) for t in more])
     df = df.withColumns({"shard": shard_of(k, shards), "grown_shard": shard_of(k, shards + 1),
-                         "_cell": F.conv(F.substring(digest(k), 17, 3), 16, 10).cast("int")})
-    cells = df.groupBy("shard", "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("shard").orderBy("_cell")) - F.col("_n")    # CELLS rows a shard at most
-    cells = cells.select("shard", "_cell", before.alias("_before"))
-    place = Window.partitionBy("shard", "_cell").orderBy(k, *[F.col(q(t)) for t in ties])
-    return df.withColumn("slot", (F.row_number().over(place) - 1).cast("long")).join(cells, ["shard", "_cell"]) \
-        .withColumn("slot", F.col("slot") + F.col("_before")).drop("_cell", "_before")
+                         cell: F.conv(F.substring(F.md5(mark.cast("binary")), 17, 3), 16, 10).cast("int")})
+    cells = df.groupBy("shard", cell).agg(F.count(F.lit(1)).alias("n"))
+    sooner = F.sum("n").over(Window.partitionBy("shard").orderBy(cell)) - F.col("n")    # CELLS rows a shard at most
+    cells = cells.select("shard", cell, sooner.alias(before))
+    place = Window.partitionBy("shard", cell).orderBy(k, *more)
+    return df.withColumn("slot", (F.row_number().over(place) - 1).cast("long")).join(cells, ["shard", cell]) \
+        .withColumn("slot", F.col("slot") + F.col(before)).drop(cell, before)
