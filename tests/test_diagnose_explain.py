@@ -1,7 +1,11 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tests.conftest import SF, as_series, pandas_of, walk
 from tideframe.operators import (axis, blend as B, diagnose as D, explain as X, models as M, whatif as W)
@@ -87,7 +91,7 @@ def test_contributions_add_up(fitted):
     s, pipes = fitted
     cfg = X.ShapConfig(background=6, rows=F.col("ord") % 12 == 0)
     tree = X.explain(pipes["DecisionTree"], s, cfg)
-    assert tree.method == "sampled" and tree.table.select("ord").distinct().count() == 25
+    assert tree.method == "tree" and tree.table.select("ord").distinct().count() == 25
     assert sums(tree, pipes["DecisionTree"], s) < 1e-9
     assert sums(X.explain(pipes["Ridge"], s), pipes["Ridge"], s) < 1e-9
     blend = B.Blend("b", pipes, np.array([0.3, 0.7]), 1.5)
@@ -97,6 +101,92 @@ def test_contributions_add_up(fitted):
     assert solo.method == "blend" == X.method(B.Blend("b", pipes, np.array([1.0, 0.0])))
 
 
+def subsets_shapley(answer, x: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """Rows x features, by the definition: every subset of features from the row, the rest from a background row."""
+    n, d = x.shape
+    value = {}
+    for mask in range(1 << d):
+        own = np.array([mask >> i & 1 for i in range(d)], dtype=bool)
+        mixed = np.where(own, x[:, None, :], back[None, :, :]).reshape(-1, d)
+        value[mask] = answer(mixed).reshape(n, len(back)).mean(1)
+    out = np.zeros((n, d))
+    for i in range(d):
+        for mask in range(1 << d):
+            if not mask >> i & 1:
+                size = bin(mask).count("1")
+                out[:, i] += math.factorial(size) * math.factorial(d - size - 1) / math.factorial(d) * (value[mask | 1 << i] - value[mask])
+    return out
+
+
+def answer_of(pipe, spark, output: int, odds: bool = False):
+    def answer(x: np.ndarray) -> np.ndarray:
+        rows = spark.createDataFrame([(i, Vectors.dense(v)) for i, v in enumerate(x.tolist())], StructType([StructField("i", IntegerType()), StructField("features", VectorUDT())]))
+        out = pipe.predict_vectors(rows).orderBy("i").toPandas()
+        if pipe.prepared.task == "regression":
+            return out["prediction"].to_numpy()
+        p = np.stack(out["probability"].to_numpy())[:, output]
+        return np.log(p / (1 - p)) if odds else p
+    return answer
+
+
+@pytest.mark.parametrize("task,name,params", [
+    ("regression", "DecisionTree", {}), ("regression", "RandomForest", {"n_trees": 3, "max_depth": 5}),
+    ("regression", "GradientBoosting", {"n_rounds": 3}), ("classification", "DecisionTree", {"max_depth": 4}),
+    ("classification", "RandomForest", {"n_trees": 3, "max_depth": 4}), ("binary", "GradientBoosting", {"n_rounds": 3})])
+def test_tree_contributions_equal_all_subsets(spark, task, name, params):
+    pdf = walk(260, 5)
+    pdf["x4"] = np.random.default_rng(4).normal(size=260).round(1)
+    if task != "regression":
+        pdf["y"] = (pdf["y"].rank() * (3 if task == "classification" else 2) // 261).astype(int).astype(str)
+    s = as_series(spark, pdf)
+    kind = "regression" if task == "regression" else "classification"
+    ready = M.prepare(s, "y", ["x1", "x2", "x3", "x4"], axis.in_range(0, 200), M.FitConfig(task=kind, fold_selection=False))
+    pipe = M.fit(ready, M.ZOO[name], params)
+    cfg = X.ShapConfig(background=7, rows=F.col("ord") % 20 == 0)
+    rows = X.explained_rows(pipe, s, cfg)
+    x = np.array([r["features"].toArray() for r in rows.orderBy("ord").collect()])
+    back = X.background_rows(rows, cfg)
+    found = X.explain_classes(pipe, s, cfg) if kind == "classification" else {0: X.explain(pipe, s, cfg)}
+    assert len(found) == {"regression": 1, "classification": 3, "binary": 2}[task]
+    for output, c in enumerate(found.values()):
+        assert c.method == "tree" and c.space == {"regression": "prediction", "classification": "probability", "binary": "log odds"}[task]
+        answer = answer_of(pipe, spark, output, task == "binary")
+        wide = c.table.groupBy("ord").pivot("feature", pipe.names).agg(F.first("shap_value")).orderBy("ord").toPandas()
+        assert np.abs(wide[pipe.names].to_numpy() - subsets_shapley(answer, x, back)).max() < 1e-9
+        assert c.base_value == pytest.approx(answer(back).mean(), abs=1e-9)
+    if kind == "classification":
+        whole = X.explain(pipe, s, X.ShapConfig(target="0"))
+        first = X.explain_classes(pipe, s)["0"]
+        assert whole.base_value == first.base_value and whole.table.exceptAll(first.table).isEmpty()
+
+
+def test_sampled_contributions_explain_every_class(spark):
+    pdf = walk(120, 6)
+    pdf["y"] = (pdf["y"].rank() * 3 // 121).astype(int).astype(str)
+    s = as_series(spark, pdf)
+    ready = M.prepare(s, "y", COLS, axis.in_range(0, 100), M.FitConfig(task="classification", fold_selection=False))
+    pipe = M.fit(ready, M.ZOO["LogisticRegression"])
+    cfg = X.ShapConfig(background=5, rows=F.col("ord") < 9)
+    found = X.explain_classes(pipe, s, cfg)
+    p = np.stack([r["probability"] for r in pipe.predict(s).where("ord < 9").orderBy("ord").collect()])
+    for i, c in enumerate(found.values()):
+        got = np.array([r[0] for r in c.table.groupBy("ord").agg(F.sum("shap_value")).orderBy("ord").select("sum(shap_value)").collect()])
+        assert c.method == "sampled" and np.abs(got + c.base_value - p[:, i]).max() < 1e-9
+    assert X.explain(pipe, s, X.ShapConfig(background=5, rows=F.col("ord") < 9, target="2")).base_value == pytest.approx(found["2"].base_value)
+
+
+def test_a_given_tree_treats_unknown_values_as_large(spark):
+    pdf = pd.DataFrame({"ts": pd.date_range("2024", periods=6, freq="h"), "a": [1.0, 2.0, np.nan, 4.0, 5.0, 1.0], "b": [0.0, 9.0, 9.0, np.nan, 0.0, 0.0]})
+    s = as_series(spark, pdf)
+    tree = M.TreeFormula(("a", 2.0, ("b", 5.0, 1.0, 2.0), ("b", 5.0, 3.0, ("a", 4.0, 4.0, 8.0))))
+    c = X.explain(tree, s)
+    assert sums(c, tree, s) < 1e-12
+    flat = X.explain(M.TreeFormula(("a", 2.0, 7.0, 7.0)), s)
+    assert flat.base_value == 7.0 and flat.table.agg(F.max(F.abs("shap_value"))).first()[0] == 0
+    with pytest.raises(ValueError):
+        X.explain(tree, s, X.ShapConfig(among=F.lit(False)))
+
+
 def test_sampled_contributions_of_a_linear_model_are_exact(fitted):
     s, pipes = fitted
     rows = pipes["Ridge"].prepared.assemble(s).where("ord < 12")

@@ -11,11 +11,11 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tideframe import staging
 from tideframe.functions.names import q
-from tideframe.operators import blend as B, models as M, quantiles, scores, split as SP, timeaxis
+from tideframe.operators import blend as B, boxes, models as M, quantiles, scores, split as SP, timeaxis
 from tideframe.operators.axis import ORD, Series
 
 ZERO_WEIGHT = 1e-9
@@ -23,12 +23,16 @@ ZERO_WEIGHT = 1e-9
 
 @dataclass(frozen=True)
 class ShapConfig:
-    """``background`` rows stand for an absent feature; ``rows`` is a condition for the rows
-    to explain, all of them without one. Sampled walks cost background x features per row."""
+    """``background`` rows stand for an absent feature: that many drawn ones, or the first so
+    many by ordinal that meet ``among``. ``rows`` is a condition for the rows to explain, all of
+    them without one. ``target`` is the class to explain, without it the second of two and
+    the first of more. Sampled walks cost background x features per row."""
 
     background: int = 200
     rows: Column | None = None
     seed: int = 42
+    among: Column | None = None
+    target: object = None
 
 
 @dataclass(frozen=True)
@@ -37,6 +41,7 @@ class Contributions:
     base_value: float
     method: str
     ts: str = "ts"
+    space: str = "prediction"
 
     def with_table(self, table: DataFrame) -> "Contributions":
         return replace(self, table=table)
@@ -45,7 +50,9 @@ class Contributions:
 def method(pipe) -> str:
     if isinstance(pipe, B.Blend):
         return "blend"
-    return "linear" if isinstance(pipe, M.LinearFormula) or pipe.linear_terms() is not None else "sampled"
+    if isinstance(pipe, M.LinearFormula) or not isinstance(pipe, M.TreeFormula) and pipe.linear_terms() is not None:
+        return "linear"
+    return "tree" if isinstance(pipe, M.TreeFormula) or boxes.has_trees(pipe.model) else "sampled"
 
 
 def linear_table(df: DataFrame, terms: dict[str, float], means: dict[str, float], ts: str) -> DataFrame:
@@ -68,20 +75,85 @@ def explain(pipe, series: Series, cfg: ShapConfig = ShapConfig()) -> Contributio
     """Contributions in the space the model sees, of all rows or those of ``cfg.rows``."""
     if isinstance(pipe, M.LinearFormula):
         return formula_contributions(series, pipe)
+    if isinstance(pipe, M.TreeFormula):
+        return tree_contributions(pipe, series, cfg)
+    return _explain(pipe, explained_rows(pipe, series, cfg), series.ts, cfg)
+
+
+def explain_classes(pipe, series: Series, cfg: ShapConfig = ShapConfig()) -> dict[object, Contributions]:
+    """Contributions to every class, worked out together; by class."""
+    if pipe.prepared.task != scores.CLASSIFICATION:
+        raise ValueError("only a classifier has classes")
+    rows = explained_rows(pipe, series, cfg)
+    if isinstance(pipe, B.Blend):
+        return {c: _explain_blend(pipe, rows, series.ts, replace(cfg, target=c)) for c in pipe.prepared.classes}
+    table, base, how, space = _by_output(pipe, rows, series.ts, cfg)
+    return {c: _one_output(table, base, how, space, i, series.ts) for i, c in enumerate(pipe.prepared.classes)}
+
+
+def tree_contributions(tree: M.TreeFormula, series: Series, cfg: ShapConfig = ShapConfig()) -> Contributions:
+    """Exact contributions of a given tree over its raw columns."""
+    names = tree.columns()
+    packed = array_to_vector(F.array(*[F.coalesce(F.col(q(c)).cast("double"), F.lit(float("nan"))) for c in names]))
+    rows = series.df if cfg.rows is None else series.df.where(cfg.rows)
+    rows = staging.store(rows.select(ORD, series.ts, packed.alias("features")), "explained")
+    explainer = boxes.Explainer(boxes.boxes(tree.nodes(), lambda v: [v]), background_rows(rows, cfg))
+    table = boxes.contribution_table(explainer, rows, names, series.ts)
+    return _one_output(table, explainer.base, "tree", "prediction", 0, series.ts)
+
+
+def explained_rows(pipe, series: Series, cfg: ShapConfig) -> DataFrame:
     # Vectors come from the whole series, since a fill needs the rows before; then rows are chosen.
     vectors = pipe.prepared.assemble(series)
     if cfg.rows is not None:
         vectors = vectors.where(cfg.rows)
-    rows = staging.store(vectors.select(ORD, series.ts, "features"), "explained")
-    return _explain(pipe, rows, series.ts, cfg)
+    return staging.store(vectors.select(ORD, series.ts, "features"), "explained")
+
+
+def background_rows(rows: DataFrame, cfg: ShapConfig) -> np.ndarray:
+    """At most ``cfg.background`` vectors."""
+    if cfg.among is not None:
+        picked = rows.where(cfg.among).orderBy(ORD)
+    else:
+        picked = rows.orderBy(F.xxhash64(F.col(ORD), F.lit(cfg.seed + 1)), ORD)
+    back = np.array([r["v"] for r in picked.limit(cfg.background).select(vector_to_array("features").alias("v")).collect()], dtype=float)
+    if not len(back):
+        raise ValueError("no background row is left")
+    return back
 
 
-def _explain(pipe, rows: DataFrame, ts: str, cfg: ShapConfig) -> Contributions:
+def _by_output(pipe, rows: DataFrame, ts: str, cfg: ShapConfig, additive: bool = False) -> tuple[DataFrame, np.ndarray, str, str]:
+    """(table with ``output``, base values, method, space). ``additive`` asks for predictions or
+    probabilities, which blends add, where boosted classifiers would be explained in log odds."""
+    found = boxes.leaves_of(rows.sparkSession, pipe.model)
+    if found is None or additive and found[1] == "log odds":
+        return sampled_outputs(pipe, rows, ts, cfg)
+    leaves, space = found
+    explainer = boxes.Explainer(leaves, background_rows(rows, cfg))
+    return staging.store(boxes.contribution_table(explainer, rows, pipe.names, ts), "contributions"), explainer.base, "tree", space
+
+
+def _one_output(table: DataFrame, base: np.ndarray, how: str, space: str, output: int, ts: str) -> Contributions:
+    own = table.where(F.col("output") == output).drop("output") if len(base) > 1 else table.drop("output")
+    return Contributions(own, float(base[output]), how, ts, space)
+
+
+def _target(pipe, cfg: ShapConfig) -> int:
+    if pipe.prepared.task != scores.CLASSIFICATION:
+        return 0
+    classes = pipe.prepared.classes
+    if cfg.target is not None:
+        return classes.index(cfg.target)
+    return 1 if len(classes) == 2 else 0
+
+
+def _explain(pipe, rows: DataFrame, ts: str, cfg: ShapConfig, additive: bool = False) -> Contributions:
     if isinstance(pipe, B.Blend):
         return _explain_blend(pipe, rows, ts, cfg)
     linear = pipe.linear_terms()
     if linear is None:
-        return sampled_shapley(pipe, rows, ts, cfg)
+        table, base, how, space = _by_output(pipe, rows, ts, cfg, additive)
+        return _one_output(table, base, how, space, _target(pipe, cfg), ts)
     names = pipe.names
     wide = rows.withColumn("_v", vector_to_array("features")) \
                .select(ORD, ts, *[F.col("_v")[i].alias(c) for i, c in enumerate(names)])
@@ -114,28 +186,36 @@ def _explain_blend(pipe: B.Blend, rows: DataFrame, ts: str, cfg: ShapConfig) ->
         if member.names != names:
             raise ValueError(f"{name} has other features; its contributions cannot be added")
         if abs(w) >= ZERO_WEIGHT:
-            parts.append((_explain(member, rows, ts, cfg), w))
+            parts.append((_explain(member, rows, ts, cfg, additive=True), w))
     return blend_tables(parts, pipe.intercept)
 
 
-def _answer(pipe, df: DataFrame) -> tuple[DataFrame, Column]:
+def _answers(pipe, df: DataFrame) -> tuple[DataFrame, Column]:
+    """Predictions, and one array of outputs: the prediction, or the probabilities of all classes (the vote, if there are none)."""
     out = pipe.predict_vectors(df)
     if pipe.prepared.task == scores.CLASSIFICATION:
-        return out, F.col("probability")[1 if len(pipe.prepared.classes) == 2 else 0]
-    return out, F.col("prediction")
+        vote = F.transform(F.sequence(F.lit(0), F.lit(len(pipe.prepared.classes) - 1)), lambda i: (i == F.col("prediction")).cast("double"))
+        return out, F.coalesce(F.col("probability"), vote)
+    return out, F.array(F.col("prediction"))
 
 
 def sampled_shapley(pipe, rows: DataFrame, ts: str, cfg: ShapConfig = ShapConfig()) -> Contributions:
-    """Shapley values by walking from background rows to the row explained.
+    """One output of ``sampled_outputs``."""
+    table, base, how, space = sampled_outputs(pipe, rows, ts, cfg)
+    return _one_output(table, base, how, space, _target(pipe, cfg), ts)
+
+
+def sampled_outputs(pipe, rows: DataFrame, ts: str, cfg: ShapConfig = ShapConfig()) -> tuple[DataFrame, np.ndarray, str, str]:
+    """Shapley values by walking from background rows to the row explained, for any model.
 
     Each background row is the start of one walk in a random feature order; a
     feature gets the change of the answer when its value is switched. Steps of a
-    walk add up, so contributions sum to f(row) - mean f(background) exactly.
+    walk add up, so contributions sum to f(row) - mean f(background) exactly. A
+    step's answer counts for the feature switched last and against the one that
+    is next, so answers are added up where they are made and no walk is shuffled.
     """
     names = pipe.names
-    back = rows.orderBy(F.xxhash64(F.col(ORD), F.lit(cfg.seed + 1)), ORD).limit(cfg.background) \
-               .select(vector_to_array("features").alias("v")).collect()         # at most cfg.background rows
-    start = np.array([r["v"] for r in back], dtype=float)
+    start = background_rows(rows, cfg)
     d, seed = len(names), cfg.seed
 
     def walks(batches):
@@ -147,23 +227,23 @@ def sampled_shapley(pipe, rows: DataFrame, ts: str, cfg: ShapConfig = ShapConfig
                 places = np.argsort(orders, axis=1)                # of each feature in its walk
                 switched = places[:, None, :] < np.arange(d + 1)[None, :, None]
                 path = np.where(switched, x, start[:, None, :]).reshape(-1, d)
-                yield pd.DataFrame({ORD: o, "draw": np.repeat(np.arange(len(start)), d + 1),
-                                    "step": np.tile(np.arange(d + 1), len(start)),
-                                    "at": np.insert(orders, 0, -1, axis=1).ravel(), "v": list(path)})
-
-    steps = rows.select(ORD, vector_to_array("features").alias("v")).mapInPandas(
-        walks, f"{ORD} bigint, draw int, step int, at int, v array<double>")
-    scored, answer = _answer(pipe, steps.withColumn("features", array_to_vector("v")).drop("v"))
-    w = Window.partitionBy(ORD, "draw").orderBy("step")
-    gained = scored.select(ORD, "draw", "step", "at", answer.alias("f")) \
-                   .withColumn("gain", F.col("f") - F.lag("f").over(w))
-    per = gained.where("at >= 0").groupBy(ORD, "at").agg(F.avg("gain").alias("shap_value"))
+                yield pd.DataFrame({ORD: o, "at": np.insert(orders, 0, -1, axis=1).ravel(),
+                                    "next": np.insert(orders, d, -1, axis=1).ravel(), "v": list(path)})
+
+    steps = rows.select(ORD, vector_to_array("features").alias("v")).mapInPandas(walks, f"{ORD} bigint, at int, next int, v array<double>")
+    scored, answers = _answers(pipe, steps.withColumn("features", array_to_vector("v")).drop("v"))
+    signed = F.explode(F.array(F.struct("at", F.lit(1.0).alias("sign")), F.struct(F.col("next").alias("at"), F.lit(-1.0).alias("sign"))))
+    sides = scored.select(ORD, answers.alias("f"), signed.alias("s")).where("s.at >= 0").select(ORD, "s.at", "s.sign", F.posexplode("f").alias("output", "f"))
+    per = sides.groupBy(ORD, "output", "at").agg((F.sum(F.col("sign") * F.col("f")) / F.lit(float(len(start)))).alias("shap_value"))
     named = F.element_at(F.array(*[F.lit(c) for c in names]), F.col("at") + 1)
-    base = gained.where("step = 0").agg(F.avg("f")).first()[0]
     values = rows.select(ORD, ts, vector_to_array("features").alias("_v"))
-    table = per.join(values, ORD).select(ORD, ts, named.alias("feature"),
-                                         F.col("_v")[F.col("at")].alias("feature_value"), "shap_value")
-    return Contributions(staging.store(table, "contributions"), base, "sampled", ts)
+    table = per.join(values, ORD).select(ORD, ts, "output", named.alias("feature"), F.col("_v")[F.col("at")].alias("feature_value"), "shap_value")
+    spark = rows.sparkSession
+    begun = spark.createDataFrame([(v.tolist(),) for v in start], "v array<double>").withColumn("features", array_to_vector("v")).drop("v")
+    scored, answers = _answers(pipe, begun)
+    base = np.array([r["f"] for r in scored.select(answers.alias("f")).collect()], dtype=float).mean(0)      # cfg.background rows at most
+    space = "probability" if pipe.prepared.task == scores.CLASSIFICATION else "prediction"
+    return staging.store(table, "contributions"), base, "sampled", space
 
 
 # --- views of the long table --------------------------------------------------

@@ -351,3 +351,44 @@ class LinearFormula:
         at = F.explode(F.array(*[F.lit(float(v)) for v in grid]))
         moved = listed(part.df, only).withColumn("grid", at).withColumn(feature, F.col("grid"))
         return moved.select(ORD, part.ts, "grid", self.expression().alias("prediction"))
+
+
+@dataclass(frozen=True)
+class TreeFormula:
+    """A tree given by its splits over raw columns: a node is an answer, or
+    (column, threshold, node where column <= threshold, node elsewhere)."""
+
+    root: tuple | float
+    target: str | None = None
+
+    def columns(self) -> list[str]:
+        def walk(node):
+            return {node[0], *walk(node[2]), *walk(node[3])} if isinstance(node, tuple) else set()
+
+        return sorted(walk(self.root))
+
+    def nodes(self) -> dict[int, tuple]:
+        """{id: (left, right, place of the column, threshold, answer)}, the root 0."""
+        names, out = self.columns(), {}
+
+        def number(node) -> int:
+            at = len(out)
+            out[at] = (-1, -1, -1, float("nan"), node)
+            if isinstance(node, tuple):
+                out[at] = (number(node[2]), number(node[3]), names.index(node[0]), float(node[1]), None)
+            return at
+
+        number(self.root)
+        return out
+
+    def expression(self) -> Column:
+        def case(node) -> Column:
+            if not isinstance(node, tuple):
+                return F.lit(float(node))
+            return F.when(F.col(q(node[0])).cast("double") <= F.lit(float(node[1])), case(node[2])).otherwise(case(node[3]))
+
+        return case(self.root)
+
+    def predict(self, part: Series) -> DataFrame:
+        label = F.col(q(self.target)).cast("double") if self.target else F.lit(None).cast("double")
+        return part.df.select(ORD, part.ts, label.alias("label"), self.expression().alias("prediction"))

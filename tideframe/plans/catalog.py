@@ -12,7 +12,7 @@ from tideframe.operators import (advice, axis, blend as B, diagnose as D, explai
                                  timeaxis, train as T, whatif as W)
 from tideframe.operators.axis import ORD
 from tideframe.plans import auto
-from tideframe.plans.inputs import (FORMULA, TAGS, daily_orders, event_rows_by_hour, event_series, events, hourly, orders,
+from tideframe.plans.inputs import (FORMULA, TAGS, TREE, daily_orders, event_rows_by_hour, event_series, events, hourly, orders,
                                     residual_events, shown, table, vectors)
 from tideframe.sources import readers, runs
 
@@ -877,8 +877,31 @@ def _one_model(spark, sf, name: str):
 @query
 def sampled_contributions(spark, sf):
     s, _, _, pipe = _one_model(spark, sf, "DecisionTree")
-    c = X.explain(pipe, s, X.ShapConfig())
-    return shown(X.importance(c))
+    cfg = X.ShapConfig()
+    return shown(X.importance(X.sampled_shapley(pipe, X.explained_rows(pipe, s, cfg), s.ts, cfg)))
+
+
+@query
+def tree_contributions(spark, sf):
+    c = X.explain(TREE, event_series(spark, sf), X.ShapConfig(among=F.col(ORD) < 200))
+    return shown(c.table.select(ORD, "feature", "feature_value", "shap_value", F.lit(c.base_value).alias("base_value")))
+
+
+@query
+def class_contributions(spark, sf):
+    """What a row's contributions to each class and the base leave of the predicted probability: nothing."""
+    rows = table(spark, sf, "documents").select("doc_id", "n_chars", F.length("text").alias("length"), "source", "lang").withColumn("ts", F.col("doc_id"))
+    s = axis.ordinal(rows, ["doc_id"])
+    cfg = M.FitConfig(task=scores.CLASSIFICATION, fold_selection=False)
+    ready = M.prepare(s, "lang", ["n_chars", "length", "source"], axis.in_range(0, s.n // 2), cfg)
+    pipe = M.fit(ready, M.ZOO["RandomForest"], {"n_trees": 20, "max_depth": 8})
+    held = pipe.predict(s).select(ORD, F.posexplode("probability").alias("output", "p"))
+    out = None
+    for i, (label, c) in enumerate(X.explain_classes(pipe, s).items()):
+        total = c.table.groupBy(ORD).agg((F.sum("shap_value") + F.lit(c.base_value)).alias("total"))
+        left = total.join(held.where(F.col("output") == i), ORD).select(ORD, F.lit(label).alias("class"), F.abs(F.col("total") - F.col("p")).alias("left_over"))
+        out = left if out is None else out.unionByName(left)
+    return shown(out, 9)
 
 
 @query

@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tideframe.functions.names import q
 from tideframe.operators import axis, layout, timeaxis
 from tideframe.operators.axis import ORD, Series
-from tideframe.operators.models import LinearFormula
+from tideframe.operators.models import LinearFormula, TreeFormula
 
 TAGS = ["click", "error", "purchase", "signup", "view"]
 # A fixed linear predictor of an event's value, so that scores have closed forms.
 FORMULA = LinearFormula({"user_id": 0.1, "k": 0.2}, 30.0, "value")
 
+# A fixed tree over the same columns.
+TREE = TreeFormula(("k", 50.0, ("user_id", 40.0, 10.0, ("k", 20.0, 35.0, 22.0)), ("user_id", 90.0, -4.0, 51.0)), "value")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

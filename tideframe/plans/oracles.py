@@ -436,6 +436,18 @@ t AS (SELECT fold, count(*) AS n, 1 - sum((y - p) ** 2) / (var_pop(y) * count(*)
 
     # explanation
     q["linear_contributions"] = f"WITH {CELLS} SELECT ord, feature, feature_value, {r('shap_value')} AS shap_value FROM cells"
+    def tree(user: str, k: str) -> str:
+        return f"CASE WHEN {k} <= 50 THEN CASE WHEN {user} <= 40 THEN 10.0 WHEN {k} <= 20 THEN 35.0 ELSE 22.0 END WHEN {user} <= 90 THEN -4.0 ELSE 51.0 END"
+
+    # Shapley values over the four subsets of two features, against each background row.
+    q["tree_contributions"] = f"""WITH {EVENTS}, b AS (SELECT user_id AS bu, k AS bk FROM ev WHERE ord < 200),
+v AS (SELECT ord, user_id, k, avg(none) AS base, avg((u - none + whole - kk) / 2) AS pu, avg((kk - none + whole - u) / 2) AS pk FROM (
+  SELECT ord, user_id, k, {tree('bu', 'bk')} AS none, {tree('user_id', 'bk')} AS u, {tree('bu', 'k')} AS kk, {tree('user_id', 'k')} AS whole FROM ev, b)
+  GROUP BY ALL)
+SELECT ord, 'user_id' AS feature, user_id::DOUBLE AS feature_value, {r('pu')} AS shap_value, {r('base')} AS base_value FROM v
+UNION ALL SELECT ord, 'k', k, {r('pk')}, {r('base')} FROM v"""
+    q["class_contributions"] = """SELECT row_number() OVER (PARTITION BY l.lang ORDER BY doc_id) - 1 AS ord, l.lang AS class, 0.0::DOUBLE AS left_over
+FROM documents, (SELECT DISTINCT lang FROM (SELECT lang FROM documents ORDER BY doc_id LIMIT (SELECT count(*) // 2 FROM documents))) l"""
     q["blend_contributions"] = f"""WITH {CELLS} SELECT ord, feature, {r("0.75 * shap_value + 0.25 * (CASE feature WHEN 'user_id' THEN 3.0 ELSE -0.5 END) * shap_value")} AS shap_value,
   {r('1.0 + 0.75 * (30.0 + 0.1 * mu + 0.2 * mk) + 0.25 * (10.0 + 0.3 * mu - 0.1 * mk)')} AS base_value FROM cells, mean_"""
     imp = """SELECT feature, avg(abs(shap_value)) AS a, avg(shap_value) AS m, stddev_samp(shap_value) AS s FROM {src} GROUP BY 1"""
