@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
 
 from tests.conftest import as_series, pandas_of, walk
 from tideframe.operators import neighbours, segments as U
@@ -21,7 +22,7 @@ def vectors(spark, points):
 
 @pytest.fixture()
 def small_blocks(monkeypatch):
-    for name, size in (("CELL_ROWS", 25), ("BASE_BLOCK", 20), ("QUERY_BLOCK", 20)):
+    for name, size in (("TOPS", 3), ("CELL_ROWS", 5), ("CHUNK", 4), ("BASE_BLOCK", 20), ("QUERY_BLOCK", 20)):
         monkeypatch.setattr(neighbours, name, size)
 
 
@@ -62,6 +63,36 @@ def test_local_outlier_factor_matches_brute_force(points, vectors, small_blocks)
     assert got["is_anomaly"].sum() == (want < np.quantile(want, 0.03)).sum()
 
 
+def test_neighbours_where_a_third_of_the_vectors_are_equal(spark, small_blocks):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(150, 64))
+    x[100:] = x[7]
+    rows = spark.createDataFrame([(i, v, float(i % 5)) for i, v in enumerate(x.tolist())], "ord bigint, vec array<double>, y double")
+    points = neighbours.merged(rows, {"value": F.avg("y")})
+    assert points.count() == 100 and points.select("pid").distinct().count() == 100
+    base, cells = neighbours.build_cells(points)
+    assert cells.table.agg(F.sum("n")).first()[0] == 100 and len(cells.tops) <= 3 and cells.table.count() > 3
+    near = neighbours.knn(points, base, cells, 6, {"value": "double"}, skip_self=True)
+    dist = {r["pid"]: r["vec"] for r in points.collect()}
+    d = distances(np.array(list(dist.values())))
+    weight = np.array([51.0 if list(v) == x[7].tolist() else 1.0 for v in dist.values()])
+    ids = list(dist)
+    got = {}
+    for r in near.collect():
+        got.setdefault(r["pid"], []).append((round(r["dist"], 9), r["near"], r["weight"]))
+    for i, pid in enumerate(ids):
+        want, have = [], 0.0
+        for j in sorted(range(100), key=lambda j: (d[i, j], ids[j])):
+            w = weight[j] - (i == j)
+            if w > 0 and have < 6:
+                want.append((round(d[i, j], 9), ids[j], w))
+                have += w
+        assert sorted(got[pid]) == sorted(want)
+    back = neighbours.matched(rows, points, ["pid"])
+    assert back.columns == ["ord", "vec", "y", "pid"] and back.count() == 150
+    assert back.where("ord >= 100 or ord = 7").select("pid").distinct().count() == 1
+
+
 def test_isolation_forest_finds_the_far_point(spark, points):
     rows = points.tolist() + [[40.0, -40.0]]
     df = spark.createDataFrame(list(enumerate(rows)), "ord bigint, v array<double>").select(

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tideframe.functions.names import kind, q
 from tideframe.functions.stats import clean_double
+from tideframe import staging
 from tideframe.operators import neighbours, prep as P, select as S
 from tideframe.operators.axis import ORD, Series
 from tideframe.operators.scores import CLASSIFICATION, REGRESSION
@@ -167,13 +168,15 @@ class KnnModel:
     payload: list[str]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Mean of the k nearest, or their vote; ties in distance by point number."""
-        tagged = df.withColumn("_vec", vector_to_array("features")).withColumn("pid", F.xxhash64("_vec"))
-        queries = tagged.select("pid", F.col("_vec").alias("vec")).dropDuplicates(["pid"])
-        near = neighbours.knn(queries, self.base, self.cells, self.k, {c: "double" for c in self.payload})
+        """Mean of the k nearest, or their vote; ties in distance by point number. A vector that
+        many rows hold is asked once."""
+        tagged = df.withColumn("vec", vector_to_array("features"))
+        asked = neighbours.merged(tagged.select("vec"), {})
+        near = neighbours.knn(asked, self.base, self.cells, self.k, {c: "double" for c in self.payload})
         used = F.least(F.col("weight"), F.lit(float(self.k)) - F.col("before"))
         means = near.groupBy("pid").agg(*[(F.sum(F.col(c) * used) / F.sum(used)).alias(f"_{c}") for c in self.payload])
-        out = tagged.join(means, "pid", "left").drop("pid", "_vec")
+        answers = staging.store(asked.select("vec", "weight", "pid").join(means, "pid"), "answers")
+        out = neighbours.matched(tagged, answers, [f"_{c}" for c in self.payload]).drop("vec")
         if self.task == REGRESSION:
             return out.withColumnRenamed("_value", "prediction")
         shares = F.array(*[F.col(f"_{c}") for c in self.payload])

@@ -162,20 +162,22 @@ def dbscan(vectors: DataFrame, eps: float = 0.8, min_samples: int = 10, seed: in
     Neighbour pairs are never listed: a pass counts neighbours per point, later
     passes return the least label among core neighbours. Labels that touch are
     joined by following parents, so clusters merge in few rounds whatever their
-    extent. A border point joins the reachable cluster with the least label.
+    extent. A cluster's label is the least ordinal of its core points, and a border
+    point joins the reachable cluster with the least label.
     """
     rows = vectors.select(ORD, "features", vector_to_array("features").alias("vec"))
-    points = staging.store(neighbours.merged(rows, {}), "points")
+    points = neighbours.merged(rows, {"least": F.min(ORD)})
     base, cells = neighbours.build_cells(points, seed)
-    visits = staging.store(neighbours.visit(points.withColumn("eps", F.lit(float(eps))), cells, "eps").drop("eps"), "visits")
-    counted = neighbours.in_blocks(visits, base, cells, _within(eps, "weight"), "pid bigint, weight double")
+    asked = points.select("pid", "vec")
+    visits = neighbours.visit(asked.withColumn("eps", F.lit(float(eps))), cells, "eps")
+    counted = neighbours.in_blocks(visits, asked, base, cells, _within(eps, "weight"), "pid bigint, weight double")
     core = staging.store(counted.groupBy("pid").agg(F.sum("weight").alias("near"))
                          .where(F.col("near") >= min_samples).select("pid"), "core")
-    labels = core.withColumn("label", F.col("pid"))
+    labels = core.join(points.select("pid", F.col("least").alias("label")), "pid")
     core_visits = staging.store(visits.join(core, "pid"), "visits")
     while True:
         labelled = base.join(labels, "pid")
-        best = neighbours.in_blocks(core_visits, labelled, cells, _within(eps, "label"), "pid bigint, label bigint") \
+        best = neighbours.in_blocks(core_visits, asked, labelled, cells, _within(eps, "label"), "pid bigint, label bigint") \
                          .groupBy("pid").agg(F.min("label").alias("least"))
         hooks = staging.store(labels.join(best, "pid").groupBy("label").agg(F.min("least").alias("parent")), "hooks")
         if not hooks.where("parent < label").limit(1).count():
@@ -189,11 +191,11 @@ def dbscan(vectors: DataFrame, eps: float = 0.8, min_samples: int = 10, seed: in
                 break
         labels = staging.store(labels.join(hooks, "label").select("pid", F.col("parent").alias("label")), "labels")
     border = visits.join(core, "pid", "left_anti")
-    joined = neighbours.in_blocks(border, base.join(labels, "pid"), cells, _within(eps, "label"),
+    joined = neighbours.in_blocks(border, asked, base.join(labels, "pid"), cells, _within(eps, "label"),
                                   "pid bigint, label bigint").groupBy("pid").agg(F.min("label").alias("label"))
     every = labels.unionByName(joined)
-    tagged = rows.withColumn("pid", F.xxhash64("vec")).join(every, "pid", "left").drop("pid", "vec")
-    tagged = staging.store(tagged, "dbscan")
+    labelled = staging.store(points.join(every, "pid", "left").select("vec", "weight", "label"), "labels")
+    tagged = staging.store(neighbours.matched(rows, labelled, ["label"]).drop("vec"), "dbscan")
     first = tagged.where(F.col("label").isNotNull()).groupBy("label").agg(F.min(ORD).alias("_first"))
     numbered = axis.ordinal(first, ["_first"], name="cluster").df.select("label", F.col("cluster").cast("int"))
     out = tagged.join(numbered, "label", "left")
@@ -313,7 +315,7 @@ def local_outlier_factor(vectors: DataFrame, cfg: UnsupervisedConfig = Unsupervi
     the factor are three aggregations over at most k rows per point.
     """
     rows = vectors.select(ORD, vector_to_array("features").alias("vec"))
-    points = staging.store(neighbours.merged(rows, {}), "points")
+    points = neighbours.merged(rows, {})
     total = points.agg(F.sum("weight")).first()[0] or 0
     k = int(max(1, min(cfg.n_neighbors, total - 1)))
     base, cells = neighbours.build_cells(points, cfg.seed)
@@ -328,7 +330,8 @@ def local_outlier_factor(vectors: DataFrame, cfg: UnsupervisedConfig = Unsupervi
     other = density.select(F.col("pid").alias("near"), F.col("lrd").alias("near_lrd"))
     factor = near.join(other, "near").groupBy("pid").agg((F.sum(F.col("near_lrd") * F.col("w")) / F.sum("w")).alias("m")) \
                  .join(density, "pid").select("pid", (-F.col("m") / F.col("lrd")).alias("anomaly_score"))
-    scored = rows.withColumn("pid", F.xxhash64("vec")).join(factor, "pid").select(ORD, "anomaly_score")
+    factors = staging.store(points.join(factor, "pid").select("vec", "weight", "anomaly_score"), "lof")
+    scored = neighbours.matched(rows, factors, ["anomaly_score"]).select(ORD, "anomaly_score")
     return _flagged(staging.store(scored, "lof"), cfg.contamination)
 
 

@@ -519,6 +519,16 @@ lrd AS (SELECT p, 1 / (avg(greatest(dist, kdist)) + 1e-10) AS lrd FROM nn JOIN k
 s AS (SELECT nn.p AS ord, -avg(b.lrd) / any_value(a.lrd) AS score FROM nn JOIN lrd b ON b.p = nn.o JOIN lrd a ON a.p = nn.p GROUP BY 1)
 SELECT ord, {r('score')} AS anomaly_score, score < (SELECT quantile_cont(score, 0.01) FROM s) AS is_anomaly FROM s"""
 
+    q["density_clusters"] = """WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+near AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM v a, v b WHERE list_distance(a.e, b.e) <= 1.2),
+core AS MATERIALIZED (SELECT a AS id FROM near GROUP BY 1 HAVING count(*) >= 5),
+links AS MATERIALIZED (SELECT a, b FROM near WHERE a IN (FROM core) AND b IN (FROM core)),
+reach AS (SELECT id, id AS c FROM core UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.id),
+label AS (SELECT id, min(c) AS label FROM reach GROUP BY 1),
+every AS (SELECT * FROM label UNION ALL SELECT a, min(label) FROM near JOIN label ON id = b WHERE a NOT IN (FROM core) GROUP BY 1),
+placed AS (SELECT label, row_number() OVER (ORDER BY min(id)) - 1 AS cluster FROM every GROUP BY 1)
+SELECT coalesce(cluster, -1)::INT AS cluster, count(*) AS rows FROM v LEFT JOIN every USING (id) LEFT JOIN placed USING (label) GROUP BY 1"""
+
     # flagship
     out = [f"{r('h.' + c)} AS {c}" for c in [*INPUTS, "purchase"]]
     f6 = "OVER (ORDER BY ord ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)"
