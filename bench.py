@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession, functions as F
 
 from tideframe import staging
 from tideframe.operators import (advice, axis, diagnose as D, features as FE, gram, models as M, prep as P,
-                                 quality, select as S, split as SP, timeaxis)
+                                 quality, ranges as RG, select as S, split as SP, timeaxis)
 from tideframe.plans import inputs
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -65,11 +65,9 @@ def main() -> None:
 
     def ridge_folds() -> None:
         fit = M.FitConfig(prep=P.PreprocessConfig("median"))
-        for fold in SP.rolling_origin(series.n, 5, 24):
-            ready = M.prepare(series, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], fold.train.where(), fit)
-            pipe = M.fit(ready, M.ZOO["Ridge"])
-            run(pipe.predict(M.part_of(series, fold.test.where())))
-            M.release(ready)
+        folds = SP.rolling_origin(series.n, 5, 24)
+        learnt = RG.ridge_ranges(series, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], [f.train for f in folds], fit)
+        run(RG.predict_ranges(series, "l_extendedprice", [(f.number, m, f.test) for f, m in zip(folds, learnt)]))
 
     timed("ridge_5_folds", ridge_folds)
     res = series.with_df(series.df.select("ts", axis.ORD, (F.col("l_extendedprice") - F.col("l_quantity") * 2000)

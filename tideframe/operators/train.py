@@ -8,11 +8,11 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tideframe import staging
 from tideframe.functions.names import q
-from tideframe.operators import models as M, scores, select as S, split as SP
+from tideframe.operators import models as M, ranges as RG, scores, select as S, split as SP
 from tideframe.operators.axis import ORD, Series
 from tideframe.operators.scores import CLASSIFICATION, HIGHER_IS_BETTER, REGRESSION
 
@@ -76,14 +76,23 @@ def _threads(cfg: TrainConfig, n: int) -> int:
     return max(1, min(cfg.threads, n))
 
 
-def _tagged(df: DataFrame, model: str, part: str, fold: int, purpose: str = EVALUATION) -> DataFrame:
+def _tagged(df: DataFrame, model: str, part: str, fold: int | Column, purpose: str = EVALUATION) -> DataFrame:
+    fold = fold if isinstance(fold, Column) else F.lit(fold)
     prob = F.col("probability") if "probability" in df.columns else F.lit(None).cast("array<double>")
-    return df.select(F.lit(model).alias("model"), F.lit(part).alias("part"), F.lit(fold).alias("fold"),
+    return df.select(F.lit(model).alias("model"), F.lit(part).alias("part"), fold.alias("fold"),
                      F.lit(purpose).alias("purpose"), ORD, "label",
                      F.col("prediction").cast("double").alias("prediction"),
                      prob.alias("probability"))
 
 
+def _ridge_folds(series: Series, target: str, features: list[str], folds: list[SP.Fold], fit: M.FitConfig, params: dict | None,
+                 part: str = "oof") -> tuple[list[RG.RangeModel], DataFrame]:
+    """All folds of a ridge at once: models from shared moments, predictions in one scan, stored."""
+    learnt = RG.ridge_ranges(series, target, features, [f.train for f in folds], fit, (params or {}).get("alpha", 1.0))
+    made = RG.predict_ranges(series, target, [(f.number, m, f.test) for f, m in zip(folds, learnt)])
+    return learnt, staging.store(_tagged(made, "Ridge", part, F.col("fold")), "predictions")
+
+
 def draw_params(grid: dict[str, list], n_iter: int, seed: int) -> list[dict]:
     """Distinct random grid points, at most as many as the grid has."""
     sizes = [len(v) for v in grid.values()]
@@ -153,6 +162,13 @@ def train_all(series: Series, target: str, features: list[str], split: SP.Split,
     fold_sets: list[set[str]] = []
     fold_params: dict[str, list[dict]] = {}
     steps = [(f.number, f.train, [("oof", f.test)]) for f in folds]
+    if picked == ["Ridge"] and not cfg.tune.applies_to("Ridge") and RG.applies(series, features, cfg.fit, [f.train for f in folds]):
+        start = time.perf_counter()
+        learnt, out = _ridge_folds(series, target, features, folds, cfg.fit, cfg.params.get("Ridge"))
+        stored.append(out)
+        fold_sets += [set(m.names) for m in learnt] if cfg.fit.fold_selection else []
+        seconds["Ridge"] += time.perf_counter() - start
+        steps = []
     steps.append((0, split.train, [("insample", split.train), ("holdout", split.valid)]))
     for number, rng, parts in steps:
         ready = M.prepare(series, target, features, rng.where(), cfg.fit, classes or None)
@@ -383,7 +399,9 @@ def rolling_backtest(series: Series, target: str, features: list[str], model: st
     """(scores per window, stitched predictions): the model refitted before each window."""
     folds = SP.rolling_windows(series.n, n_folds, test_size, cfg.split.gap, expanding)
     stored = []
-    for f in folds:
+    if model == "Ridge" and RG.applies(series, features, cfg.fit, [f.train for f in folds]):
+        stored.append(_ridge_folds(series, target, features, folds, cfg.fit, params, "backtest")[1])
+    for f in folds if not stored else []:
         ready = M.prepare(series, target, features, f.train.where(), cfg.fit)
         pipe = M.fit(ready, M.ZOO[model], params)
         stored.append(staging.store(_tagged(pipe.predict(M.part_of(series, f.test.where())), model, "backtest",
