@@ -81,3 +81,17 @@ def test_calendar(spark):
     t = pd.DatetimeIndex(got["ts"])
     assert (got["tf__dayofweek"] == t.dayofweek).all() and (got["tf__is_weekend"] == (t.dayofweek >= 5)).all()
     np.testing.assert_allclose(got["tf__hour_sin"], np.sin(2 * np.pi * t.hour / 24), atol=1e-12)
+
+
+@pytest.mark.parametrize("wide", [2, 4, 10_000])
+def test_windows_of_blocks_equal_sliding_windows(spark, monkeypatch, gappy, wide):
+    monkeypatch.setattr(FE, "WIDE", wide)
+    s = as_series(spark, gappy, chunk=90)
+    cfg = FE.FeatureConfig(lags=(), rolling_windows=(2, 3, 7, 50, 89), rolling_stats=("mean", "std", "min", "max"), ewm_spans=(), diffs=(),
+                           time_features=False)
+    got = pandas_of(FE.generate(s, "y", ["a", "b", "flat", "sparse"], cfg).series.df)
+    for c in ("a", "b", "flat", "sparse"):
+        for w in cfg.rolling_windows:
+            for stat in cfg.rolling_stats:
+                want = getattr(gappy[c].rolling(w, min_periods=max(2, w // 2)), stat)()
+                np.testing.assert_allclose(got[f"{c}__roll{w}_{stat}"], want, rtol=1e-9, atol=1e-9)

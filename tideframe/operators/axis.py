@@ -149,21 +149,50 @@ def haloed(df: DataFrame, chunk: int, before: int = 0, after: int = 0) -> tuple[
 def with_windows(series: Series, build, lookback: int = 0, lookahead: int = 0) -> DataFrame:
     """Add columns ``build(window, once)`` that look at most ``lookback`` rows back.
 
-    Every window expression goes through ``once(key, expression)``, which gives
-    back a column: expressions with one key are evaluated once, however many
-    features use them.
+    Every window expression goes through ``once(key, expression, level)``, which
+    gives back a column: expressions with one key are evaluated once, however many
+    features use them. An expression may use columns of lower levels.
     """
     chunk = series.chunk_rows(max(lookback, lookahead))
     copied, w, keep = haloed(series.df, chunk, lookback, lookahead)
-    shared: dict[str, Column] = {}
+    shared: dict[int, dict[str, Column]] = {}
 
-    def once(key: str, e: Column) -> Column:
-        shared.setdefault(f"_w_{key}", e)
+    def once(key: str, e: Column, level: int = 0) -> Column:
+        shared.setdefault(level, {}).setdefault(f"_w_{key}", e)
         return F.col(q(f"_w_{key}"))
 
     made = build(w, once)
-    windowed = copied.select("*", *[e.alias(k) for k, e in shared.items()]).where(keep)
-    return windowed.select(*[F.col(q(c)) for c in series.df.columns], *made)
+    windowed = copied
+    for level in sorted(shared):
+        windowed = windowed.select("*", *[e.alias(k) for k, e in shared[level].items()])
+    return windowed.where(keep).select(*[F.col(q(c)) for c in series.df.columns], *made)
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """Runs of ``rows`` rows of a chunk: any trailing window of as many rows is the beginning of
+    its last row's block and the end of the block before, so no frame is read again per row."""
+
+    rows: int
+    starts: WindowSpec
+    ends: WindowSpec
+    older: Column           # whether the window begins in the block before
+
+
+def blocks(w: WindowSpec, rows: int, once) -> Blocks:
+    number = once("row", F.row_number().over(w))
+    block = once(f"block|{rows}", F.floor((number - 1) / rows), 1)
+    frame = Window.partitionBy("_chunk", block)
+    return Blocks(rows, frame.orderBy(ORD).rowsBetween(Window.unboundedPreceding, 0),
+                  frame.orderBy(F.desc(ORD)).rowsBetween(Window.unboundedPreceding, 0), number % rows != 0)
+
+
+def both_sides(key: str, e: Column, part: Blocks, w: WindowSpec, once) -> tuple[Column, Column]:
+    """An aggregate over the window's rows in the own block, and over those in the block before (null if none)."""
+    mine = once(f"{key}|own|{part.rows}", e.over(part.starts), 2)
+    end = once(f"{key}|end|{part.rows}", e.over(part.ends), 2)
+    before = once(f"{key}|before|{part.rows}", F.lag(end, part.rows - 1).over(w), 3)
+    return mine, F.when(part.older, before)
 
 
 def _carry_in(df: DataFrame, latest: dict[str, Column], n: int, chunk: int, by: list[str]) -> DataFrame:

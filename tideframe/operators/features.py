@@ -18,6 +18,9 @@ TIME_ORIGIN = "__time__"
 STATS = ("mean", "std", "min", "max", "median", "sum", "var", "count")
 
 
+WIDE = 32       # rows from which a window is put together from blocks
+
+
 class TargetLeakage(RuntimeError):
     """A feature derived from the target would enter the inputs."""
 
@@ -120,14 +123,46 @@ def trailing(w: WindowSpec, rows: int) -> WindowSpec:
 
 
 def rolling(name: str, col: Column, w: WindowSpec, rows: int, stat: str, min_rows: int, once) -> Column:
-    """A trailing statistic, NULL until ``min_rows`` known values are in the window."""
+    """A trailing statistic, NULL until ``min_rows`` known values are in the window.
+
+    Windows of ``WIDE`` rows and more cost the same for any number of rows,
+    medians excepted.
+    """
+    if rows >= WIDE and stat != "median":
+        return _rolling_blocks(name, col, w, rows, stat, min_rows, once)
     frame = trailing(w, rows)
     aggregate = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "median": lambda c: F.percentile(c, 0.5),
-            "sum": F.sum, "var": F.var_samp, "count": F.count}[stat]
+                 "sum": F.sum, "var": F.var_samp, "count": F.count}[stat]
     known = once(f"{name}|count|{rows}", F.count(col).over(frame))
     return F.when(known >= min_rows, once(f"{name}|{stat}|{rows}", aggregate(col).over(frame)))
 
 
+def _rolling_blocks(name: str, col: Column, w: WindowSpec, rows: int, stat: str, min_rows: int, once) -> Column:
+    part = axis.blocks(w, rows, once)
+
+    def sides(what: str, e: Column) -> tuple[Column, Column]:
+        return axis.both_sides(f"{name}|{what}", e, part, w, once)
+
+    zero = F.lit(0.0)
+    n1, n2 = (F.coalesce(n, F.lit(0)) for n in sides("n", F.count(col)))
+    known = n1 + n2
+    if stat in ("min", "max"):
+        pick = F.least if stat == "min" else F.greatest
+        out = pick(*sides(stat, F.min(col) if stat == "min" else F.max(col)))       # nulls are skipped
+    elif stat == "count":
+        out = known
+    elif stat in ("mean", "sum"):
+        total = sum((F.coalesce(s, zero) for s in sides("sum", F.sum(col))), zero)
+        out = total / known if stat == "mean" else total
+    else:
+        m1, m2 = (F.coalesce(m, zero) for m in sides("mean", F.avg(col)))
+        v1, v2 = (F.coalesce(v, zero) for v in sides("var", F.var_pop(col)))
+        squares = v1 * n1 + v2 * n2 + F.when((n1 > 0) & (n2 > 0), (m2 - m1) * (m2 - m1) * n1 * n2 / known).otherwise(zero)
+        out = F.when(known > 1, squares / (known - 1))
+        out = F.sqrt(out) if stat == "std" else out
+    return F.when(known >= min_rows, out)
+
+
 def column_features(name: str, cfg: FeatureConfig, w: WindowSpec, once) -> list[tuple[Column, Origin]]:
     x = clean_double(F.col(q(name)))
 
