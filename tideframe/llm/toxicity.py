@@ -26,8 +26,7 @@ from tideframe.llm import quality, text as tx
 
 SHORTEST, LONGEST = 4, 8        # letters of a word's beginning
 SAMPLE = 10_000                 # rows, at most, that the curve is fitted on
-ENTRIES = 5_000                 # lexicon entries, at most
-CANDIDATES = 200_000            # words and beginnings looked at more closely, at most
+EVIDENCE = 3                    # toxic texts, at least, that hold an entry
 #: Phrases in which an entry means no harm.
 EXCEPTIONS = ("class clown", "clown fish", "circus clown", "trash can", "trash bin", "pond scum", "sore loser rule")
 #: Letters of other scripts that look like Latin ones, and full-width ones.
@@ -122,48 +121,46 @@ def measured(weight: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.stack((np.log1p(100 * weight / np.maximum(words, 1)), np.log1p(weight), np.log1p(words)), 1)
 
 
-def _documents_with(rows: DataFrame, known: set | None) -> DataFrame:
-    """(term, n): the documents of rows (text) that hold each term; of the known ones if given."""
-    sent = rows.sparkSession.sparkContext.broadcast(known)
-
+def _documents_with(rows: DataFrame) -> DataFrame:
+    """(term, bad, good): the documents of rows (text, label) with label 1 and 0 that hold each term."""
     def count(batches):
         n: Counter = Counter()
         for batch in batches:
             for part in tx.slices(batch, "text"):
-                for text in folded(part.column(0)):
-                    own = {t for w in set(_WORD.findall(text)) for t in terms(w)}
-                    n.update(own if sent.value is None else own & sent.value)
+                for text, label in zip(folded(part.column(0)), part.column(1).to_pylist()):
+                    n.update((t, label) for t in {t for w in set(_WORD.findall(text)) for t in terms(w)})
                     if len(n) > 150_000:
                         yield from _drained(n)
         yield from _drained(n)
 
-    return tx.small_batches(rows).select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    bad = F.col("label") == 1
+    return tx.small_batches(rows).select("text", "label").mapInArrow(count, "term string, label int, n long").groupBy("term").agg(
+        F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(~bad, F.col("n")).otherwise(0)).alias("good"))
 
 
 def _drained(n: Counter):
     if n:
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in n], pa.string()), pa.array([y for _, y in n], pa.int32()),
+                                          pa.array(list(n.values()), pa.int64())], ["term", "label", "n"])
     n.clear()
 
 
-def train(lexicon_rows: DataFrame, curve_rows: DataFrame, least: float = 1.5, share: float = 0.004,
+def train(lexicon_rows: DataFrame, curve_rows: DataFrame, least: float = 1.5, evidence: int = EVIDENCE,
           sample: int = SAMPLE, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
     """Lexicon from all of the one set of labelled rows (doc_id, text, label), curve from up to ``sample`` of the other.
 
-    An entry is in ``share`` of the toxic texts, three at least, and exp(``least``) times likelier there
-    by a cautious estimate.
+    An entry is in ``evidence`` toxic texts at least, and exp(``least``) times likelier there by a
+    cautious estimate; every term that is becomes one, so the lexicon is as large as the toxic
+    vocabulary of the labelled rows and goes to every task.
     """
-    rows = staging.store(lexicon_rows.select("text", "label"), "labelled")
+    rows = staging.store(lexicon_rows.select("text", F.col("label").cast("int").alias("label")), "labelled")
     size = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = size.get(1, 0), size.get(0, 0)
-    often = _documents_with(rows.where("label = 1"), None).where(F.col("n") >= max(3, share * bad)) \
-        .orderBy(F.desc("n"), "term").limit(CANDIDATES).toPandas()
-    toxic = dict(zip(often["term"], often["n"]))
-    clean = _documents_with(rows.where("label = 0"), set(toxic)).toPandas()
-    clean = dict(zip(clean["term"], clean["n"]))
-    weight = {t: _weight(n, bad, clean.get(t, 0), good) for t, n in toxic.items()}
-    best = sorted((t for t in weight if weight[t] >= least), key=lambda t: (-weight[t] * toxic[t], t))[:ENTRIES]
-    model = Model({t: weight[t] for t in best}, np.array([-3.0, 1.0, 1.0, -1.0]), np.zeros(3), np.ones(3), exceptions)
+    b, g = F.col("bad") + 0.5, F.col("good") + 0.5
+    weighed = F.log(b / (bad + 1)) - F.log(g / (good + 1)) - F.sqrt(1 / b + 1 / g)     # a log ratio less its standard error
+    found = _documents_with(rows).where(F.col("bad") >= evidence).withColumn("weight", weighed).where(F.col("weight") >= least)
+    weight = {r["term"]: r["weight"] for r in found.orderBy("term").collect()}
+    model = Model(weight, np.array([-3.0, 1.0, 1.0, -1.0]), np.zeros(3), np.ones(3), exceptions)
     seen = measures(quality.drawn(curve_rows, sample), model, "label").toPandas()
     if seen["label"].nunique() == 2:
         x, y = np.stack(seen["measures"].to_numpy()), seen["label"].to_numpy(dtype=float)
@@ -172,12 +169,6 @@ def train(lexicon_rows: DataFrame, curve_rows: DataFrame, least: float = 1.5, sh
     return model
 
 
-def _weight(bad: int, of_bad: int, good: int, of_good: int) -> float:
-    """How much likelier a term is in toxic texts, as a log ratio less its standard error."""
-    b, g = bad + 0.5, good + 0.5
-    return float(np.log(b / (of_bad + 1)) - np.log(g / (of_good + 1)) - np.sqrt(1 / b + 1 / g))
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     """Newton steps; both classes weigh alike."""
     x = np.concatenate((np.ones((len(x), 1)), x), 1)
