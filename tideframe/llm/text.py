@@ -119,12 +119,12 @@ def folded_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: in
     through the mixer, and very long spans through BLAKE2, so that unlike the polynomial of
     ``hash_spans``, which serves learned features, no pattern of bytes cancels out."""
     low = LOWER[data]
-    eights = np.ndarray(len(data) + 1, dtype="<u8", buffer=np.concatenate((low, np.zeros(8, dtype=np.uint8))), strides=(1,))
+    padded, eight = np.concatenate((low, np.zeros(8, dtype=np.uint8))), np.arange(8)
     size = end - begin
     out = mix(size.astype(np.uint64) + np.uint64((2 * seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
     live, at = np.flatnonzero((size > 0) & (size <= LONG)), 0
     while len(live):
-        lane, left = eights[begin[live] + at], size[live] - at
+        lane, left = padded[(begin[live] + at)[:, None] + eight].view("<u8").ravel(), size[live] - at
         lane = np.where(left >= 8, lane, lane & ((np.uint64(1) << (8 * np.minimum(left, 7)).astype(np.uint64)) - np.uint64(1)))
         out[live] = mix(out[live] ^ lane) + np.uint64(0x9E3779B97F4A7C15)
         at += 8
