@@ -262,11 +262,13 @@ def cleaned(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str
                 total = np.bincount(row, minlength=part.num_rows)
                 dropped = np.zeros(part.num_rows, dtype=np.int64)
                 first = np.searchsorted(row, np.arange(part.num_rows + 1))
+                longs = np.flatnonzero(points >= min_chars)
+                keys = _keys(data, left[longs], right[longs])
                 for i in np.flatnonzero(np.asarray(part.column(2).is_valid())):
                     away = set(zip(part.column(2)[i].as_py(), part.column(3)[i].as_py()))
                     own = np.arange(first[i], first[i + 1])
-                    long = own[points[own] >= min_chars]
-                    k1, k2 = _keys(data, left[long], right[long])
+                    mine = slice(*np.searchsorted(longs, first[i:i + 2]))
+                    long, k1, k2 = longs[mine], keys[0][mine], keys[1][mine]
                     gone = {at for at, *k in zip(long.tolist(), k1.tolist(), k2.tolist()) if tuple(k) in away}
                     texts[i] = b"\n".join(data[begin[at]:end[at]].tobytes() for at in own.tolist() if at not in gone).decode()
                     dropped[i] = len(gone)
