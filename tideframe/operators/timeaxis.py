@@ -176,7 +176,8 @@ def sample_rows(series: Series, size: int, seed: int = 42) -> DataFrame:
     """Exactly ``size`` rows without replacement, the same ones on every run."""
     if series.n <= size:
         return series.df
-    return series.df.orderBy(F.xxhash64(F.col(ORD), F.lit(seed)), ORD).limit(size)
+    lot = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(ORD).cast("string")))
+    return series.df.orderBy(lot, ORD).limit(size)
 
 
 def numeric(series: Series) -> list[str]:

@@ -127,6 +127,25 @@ def _labels(by: str = "") -> str:
 SELECT {by}n, {r('acc')} AS "Accuracy", {r('f1')} AS "F1", {r('auc')} AS "ROC_AUC" FROM acc{sep}{joins}"""
 
 
+def _ledger() -> str:
+    """Every feature of the default settings with what it comes from and its known rows."""
+    made: list[tuple[str, str, str, int, str]] = []
+    for c in INPUTS:
+        made.append((c, c, "raw", 0, c))
+        made += [(f"{c}__lag{k}", c, f"lag({k})", k, f"lag({c}, {k}) OVER o") for k in (1, 2, 3, 6, 12)]
+        made += [(f"{c}__roll{w}_{stat}", c, f"rolling({w},{stat})", w,
+                  f"CASE WHEN count({c}) OVER (ORDER BY ord ROWS {w - 1} PRECEDING) >= {w // 2} THEN 1 END")
+                 for w in (6, 12, 24) for stat in ("mean", "std")]
+        made.append((f"{c}__diff1", c, "diff(1)", 1, f"{c} - lag({c}, 1) OVER o"))
+        made.append((f"{c}__ewm12", c, "ewm(12)", 12, f"last_value({c} IGNORE NULLS) OVER o"))
+    calendar = ("hour", "dayofweek", "month", "is_weekend", "hour_sin", "hour_cos", "dow_sin", "dow_cos", "month_sin", "month_cos")
+    made += [(f"tf__{c}", "__time__", c, 0, "ord") for c in calendar]
+    wide = ", ".join(f"{e} AS v{i}" for i, (*_, e) in enumerate(made))
+    counts = " UNION ALL ".join(f"""SELECT '{f}' AS feature, ['{c}'] AS origins, '{t}' AS transform, {k}::INT AS lookback, count(v{i}) AS known_rows FROM w"""
+                                for i, (f, c, t, k, _) in enumerate(made))
+    return f"WITH {HOURLY}, w AS MATERIALIZED (SELECT {wide} FROM h WINDOW o AS (ORDER BY ord)) {counts}"
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
 
@@ -153,7 +172,7 @@ SELECT count(DISTINCT event_type) AS tags, count(DISTINCT t) AS instants, 0 AS d
 FROM orders GROUP BY o_orderdate"""
     q["timeseries_zone"] = """SELECT o_orderdate - INTERVAL 9 HOUR AS ts, max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice,
   row_number() OVER (ORDER BY o_orderdate) - 1 AS ord FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY o_orderdate"""
-    q["dataset_fingerprint"] = "SELECT count(*) AS rows, 6::INT AS columns, min(ts) AS start, max(ts) AS \"end\" FROM events"
+    q["dataset_span"] = "SELECT count(*) AS rows, 6::INT AS columns, min(ts) AS start, max(ts) AS \"end\" FROM events"
     q["resample_mean_last"] = f"""WITH b AS (SELECT unnest(generate_series(date_trunc('hour', min(ts)), date_trunc('hour', max(ts)), INTERVAL 1 HOUR)) AS ts FROM events),
 g AS (SELECT date_trunc('hour', ts) AS ts, avg(value) AS value, arg_max(event_type, ts) AS event_type FROM events GROUP BY 1)
 SELECT ts, {r('value')} AS value, event_type FROM b LEFT JOIN g USING (ts)"""
@@ -241,6 +260,56 @@ SELECT tag, best_lag, round_even(best, 4) AS corr, round_even(r0, 4) AS corr_lag
 SELECT b.lag, round_even(corr(x.v, y.v), 4) AS autocorrelation FROM (SELECT unnest([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48]) AS lag) b, d x, d y
 WHERE x.ord + b.lag = y.ord GROUP BY b.lag"""
 
+    # advice
+    q["preprocessing_advice"] = f"""WITH {HOURLY}, {HOURLY_LONG},
+m AS (SELECT tag, ord, ord - row_number() OVER (PARTITION BY tag ORDER BY ord) AS g FROM lt WHERE value IS NULL),
+runs AS (SELECT tag, avg(len) AS run FROM (SELECT tag, g, count(*) AS len FROM m GROUP BY 1, 2) GROUP BY 1),
+gaps AS (SELECT count(*) FILTER (miss > 0) AS gappy, count(*) FILTER (miss > 0 AND run >= 6) AS outages,
+  median(run) FILTER (miss > 0) AS typical, count(*) FILTER (miss > 0.4) AS sparse
+  FROM (SELECT tag, avg((value IS NULL)::INT) AS miss FROM lt GROUP BY 1) LEFT JOIN runs USING (tag)),
+spread AS (SELECT tag, avg(value) AS mu, stddev_samp(value) AS sd, max(abs(value - md) / (1.4826 * d)) AS z,
+  count(*) FILTER (abs(value - md) / (1.4826 * d) > 5) AS n5
+  FROM lt JOIN (SELECT tag, median(value) AS md, mad(value) AS d FROM lt GROUP BY 1) USING (tag) GROUP BY tag),
+scale AS (SELECT count(*) AS cols, count(*) FILTER (z > 10) AS wild, max(sd) FILTER (sd / abs(mu) > 1e-4) / min(sd) FILTER (sd / abs(mu) > 1e-4) AS apart,
+  count(*) FILTER (n5 > 0) AS hit, sum(n5) AS points FROM spread),
+levels AS (SELECT c, count(*) AS n, bool_and(regexp_matches(v, '^\\.*[0-9][0-9.]*$')) OR (count(*) <= 8 AND bool_and(regexp_matches(v, '^\\p{{L}}$')))
+  OR bool_and(v IN ('LOW', 'MID', 'MIDDLE', 'HIGH')) AS ordered FROM (SELECT DISTINCT 'o_orderstatus' AS c, upper(trim(o_orderstatus)) AS v FROM orders
+  UNION SELECT 'o_orderpriority', upper(trim(o_orderpriority)) FROM orders) GROUP BY c),
+kinds AS (SELECT min(c) FILTER (n <= 20 AND NOT ordered) AS states, count(*) FILTER (n <= 20 AND ordered) AS ordered FROM levels)
+SELECT 'impute' AS item, CASE WHEN typical >= 6 AND 2 * outages >= gappy THEN 'median' ELSE 'ffill' END AS value,
+  CASE WHEN gappy > 0 AND NOT (typical >= 6 AND 2 * outages >= gappy) AND sparse > 0 THEN 'normal' ELSE 'high' END AS confidence,
+  CASE WHEN gappy = 0 THEN 'no column has a gap' WHEN typical >= 6 AND 2 * outages >= gappy
+    THEN format('a typical gap lasts {{:.0f}} rows, too long to carry a value over', typical)
+    ELSE format('a typical gap lasts {{:.1f}} rows', typical) END AS reason FROM gaps
+UNION ALL SELECT 'scaler', CASE WHEN wild >= greatest(1, cols // 5) THEN 'robust' ELSE 'standard' END,
+  CASE WHEN wild >= greatest(1, cols // 5) OR apart >= 50 THEN 'high' ELSE 'normal' END,
+  CASE WHEN wild >= greatest(1, cols // 5) THEN format('columns that reach beyond robust z 10: {{}}', wild)
+    ELSE format('the widest column varies {{:.1f}} times as much as the narrowest', apart) END FROM scale
+UNION ALL SELECT 'encoding', CASE WHEN states IS NULL AND ordered > 0 THEN 'ordinal' ELSE 'onehot' END,
+  CASE WHEN states IS NOT NULL THEN 'high' WHEN ordered > 0 THEN 'normal' ELSE 'low' END,
+  CASE WHEN states IS NOT NULL THEN states || ' has values without an order' WHEN ordered > 0 THEN 'ordered columns: ' || ordered
+    ELSE 'no column has few values' END FROM kinds
+UNION ALL SELECT 'clip', CASE WHEN hit > 0 THEN 'True' ELSE 'False' END, 'high',
+  CASE WHEN hit > 0 THEN format('{{}} extreme values in {{}} columns', points::BIGINT, hit) ELSE 'no value lies beyond robust z 5' END FROM scale"""
+    usual = "'[1, 2, 3, 6, 12]'"
+    q["window_advice"] = f"""WITH scan AS ({q["lag_scan"]}), tagged AS (SELECT *, corr >= 0.2 AS related, corr >= 0.2 AND best_lag > 0 AND error_reduction >= 0.1 AS late FROM scan),
+f AS (SELECT count(*) FILTER (related) AS related, list_sort(list(DISTINCT best_lag) FILTER (late)) AS delays,
+  arg_max(tagged, corr) FILTER (late) AS lead FROM tagged),
+acf AS ({q["autocorrelation_profile"]}), stretch AS (SELECT min(lag) FILTER (autocorrelation < 0.5) AS fades, max(lag) AS last FROM acf),
+memory AS (SELECT fades, greatest(2, least(coalesce(fades, last), 48)) AS m FROM stretch)
+SELECT 'lags' AS item, CASE WHEN delays IS NULL THEN {usual} ELSE CAST(list_sort(list_distinct(list_prepend(1::BIGINT, delays[1:5])))[1:6] AS VARCHAR) END AS value,
+  CASE WHEN delays IS NOT NULL THEN CASE WHEN lead.error_reduction >= 0.3 THEN 'high' ELSE 'normal' END WHEN related > 0 THEN 'high' ELSE 'low' END AS confidence,
+  CASE WHEN delays IS NOT NULL THEN format('{{}} correlates {{:.3f}} at {{}} rows, {{:.3f}} at none', lead.tag, lead.corr, lead.best_lag, lead.corr_lag0)
+    WHEN related > 0 THEN 'the related tags act at once' ELSE 'every correlation is under 0.2' END AS reason FROM f
+UNION ALL SELECT 'windows', CAST(list_sort(list_distinct(list_filter([greatest(2, m // 4), greatest(3, m // 2), m], lambda w: w <= 48))) AS VARCHAR),
+  CASE WHEN fades IS NULL THEN 'low' ELSE 'normal' END, 'values ' || m || ' rows apart still resemble each other by half' FROM memory"""
+
+    q["random_sample"] = f"""WITH {EVENTS} SELECT ts, event_id, user_id, event_type, {r('value')} AS value, {r('k')} AS k, ord
+FROM ev ORDER BY md5('42:' || ord), ord LIMIT 200"""
+    q["feature_ledger"] = _ledger()
+    q["saved_run"] = f"""WITH {HOURS}, h AS (SELECT row_number() OVER (ORDER BY ts) - 1 AS ord, count(*) OVER () AS n FROM hw WHERE purchase IS NOT NULL)
+SELECT ord, 0.0::DOUBLE AS apart FROM h WHERE ord >= {_parts(2)["valid"][0]} AND ord < {_parts(2)["valid"][1]}"""
+
     # features
     def lag(k: int) -> str:
         return f"lag(value, {k}) OVER (ORDER BY ord)"
@@ -493,6 +562,9 @@ SELECT grid, {r('avg(30.0 + 0.1 * user_id + 0.2 * grid)')} AS prediction, {r('qu
 c AS (SELECT grid, avg(30.0 + 0.1 * user_id + 0.2 * grid) AS p FROM ev, g GROUP BY grid)
 SELECT {r('arg_min(grid, abs(p - 45.0))')} AS best_value, {r('arg_min(p, abs(p - 45.0))')} AS expected FROM c"""
 
+    q["ice_curves"] = f"""WITH {EVENTS}, drawn AS (SELECT ord, ts, user_id FROM ev ORDER BY md5('42:' || ord), ord LIMIT 40)
+SELECT ord, ts, grid, {r('30.0 + 0.1 * user_id + 0.2 * grid')} AS prediction FROM drawn, (SELECT unnest([0.0, 50.0, 100.0])::DOUBLE AS grid)"""
+
     # unsupervised
     q["cluster_profile"] = "WITH t AS (" + " UNION ALL ".join(
         f"SELECT 'd{i}' AS feature, label, embedding[{i + 1}]::DOUBLE AS v FROM embeddings" for i in range(64)) + f""")
