@@ -68,7 +68,61 @@ def exact_quantiles(
         row = work.agg(*[F.percentile(f"q{i}", grid).alias(f"q{i}") for i in range(len(names))]).first()
         return {k: list(row[i]) if row[i] is not None else [None] * len(probs)
                 for i, k in enumerate(names)}
-    return _closing_in(work, names, probs)
+    return dict(zip(names, _closing_in(_Columns(work, len(names)), probs, GAP_ROWS)[0]))
+
+
+def group_quantiles(df: DataFrame, group: Column, groups: int, value: Column, probs: list[float],
+                    extra: dict[str, Column] | None = None, gap_rows: int | None = None) -> tuple[list[list[float | None]], list[dict]]:
+    """Quantiles of ``value`` for each of the few groups 0 to ``groups`` - 1, and further aggregates
+    of the column ``v``, taken in the first pass.
+
+    All groups close in on their order statistics together, by counts between cut
+    points of their own, so neither sorted nor written rows are needed and ``df`` is
+    read some three times. NULL, NaN and infinite values are skipped.
+    """
+    work = df.select(group.cast("int").alias("c"), (clean_double(value) + 0.0).alias("v")).where(F.col("v").isNotNull())
+    return _closing_in(_Groups(work, groups, extra or {}), probs, gap_rows or max(1, GAP_ROWS // max(1, groups)))
+
+
+class _Columns:
+    """The numbers of several columns, q0 onward, side by side."""
+
+    def __init__(self, work: DataFrame, n: int):
+        self.work, self.n = work, n
+
+    def first(self, sides: list[float]) -> tuple[list[int], list[list], list[dict]]:
+        row = self.work.agg(*[e for i in range(self.n) for e in (
+            F.count(f"q{i}").alias(f"n{i}"), _sketch(F.col(f"q{i}"), sides).alias(f"g{i}"))]).first()
+        return [row[f"n{i}"] for i in range(self.n)], [row[f"g{i}"] for i in range(self.n)], [{}] * self.n
+
+    def binned(self, cuts: list[list[float]]) -> DataFrame:
+        return _binned(self.work, cuts)
+
+    def inside(self, i: int, g: _Gap) -> Column:
+        x = F.col(f"q{i}")
+        return F.when(_inside(x, g), x)
+
+
+class _Groups:
+    """The numbers of several groups, one under another: (c, v)."""
+
+    def __init__(self, work: DataFrame, n: int, extra: dict[str, Column]):
+        self.work, self.n, self.extra = work, n, extra
+
+    def first(self, sides: list[float]) -> tuple[list[int], list[list], list[dict]]:
+        rows = {r["c"]: r.asDict() for r in self.work.groupBy("c").agg(
+            F.count(F.lit(1)).alias("_n"), _sketch(F.col("v"), sides).alias("_g"),
+            *[e.alias(k) for k, e in self.extra.items()]).collect()}       # one row per group
+        got = [rows.get(i, {}) for i in range(self.n)]
+        return [r.get("_n", 0) for r in got], [r.get("_g") for r in got], got
+
+    def binned(self, cuts: list[list[float]]) -> DataFrame:
+        own = F.get(F.array(*[F.array(*[F.lit(c) for c in per]).cast("array<double>") for per in cuts]), F.col("c"))
+        place = F.size(F.filter("_own", lambda c: c < F.col("v"))) + F.size(F.filter("_own", lambda c: c <= F.col("v")))
+        return self.work.withColumn("_own", own).where(F.size("_own") > 0).select("c", "v", place.alias("bin"))
+
+    def inside(self, i: int, g: _Gap) -> Column:
+        return F.when((F.col("c") == i) & _inside(F.col("v"), g), F.col("v"))
 
 
 @dataclass(frozen=True)
@@ -82,37 +136,35 @@ class _Gap:
     inside: int
 
 
-def _closing_in(work: DataFrame, names: list[str], probs: list[float]) -> dict[str, list[float | None]]:
+def _closing_in(source: _Columns | _Groups, probs: list[float], gap_rows: int) -> tuple[list[list[float | None]], list[dict]]:
     # The first pass counts and sketches at once: ranks are shares of a count not known yet.
     sides = sorted({min(max(p + side, 0.0), 1.0) for p in probs for side in (-_MARGIN, _MARGIN)})
-    first = work.agg(*[e for i in range(len(names)) for e in (
-        F.count(f"q{i}").alias(f"n{i}"), _sketch(F.col(f"q{i}"), sides).alias(f"g{i}"))]).first()
-    counts = [first[f"n{i}"] for i in range(len(names))]
-    cuts = [_apart(sorted(set(first[f"g{i}"] or []))) for i in range(len(names))]
+    counts, sketched, extra = source.first(sides)
+    cuts = [_apart(sorted(set(g or []))) for g in sketched]
     wanted: dict[tuple[int, int], tuple[int, int, float]] = {}
     for i, n in enumerate(counts):
         for j, p in enumerate(probs):
             h = (n - 1) * p
             if n:
                 wanted[(i, j)] = (math.floor(h), min(math.floor(h) + 1, n - 1), h - math.floor(h))
-    ranks = [{r for (i, _), (lo, hi, _) in wanted.items() if i == c for r in (lo, hi)} for c in range(len(names))]
-    found: list[dict[int, float]] = [{} for _ in names]
+    ranks = [{r for (i, _), (lo, hi, _) in wanted.items() if i == c for r in (lo, hi)} for c in range(source.n)]
+    found: list[dict[int, float]] = [{} for _ in counts]
     gaps: list[dict[_Gap, set[int]]] = [
         {_Gap(-math.inf, math.inf, 0, n): r} if r else {} for r, n in zip(ranks, counts)]
     while any(gaps):
-        tallies = _tally(work, cuts)
+        tallies = _tally(source, cuts)
         gaps = [_narrow(g, cuts[i], tallies[i], found[i]) for i, g in enumerate(gaps)]
-        small = [{g: r for g, r in per.items() if g.inside <= GAP_ROWS} for per in gaps]
+        small = [{g: r for g, r in per.items() if g.inside <= gap_rows} for per in gaps]
         if any(small):
-            _read_gaps(work, small, found)
-        gaps = [{g: r for g, r in per.items() if g.inside > GAP_ROWS} for per in gaps]
+            _read_gaps(source, small, found)
+        gaps = [{g: r for g, r in per.items() if g.inside > gap_rows} for per in gaps]
         if any(gaps):
-            cuts = _propose(work, gaps)
-    out: dict[str, list[float | None]] = {k: [None] * len(probs) for k in names}
+            cuts = _propose(source, gaps)
+    out: list[list[float | None]] = [[None] * len(probs) for _ in counts]
     for (i, j), (lo, hi, frac) in wanted.items():
         a, b = found[i][lo], found[i][hi]
-        out[names[i]][j] = a + (b - a) * frac
-    return out
+        out[i][j] = a + (b - a) * frac
+    return out, extra
 
 
 def _sketch(x: Column, probs: list[float]) -> Column:
@@ -133,16 +185,16 @@ def _binned(work: DataFrame, cuts: list[list[float]]) -> DataFrame:
     return tall.select(F.substring("c", 2, 9).cast("int").alias("c"), "b.v", "b.bin").where(F.col("v").isNotNull())
 
 
-def _tally(work: DataFrame, cuts: list[list[float]]) -> list[dict[int, int]]:
+def _tally(source: _Columns | _Groups, cuts: list[list[float]]) -> list[dict[int, int]]:
     """Exact rows per bin and column."""
     out: list[dict[int, int]] = [{} for _ in cuts]
     if any(cuts):
-        for r in _binned(work, cuts).groupBy("c", "bin").count().collect():
+        for r in source.binned(cuts).groupBy("c", "bin").count().collect():
             out[r["c"]][r["bin"]] = r["count"]
     return out
 
 
-def _read_gaps(work: DataFrame, gaps: list[dict[_Gap, set[int]]], found: list[dict[int, float]]) -> None:
+def _read_gaps(source: _Columns | _Groups, gaps: list[dict[_Gap, set[int]]], found: list[dict[int, float]]) -> None:
     """Read the few rows of each gap, counted per value, and pick the ranks."""
     edges = [sorted({e for g in per for e in (g.low, g.high) if math.isfinite(e)}) or ([0.0] if per else [])
              for per in gaps]
@@ -156,7 +208,7 @@ def _read_gaps(work: DataFrame, gaps: list[dict[_Gap, set[int]]], found: list[di
                 bins.update((0, 1, 2))
         if bins:
             hit = hit | ((F.col("c") == i) & F.col("bin").isin(sorted(bins)))
-    rows = _binned(work, edges).where(hit).groupBy("c", "v").count().collect()
+    rows = source.binned(edges).where(hit).groupBy("c", "v").count().collect()
     values: list[list] = [[] for _ in gaps]
     for r in rows:
         values[r["c"]].append((r["v"], r["count"]))
@@ -171,17 +223,16 @@ def _read_gaps(work: DataFrame, gaps: list[dict[_Gap, set[int]]], found: list[di
                         found[i][todo.pop(0)] = v
 
 
-def _propose(work: DataFrame, gaps: list[dict[_Gap, set[int]]]) -> list[list[float]]:
+def _propose(source: _Columns | _Groups, gaps: list[dict[_Gap, set[int]]]) -> list[list[float]]:
     """Sorted cut points per column: a sketch's values just beside each rank."""
     aggs, owner = [], []
     for i, per in enumerate(gaps):
         for g, ranks in per.items():
             shares = [(r - g.before + 0.5) / g.inside for r in ranks]
             probs = sorted({min(max(s + side, 0.0), 1.0) for s in shares for side in (-_MARGIN, _MARGIN)})
-            x = F.col(f"q{i}")
-            aggs.append(_sketch(F.when(_inside(x, g), x), probs).alias(f"g{len(aggs)}"))
+            aggs.append(_sketch(source.inside(i, g), probs).alias(f"g{len(aggs)}"))
             owner.append(i)
-    row = work.agg(*aggs).first()
+    row = source.work.agg(*aggs).first()
     cuts: list[set[float]] = [set() for _ in gaps]
     for i, values in zip(owner, row):
         cuts[i].update(values)
