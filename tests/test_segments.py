@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tests.conftest import as_series, pandas_of, walk
@@ -136,3 +137,23 @@ def test_profile_and_matrix(spark):
     wide = U.profile_wide(prof, [0, 1]).first()
     x = walk(90, 3)["x1"]
     assert wide["overall_mean"] == pytest.approx(x.mean()) and wide["cluster_1"] == pytest.approx(x[1::2].mean())
+
+
+def test_cluster_scores_in_blocks(spark, monkeypatch):
+    """The same scores by blocks and salted centres as from all centres at once; noise is left out."""
+    rng = np.random.default_rng(8)
+    label = np.append(rng.integers(0, 9, 240), [-1] * 10)
+    x = rng.normal(size=(250, 3)) + label[:, None] * [[1.0, 0.0, 2.0]]
+    df = spark.createDataFrame([(Vectors.dense(v), int(c)) for v, c in zip(x, label)], ["features", "cluster"])
+    whole = U.cluster_metrics(df)
+    monkeypatch.setattr(U, "CENTRE_BLOCK", 2)
+    monkeypatch.setattr(U, "CENTRE_CELLS", 5)
+    parts = U.cluster_metrics(df)
+    x, label = x[:240], label[:240]
+    mid = np.array([x[label == c].mean(0) for c in range(9)])
+    s = np.array([np.sqrt(((x[label == c] - mid[c]) ** 2).sum(1)).mean() for c in range(9)])
+    ratio = [max((s[i] + s[j]) / np.linalg.norm(mid[i] - mid[j]) for j in range(9) if j != i) for i in range(9)]
+    assert whole["noise_ratio"] == pytest.approx(0.04) and whole["n_clusters"] == 9 and parts["silhouette"] is None
+    for got in (whole, parts):
+        assert got["davies_bouldin"] == pytest.approx(np.mean(ratio))
+        assert got["calinski_harabasz"] == pytest.approx(whole["calinski_harabasz"])

@@ -60,48 +60,82 @@ PARTITIONS = {
 }
 
 
+MEASURES = ("n_clusters", "noise_ratio", "silhouette", "davies_bouldin", "calinski_harabasz")
+CENTRE_CELLS = 2_000_000        # numbers in centres that may be broadcast: 16 MB
+CENTRE_BLOCK = 512
+SALTS = 64
+
+
+def _with_centres(rows: DataFrame, centres: DataFrame, small: bool) -> DataFrame:
+    """Rows (cluster, v) with their cluster's centre: sent to every task while these are few, else
+    met on salted keys, so that no cluster is one task."""
+    if small:
+        return rows.join(F.broadcast(centres), "cluster")
+    salted = centres.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["cluster", "_salt"])
+
+
+def _worst_neighbours(spread: DataFrame, clusters: int) -> DataFrame:
+    """(cluster, worst): the greatest (s + s') / distance to another centre. Blocks of centres meet
+    blocks of centres, and a block returns one number per centre."""
+    blocks = -(-clusters // CENTRE_BLOCK)
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    own = F.pmod(F.xxhash64("cluster"), F.lit(blocks)).cast("int")
+    base = spread.select("cluster", "centre", "s", own.alias("own"))
+    left = base.withColumn("other", every)
+    right = base.withColumnRenamed("own", "other").withColumn("own", every)
+
+    def worst(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine) or not len(theirs):
+            return pd.DataFrame({"cluster": [], "worst": []})
+        x, y = np.stack(mine["centre"].to_numpy()), np.stack(theirs["centre"].to_numpy())
+        apart = np.stack([np.sqrt(((y - one) ** 2).sum(1)) for one in x])
+        apart[mine["cluster"].to_numpy()[:, None] == theirs["cluster"].to_numpy()[None]] = np.inf
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = (mine["s"].to_numpy()[:, None] + theirs["s"].to_numpy()[None]) / apart
+        return pd.DataFrame({"cluster": mine["cluster"], "worst": np.nan_to_num(ratio, nan=0.0, posinf=np.inf).max(1)})
+
+    return left.groupBy("own", "other").cogroup(right.groupBy("own", "other")) \
+        .applyInPandas(worst, "cluster bigint, worst double").groupBy("cluster").agg(F.max("worst").alias("worst"))
+
+
 def cluster_metrics(df: DataFrame) -> dict[str, float | None]:
     """Quality of (features, cluster); noise (-1) is left out. No sampling.
 
-    Davies-Bouldin and Calinski-Harabasz need only the centres and two sums per
-    cluster; the silhouette is the squared-Euclidean one.
+    Davies-Bouldin and Calinski-Harabasz need the centres and two sums per cluster, which stay a
+    table; the driver sees their totals alone. Fewer than two clusters or ten rows have no quality,
+    and two clusters of one centre have a Davies-Bouldin of infinity (0 when both are points). The
+    silhouette is the squared-Euclidean one, for which Spark sends all centres to every task: it is
+    left out when these are more than CENTRE_CELLS numbers.
     """
-    total = df.count()
+    v = vector_to_array("features").alias("v")
+    shape = df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("cluster") >= 0).alias("n"),
+                   F.max(F.size(vector_to_array("features"))).alias("d")).first()
     kept = df.where("cluster >= 0")
-    sums = kept.groupBy("cluster").agg(Summarizer.mean(F.col("features")).alias("centre"),
-                                       F.count(F.lit(1)).alias("n")).orderBy("cluster").collect()  # one row per cluster
-    n = sum(r["n"] for r in sums)
-    out: dict[str, float | None] = {"n_clusters": len(sums), "noise_ratio": (total - n) / total if total else 0.0,
-                                    "silhouette": None, "davies_bouldin": None, "calinski_harabasz": None}
-    if len(sums) < 2 or n < 10:
+    centres = staging.store(kept.groupBy(F.col("cluster").cast("long").alias("cluster")).agg(
+        vector_to_array(Summarizer.mean(F.col("features"))).alias("centre"), F.count(F.lit(1)).alias("n")), "centres")
+    k, n = centres.count(), shape["n"]
+    out: dict[str, float | None] = dict.fromkeys(MEASURES) | {
+        "n_clusters": k, "noise_ratio": (shape["rows"] - n) / shape["rows"] if shape["rows"] else 0.0}
+    if k < 2 or n < 10:
         return out
-    centres = np.array([r["centre"].toArray() for r in sums])
-    counts = np.array([r["n"] for r in sums], dtype=float)
-    at = {r["cluster"]: i for i, r in enumerate(sums)}
-
-    def reach(batches):
-        for pdf in batches:
-            x = np.stack(pdf["v"].to_numpy()) if len(pdf) else np.zeros((0, centres.shape[1]))
-            i = pdf["cluster"].map(at).to_numpy()
-            sq = ((x - centres[i]) ** 2).sum(1)
-            yield pd.DataFrame({"i": i, "d": np.sqrt(sq), "sq": sq}).groupby("i", as_index=False).sum()
-
-    spread = kept.select("cluster", vector_to_array("features").alias("v")) \
-                 .mapInPandas(reach, "i int, d double, sq double") \
-                 .groupBy("i").agg(F.sum("d").alias("d"), F.sum("sq").alias("sq")).collect()
-    d, sq = np.zeros(len(sums)), np.zeros(len(sums))
-    for r in spread:
-        d[r["i"]], sq[r["i"]] = r["d"], r["sq"]
-    s = d / counts
-    apart = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(-1))
-    np.fill_diagonal(apart, np.inf)
-    with np.errstate(divide="ignore"):
-        out["davies_bouldin"] = float(((s[:, None] + s[None]) / apart).max(1).mean())
-    overall = (centres * counts[:, None]).sum(0) / n
-    between = (counts * ((centres - overall) ** 2).sum(1)).sum()
-    k = len(sums)
-    out["calinski_harabasz"] = float(between * (n - k) / (sq.sum() * (k - 1))) if sq.sum() > 0 else 1.0
-    out["silhouette"] = float(ClusteringEvaluator(predictionCol="cluster").evaluate(kept))
+    small = k * shape["d"] <= CENTRE_CELLS
+
+    def squares(a: str, b: str):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda total, x: total + x)
+
+    placed = _with_centres(kept.select(F.col("cluster").cast("long").alias("cluster"), v), centres, small) \
+        .select("cluster", squares("v", "centre").alias("sq"))
+    reach = placed.groupBy("cluster").agg(F.avg(F.sqrt("sq")).alias("s"), F.sum("sq").alias("sq"))
+    spread = staging.store(centres.join(reach, "cluster"), "spread")
+    overall = np.array([r["m"] for r in spread.select(F.posexplode("centre").alias("i", "x"), "n").groupBy("i")
+                        .agg((F.sum(F.col("x") * F.col("n")) / n).alias("m")).orderBy("i").collect()])   # one row per dimension
+    middle = F.array(*[F.lit(float(x)) for x in overall])
+    total = spread.withColumn("_m", middle).agg(F.sum(F.col("n") * squares("centre", "_m")).alias("between"),
+                                                F.sum("sq").alias("within")).first()
+    out["davies_bouldin"] = _worst_neighbours(spread, k).agg(F.avg("worst")).first()[0]
+    out["calinski_harabasz"] = total["between"] * (n - k) / (total["within"] * (k - 1)) if total["within"] > 0 else 1.0
+    out["silhouette"] = float(ClusteringEvaluator(predictionCol="cluster").evaluate(kept)) if small else None
     return out
 
 
@@ -125,14 +159,13 @@ def run_clustering(vectors: DataFrame, cfg: UnsupervisedConfig = UnsupervisedCon
             for k in range(cfg.k_range[0], cfg.k_range[1] + 1) for name, make in PARTITIONS.items() if cfg.wants(name)]
     if cfg.wants("DBSCAN"):
         runs.append(("DBSCAN", "DBSCAN", None, lambda: dbscan(vectors, cfg.eps, cfg.min_samples, cfg.seed)))
-    measures = ("n_clusters", "noise_ratio", "silhouette", "davies_bouldin", "calinski_harabasz")
     filled, labels = [], {}
     for key, name, k, make in runs:
         found, status = _attempt(lambda: staging.store(make(), "clusters"))
         m, status = _attempt(lambda: cluster_metrics(found)) if found is not None else (None, status)
         if m:
             labels[key] = found
-        filled.append((key, name, k, status, *[m[x] if m else None for x in measures]))
+        filled.append((key, name, k, status, *[m[x] if m else None for x in MEASURES]))
     board = spark.createDataFrame(filled, "key string, model string, k int, status string, n_clusters int, "
                                           "noise_ratio double, silhouette double, davies_bouldin double, "
                                           "calinski_harabasz double")

@@ -784,8 +784,8 @@ def cluster_profile(spark, sf):
 @query
 def cluster_quality(spark, sf):
     m = U.cluster_metrics(vectors(spark, sf).withColumnRenamed("label", "cluster"))
-    return shown(spark.createDataFrame([(m["n_clusters"], m["davies_bouldin"], m["calinski_harabasz"])],
-                                       "n_clusters int, davies_bouldin double, calinski_harabasz double"), 4)
+    return shown(spark.createDataFrame([tuple(m[x] for x in U.MEASURES)], "n_clusters int, noise_ratio double, silhouette double, "
+                                       "davies_bouldin double, calinski_harabasz double"), 4)
 
 
 @query

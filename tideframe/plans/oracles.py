@@ -576,8 +576,12 @@ reach AS (SELECT t.label, vec_id, sum((v - m) ** 2) AS sq FROM t JOIN c ON c.lab
 s AS (SELECT label, avg(sqrt(sq)) AS s, sum(sq) AS w, count(*) AS n FROM reach GROUP BY 1),
 apart AS (SELECT a.label AS la, b.label AS lb, sqrt(sum((a.m - b.m) ** 2)) AS dist FROM c a JOIN c b ON a.d = b.d AND a.label <> b.label GROUP BY ALL),
 db AS (SELECT la, max((x.s + y.s) / dist) AS worst FROM apart JOIN s x ON x.label = la JOIN s y ON y.label = lb GROUP BY la),
-bt AS (SELECT c.label, sum((c.m - o.m) ** 2) AS b FROM c JOIN o USING (d) GROUP BY 1)
-SELECT count(*)::INT AS n_clusters, (SELECT {r('avg(worst)', 4)} FROM db) AS davies_bouldin,
+bt AS (SELECT c.label, sum((c.m - o.m) ** 2) AS b FROM c JOIN o USING (d) GROUP BY 1),
+far AS (SELECT vec_id, t.label, c.label AS other, sum((v - c.m) ** 2) + any_value(s.w / s.n) AS dist, any_value(s.n) AS n
+  FROM t JOIN c USING (d) JOIN s ON s.label = c.label GROUP BY vec_id, t.label, c.label),
+ab AS (SELECT vec_id, max(dist * n / (n - 1)) FILTER (label = other AND n > 1) AS a, min(dist) FILTER (label <> other) AS b FROM far GROUP BY vec_id),
+sil AS (SELECT avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS x FROM ab)
+SELECT count(*)::INT AS n_clusters, 0.0::DOUBLE AS noise_ratio, (SELECT round(x, 4) FROM sil) AS silhouette, (SELECT {r('avg(worst)', 4)} FROM db) AS davies_bouldin,
   {r('sum(n * b) * (sum(n) - count(*)) / (sum(w) * (count(*) - 1))', 4)} AS calinski_harabasz FROM s JOIN bt USING (label)"""
 
     q["nearest_neighbours"] = f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),
