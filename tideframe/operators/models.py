@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.ml import Estimator, classification as C, regression as R
+from pyspark.ml import Estimator, Pipeline, classification as C, regression as R
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
@@ -15,6 +15,7 @@ from tideframe.functions.stats import clean_double
 from tideframe import staging
 from tideframe.operators import neighbours, prep as P, select as S
 from tideframe.operators.axis import ORD, Series
+from tideframe.operators.fourier import FourierFeatures
 from tideframe.operators.scores import CLASSIFICATION, REGRESSION
 
 
@@ -79,15 +80,66 @@ def boosting(ctx: FitContext, p: dict) -> Estimator:
     return C.OneVsRest(classifier=one) if ctx.task == CLASSIFICATION and ctx.n_classes > 2 else one
 
 
-def linear_svc(ctx: FitContext, p: dict) -> Estimator:
-    one = C.LinearSVC(regParam=1.0 / (ctx.n * p.get("C", 10.0)), maxIter=p.get("max_iter", 200))
-    return C.OneVsRest(classifier=one) if ctx.n_classes > 2 else one
+def kernel_svc(ctx: FitContext, p: dict) -> Estimator:
+    """A linear machine on random cosines of a radial kernel; ``kernel="linear"`` leaves them out."""
+    radial = p.get("kernel", "radial") == "radial"
+    column = "fourier" if radial else "features"
+    one = C.LinearSVC(regParam=1.0 / (ctx.n * p.get("C", 10.0)), maxIter=p.get("max_iter", 200), featuresCol=column)
+    machine = C.OneVsRest(classifier=one, featuresCol=column) if ctx.n_classes > 2 else one
+    if not radial:
+        return machine
+    cosines = FourierFeatures(outputCol=column, gamma=float(p.get("gamma", 1 / max(1, ctx.n_features))),
+                              size=p.get("cosines", 256), seed=ctx.seed)
+    return Pipeline(stages=[cosines, machine])
 
 
-def perceptron(ctx: FitContext, p: dict) -> Estimator:
-    hidden = list(p.get("hidden", (128, 64)))
-    return C.MultilayerPerceptronClassifier(layers=[ctx.n_features, *hidden, max(ctx.n_classes, 2)],
-                                            maxIter=p.get("max_iter", 600), seed=ctx.seed)
+def perceptron(ctx: FitContext, p: dict) -> "PatientPerceptron":
+    layers = [ctx.n_features, *p.get("hidden", (128, 64)), max(ctx.n_classes, 2)]
+    return PatientPerceptron(layers, p.get("max_iter", 600), ctx.seed, p.get("held", 0.1), p.get("patience", 3))
+
+
+ROUND_ITERATIONS = 25
+
+
+@dataclass
+class PatientPerceptron:
+    """Trains in warm-started rounds and stops when rows held back gain no more.
+
+    The last ``held`` share of the rows by ordinal is held back. A round takes up the weights of the
+    one before; after ``patience`` rounds without a smaller log loss there, or ``max_iter``
+    iterations in all, the best round's model is kept. ``held=0`` trains to the end on all rows.
+    """
+
+    layers: list[int]
+    max_iter: int
+    seed: int
+    held: float = 0.1
+    patience: int = 3
+    rounds: list[float] = field(default_factory=list)
+
+    def _one(self, iterations: int, start=None) -> C.MultilayerPerceptronClassifier:
+        out = C.MultilayerPerceptronClassifier(layers=self.layers, maxIter=iterations, seed=self.seed)
+        return out.setInitialWeights(start) if start is not None else out
+
+    def fit(self, df: DataFrame) -> C.MultilayerPerceptronClassificationModel:
+        cut = df.agg(F.percentile_approx(ORD, 1.0 - self.held, 10_000)).first()[0] if self.held else None
+        early, late = (df.where(F.col(ORD) <= cut), df.where(F.col(ORD) > cut)) if cut is not None else (df, None)
+        if late is None or not late.limit(1).count():
+            return self._one(self.max_iter).fit(df)
+        early, late = early.persist(), late.persist()
+        sure = F.greatest(F.get(vector_to_array("probability"), F.col("label").cast("int")), F.lit(1e-15))
+        self.rounds, best, model, done = [], None, None, 0
+        while done < self.max_iter and (best is None or len(self.rounds) - best[0] <= self.patience):
+            step = min(ROUND_ITERATIONS, self.max_iter - done)
+            model = self._one(step, model.weights if model is not None else None).fit(early)
+            done += step
+            loss = model.transform(late).agg(F.avg(-F.log(sure))).first()[0]
+            self.rounds.append(loss)
+            if best is None or loss < best[1] - 1e-4:
+                best = (len(self.rounds), loss, model)
+        early.unpersist()
+        late.unpersist()
+        return best[2]
 
 
 def nearest(ctx: FitContext, p: dict) -> "KnnEstimator":
@@ -111,7 +163,7 @@ ZOO: dict[str, ModelSpec] = {s.name: s for s in (
               grid={"rate": [0.02, 0.05, 0.1], "n_rounds": [200, 400, 800], "max_depth": [3, 5, 6],
                     "subsample": [0.7, 0.85, 1.0], "min_leaf": [10, 20, 50]}),
     ModelSpec("KNN", "neighbors", ALL, nearest, heavy=True, grid={"n_neighbors": [5, 10, 15, 25, 40]}),
-    ModelSpec("SVM", "svm", (CLASSIFICATION,), linear_svc, heavy=True, grid={"C": [1.0, 10.0, 100.0]}),
+    ModelSpec("SVM", "svm", (CLASSIFICATION,), kernel_svc, heavy=True, grid={"C": [1.0, 10.0, 100.0]}),
     ModelSpec("MLP", "neural", (CLASSIFICATION,), perceptron, heavy=True,
               grid={"hidden": [(64,), (128, 64), (256, 128)]}),
 )}
