@@ -144,9 +144,11 @@ def line_keys(named: DataFrame, min_chars: int, filters: dict | None = None, sha
                 row, (k1, k2) = row[long], _keys(data, left[long], right[long])
                 if sent is not None:
                     row, k1, k2 = (x[_held(sent.value, shards, k1, k2)] for x in (row, k1, k2))
-                _, first = np.unique(np.stack((row, k1, k2)), axis=1, return_index=True)
-                row = pa.array(row[first])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row),
+                order = np.lexsort((k2, k1, row))
+                row, k1, k2 = row[order], k1[order], k2[order]
+                first = np.append(True, (row[1:] != row[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))[:len(row)]
+                at = pa.array(row[first])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at),
                                                   pa.array(k1[first]), pa.array(k2[first])], ["doc_id", "tk", "k1", "k2"])
 
     return tx.small_batches(named).mapInArrow(read, T.StructType([named.schema["doc_id"]]).add("tk", "long").add("k1", "long").add("k2", "long"))
