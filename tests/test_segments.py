@@ -5,7 +5,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tests.conftest import as_series, pandas_of, walk
-from tideframe.operators import neighbours, segments as U
+from tideframe.operators import linkage, neighbours, segments as U
 
 
 @pytest.fixture(scope="module")
@@ -157,3 +157,48 @@ def test_cluster_scores_in_blocks(spark, monkeypatch):
     for got in (whole, parts):
         assert got["davies_bouldin"] == pytest.approx(np.mean(ratio))
         assert got["calinski_harabasz"] == pytest.approx(whole["calinski_harabasz"])
+
+
+def single_linkage(x, k):
+    """Label per row: clusters merge by their nearest members until k are left."""
+    d = distances(np.unique(x, axis=0))
+    of = np.arange(len(d))
+    for i, j in sorted(zip(*np.triu_indices(len(d), 1)), key=lambda p: d[p]):
+        if len(set(of)) <= k:
+            break
+        of[of == of[j]] = of[i]
+    return of[np.unique(x, axis=0, return_inverse=True)[1].ravel()]
+
+
+def same_groups(a, b):
+    return len(set(zip(a, b))) == len(set(a)) == len(set(b))
+
+
+@pytest.mark.parametrize("dims", [2, 24])
+def test_single_linkage_matches_brute_force(spark, dims, monkeypatch):
+    for name, size in (("TOPS", 4), ("CELL_ROWS", 40), ("BASE_BLOCK", 60), ("QUERY_BLOCK", 60)):
+        monkeypatch.setattr(neighbours, name, size)
+    rng = np.random.default_rng(dims)
+    x = np.vstack([rng.normal(c, 1.0, (110, dims)) for c in (0, 4, 9)] + [np.repeat(rng.normal(0, 1, (1, dims)), 170, 0)])
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "ord bigint, v array<double>") \
+              .select("ord", array_to_vector("v").alias("features"))
+    tree = linkage.merges(df)
+    assert tree.table.count() == len(np.unique(x, axis=0)) - 1
+    for k, found in linkage.cut(tree, [1, 2, 3, 7, 40]).items():
+        got = pandas_of(found)["cluster"].to_numpy()
+        assert len(got) == len(x) and same_groups(got, single_linkage(x, k))
+        assert got[0] == 0
+    lengths = sorted(r["dist"] for r in tree.table.select("dist").collect())
+    got = pandas_of(linkage.cut_at(tree, lengths[-30]))["cluster"].to_numpy()
+    assert same_groups(got, single_linkage(x, 30)) and [g for i, g in enumerate(got) if g not in got[:i]] == list(range(30))
+
+
+def test_single_linkage_of_ties_and_few_points(spark):
+    def frame(x):
+        return spark.createDataFrame(list(enumerate(x)), "ord bigint, v array<double>") \
+                    .select("ord", array_to_vector("v").alias("features"))
+    grid = [[float(i), float(j)] for i in range(6) for j in range(5)] + [[40.0, 0.0], [40.0, 1.0]]
+    two = linkage.cut(linkage.merges(frame(grid)), [2])[2]
+    assert pandas_of(two)["cluster"].tolist() == [0] * 30 + [1, 1]
+    assert pandas_of(linkage.cut(linkage.merges(frame([[1.0], [1.0], [3.0]])), [5])[5])["cluster"].tolist() == [0, 0, 1]
+    assert pandas_of(linkage.cut(linkage.merges(frame([[1.0], [1.0]])), [2])[2])["cluster"].tolist() == [0, 0]

@@ -124,7 +124,7 @@ def test_entry_and_contract(spark):
 @pytest.mark.parametrize("name", [
     "long_to_wide", "timeseries_dedupe", "resample_median", "column_profile", "missing_runs", "lag_scan", "feature_rolling",
     "feature_ewm_gaps", "split_by_date", "mutual_information", "impute_ffill", "score_classification_by_language",
-    "residual_drift", "contribution_shift", "sweep_curve", "cluster_quality", "hourly_features_split"])
+    "residual_drift", "contribution_shift", "sweep_curve", "cluster_quality", "linkage_clusters", "hourly_features_split"])
 def test_queries_equal_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from tideframe import staging
 from tideframe.functions.names import numeric_columns, q
 from tideframe.functions.stats import clean_double, exact_quantiles
-from tideframe.operators import axis, neighbours, prep as P
+from tideframe.operators import axis, linkage, neighbours, prep as P
 from tideframe.operators.axis import ORD, Series
 
 TREE_ROWS = 256
@@ -148,15 +148,20 @@ def _attempt(make):
 
 
 def run_clustering(vectors: DataFrame, cfg: UnsupervisedConfig = UnsupervisedConfig()) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """(board, labels per key): every partition for every k, DBSCAN once. What fails
-    is on the board with its error, and the others go on."""
+    """(board, labels per key): every partition for every k, DBSCAN once. Single linkage
+    merges once and is cut at every k. What fails is on the board with its error, and
+    the others go on."""
     spark = vectors.sparkSession
+    sizes = range(cfg.k_range[0], cfg.k_range[1] + 1)
 
     def partition(make, k: int) -> DataFrame:
         return make(k, cfg.seed).fit(vectors).transform(vectors).select(ORD, "features", "cluster")
 
     runs = [(f"{name}_k{k}", name, k, functools.partial(partition, make, k))
-            for k in range(cfg.k_range[0], cfg.k_range[1] + 1) for name, make in PARTITIONS.items() if cfg.wants(name)]
+            for k in sizes for name, make in PARTITIONS.items() if cfg.wants(name)]
+    if cfg.wants("Agglomerative"):
+        levels = functools.cache(lambda: linkage.cut(linkage.merges(vectors, cfg.seed), list(sizes)))
+        runs += [(f"Agglomerative_k{k}", "Agglomerative", k, lambda k=k: levels()[k]) for k in sizes]
     if cfg.wants("DBSCAN"):
         runs.append(("DBSCAN", "DBSCAN", None, lambda: dbscan(vectors, cfg.eps, cfg.min_samples, cfg.seed)))
     filled, labels = [], {}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tideframe import staging
 from tideframe.operators import (advice, axis, blend as B, diagnose as D, explain as X, features as FE, gram, layout,
-                                 models as M, prep as P, quality, scores, segments as U, select as S, split as SP,
+                                 linkage as LK, models as M, prep as P, quality, scores, segments as U, select as S, split as SP,
                                  timeaxis, train as T, whatif as W)
 from tideframe.operators.axis import ORD
 from tideframe.plans import auto
@@ -799,6 +799,12 @@ def density_clusters(spark, sf):
     return U.dbscan(vectors(spark, sf), 1.2, 5).groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query
+def linkage_clusters(spark, sf):
+    tree = LK.merges(vectors(spark, sf).drop("label"))
+    return LK.cut_at(tree, 1.13).groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query
 def anomaly_isolation(spark, sf):
     v = vectors(spark, sf).drop("label")
@@ -913,7 +919,7 @@ def class_contributions(spark, sf):
 @query
 def permutation_importance(spark, sf):
     s, _, _, pipe = _one_model(spark, sf, "Ridge")
-    return shown(X.permutation_importance(pipe, s, n_repeats=2))
+    return shown(X.permutation_importance(pipe, s))
 
 
 @query

@@ -605,6 +605,12 @@ every AS (SELECT * FROM label UNION ALL SELECT a, min(label) FROM near JOIN labe
 placed AS (SELECT label, row_number() OVER (ORDER BY min(id)) - 1 AS cluster FROM every GROUP BY 1)
 SELECT coalesce(cluster, -1)::INT AS cluster, count(*) AS rows FROM v LEFT JOIN every USING (id) LEFT JOIN placed USING (label) GROUP BY 1"""
 
+    q["linkage_clusters"] = """WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+near AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM v a, v b WHERE list_distance(a.e, b.e) <= 1.13),
+reach AS (SELECT id, id AS c FROM v UNION SELECT n.b, r.c FROM reach r JOIN near n ON n.a = r.id),
+label AS (SELECT id, min(c) AS label FROM reach GROUP BY 1)
+SELECT (row_number() OVER (ORDER BY label) - 1)::INT AS cluster, count(*) AS rows FROM label GROUP BY label"""
+
     # flagship
     out = [f"{r('h.' + c)} AS {c}" for c in [*INPUTS, "purchase"]]
     f6 = "OVER (ORDER BY ord ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)"
