@@ -249,6 +249,17 @@ def test_permutation_finds_the_inputs_that_matter(fitted):
     assert got.loc["x1", "importance_mean"] > 0.1 > abs(got.loc["x3", "importance_mean"])
 
 
+@pytest.mark.parametrize("metric", ["R2", "MAE", "MAPE"])
+@pytest.mark.parametrize("name", ["Ridge", "DecisionTree"])
+def test_permutation_within_the_batch_equals_the_model_asked_anew(fitted, monkeypatch, name, metric):
+    s, pipes = fitted
+    fast = X.permutation_importance(pipes[name], s, metric, n_repeats=2).toPandas().set_index("feature").sort_index()
+    monkeypatch.setattr(X, "_shift_of", lambda pipe, spark: None)
+    slow = X.permutation_importance(pipes[name], s, metric, n_repeats=2).toPandas().set_index("feature").sort_index()
+    assert list(fast.index) == list(slow.index)
+    np.testing.assert_allclose(fast.to_numpy(), slow.to_numpy(), atol=1e-9)
+
+
 def test_scenarios(spark, fitted):
     s, pipes = fitted
     moved = W.Scenario((W.Change("x1", W.SET, 60.0), W.Change("x2", W.PCT, 10.0), W.Change("gone", W.DELTA, 1.0)),

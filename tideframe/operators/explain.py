@@ -370,29 +370,118 @@ def contribution_stream(c: Contributions, rule: str | None = None, top_n: int =
             .select(F.col("w.start").alias(c.ts), "feature", "shap_value"))
 
 
-def permutation_importance(pipe, series: Series, metric: str = "R2", n_repeats: int = 5, seed: int = 42) -> DataFrame:
-    """(feature, importance_mean, importance_std): score lost when a feature is shuffled.
+def _shuffled(rows: DataFrame, rep: int, seed: int) -> DataFrame:
+    """Rows with ``_other``, the features of the row ranked as they are numbered."""
+    ranked = SP.random_rank(rows.select(ORD), seed + rep)
+    given = rows.select(F.col(ORD).alias("rank"), vector_to_array("features").alias("_other"))
+    return rows.join(ranked.join(given, "rank").drop("rank"), ORD)
 
-    A shuffle is a join of row numbers with hash ranks: row i gets the values of
-    the row ranked i. All features share one shuffle per repeat.
-    """
+
+class _LinearShift:
+    """How far a linear prediction moves when one feature is replaced."""
+
+    def __init__(self, coef: list[float]):
+        self.coef = np.asarray(coef)
+
+    def moves(self, x: np.ndarray, other: np.ndarray):
+        yield from enumerate(((other - x) * self.coef).T)
+
+
+class _TreeShift:
+    """The same for trees: only leaves that ask about the feature can be entered or left."""
+
+    def __init__(self, leaves: list[boxes.Leaf]):
+        self.leaves = [leaf for leaf in leaves if len(leaf.features)]
+
+    def moves(self, x: np.ndarray, other: np.ndarray):
+        out = np.zeros((x.shape[1], len(x)))
+        for leaf in self.leaves:
+            mine, theirs = leaf.masks(x), leaf.masks(other)
+            full = (1 << len(leaf.features)) - 1
+            for i, f in enumerate(leaf.features):
+                rest = (mine | 1 << i) == full
+                out[f] += leaf.value[0] * (rest & (theirs >> i & 1 == 1)).astype(float) - leaf.value[0] * (mine == full)
+        yield from enumerate(out)
+
+
+def _shift_of(pipe, spark):
+    """What moves the predictions of a regression, or None where only the model itself can tell."""
+    if isinstance(pipe, B.Blend) or pipe.prepared.task != scores.REGRESSION:
+        return None
+    if pipe.linear_terms() is not None:
+        return _LinearShift(pipe.linear_terms()[0])
+    leaves = boxes.leaves_of(spark, pipe.model)
+    if leaves is None or max([len(leaf.features) for leaf in leaves[0]], default=0) > boxes.MASK_BITS:
+        return None
+    return _TreeShift(leaves[0])
+
+
+def _moved_scores(pipe, rows: DataFrame, shift, metric: str, n_repeats: int, seed: int) -> DataFrame:
+    """(feature, rep, m): every feature replaced in turn within a batch of rows, which
+    returns four sums per feature; no row is written for a feature."""
     names = pipe.names
-    rows = staging.store(pipe.prepared.assemble(series).select(ORD, "label", "features"), "permute")
-    plain = _metric_of(pipe, rows.withColumn("feature", F.lit("")).withColumn("rep", F.lit(0)), metric).first()["m"]
-    scored = None
+    sent = rows.sparkSession.sparkContext.broadcast(shift)      # as large as the model, which the driver holds
+
+    def work(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, other = np.stack(pdf["_own"].to_numpy()), np.stack(pdf["_other"].to_numpy())
+            y = pdf["label"].to_numpy(dtype=float)
+            error, far = y - pdf["prediction"].to_numpy(dtype=float), np.abs(y) > scores.NEAR_ZERO
+            found = []
+            for at, moved in sent.value.moves(x, other):
+                off = np.abs(error - moved)
+                found.append((int(pdf["rep"].iloc[0]), at, (off ** 2).sum(), off.sum(), (off[far] / np.abs(y[far])).sum()))
+            yield pd.DataFrame(found, columns=["rep", "at", "sse", "sae", "sape"])
+
+    plain = pipe.predict_vectors(rows.withColumn("_own", vector_to_array("features"))).where("label is not null")
+    whole = plain.agg(F.count(F.lit(1)).alias("n"), F.var_pop("label").alias("var"),
+                      F.count_if(F.abs("label") > scores.NEAR_ZERO).alias("far"))
+    sums = None
+    for rep in range(n_repeats):
+        pairs = plain.join(_shuffled(rows, rep, seed).select(ORD, "_other"), ORD)
+        part = pairs.select(F.lit(rep).alias("rep"), "label", "prediction", "_own", "_other") \
+            .mapInPandas(work, "rep int, at int, sse double, sae double, sape double") \
+            .groupBy("rep", "at").agg(*[F.sum(c).alias(c) for c in ("sse", "sae", "sape")])
+        sums = part if sums is None else sums.unionByName(part)
+    spread = F.col("var") * F.col("n")
+    got = {"R2": F.when(spread > 0, 1 - F.col("sse") / spread).when(F.col("sse") == 0, 1.0).otherwise(0.0),
+           "RMSE": F.sqrt(F.col("sse") / F.col("n")), "MAE": F.col("sae") / F.col("n"),
+           "MAPE": F.try_divide(F.col("sape"), F.col("far"))}
+    named = F.element_at(F.array(*[F.lit(c) for c in names]), F.col("at") + 1)
+    return sums.crossJoin(F.broadcast(whole)).select(named.alias("feature"), "rep", got[metric].alias("m"))     # one row on the right
+
+
+def _replaced_scores(pipe, rows: DataFrame, metric: str, n_repeats: int, seed: int) -> DataFrame:
+    """The same by asking the model about every row with every feature replaced."""
+    names, scored = pipe.names, None
     for rep in range(n_repeats):
-        ranked = SP.random_rank(rows.select(ORD), seed + rep)
-        given = rows.select(F.col(ORD).alias("rank"), vector_to_array("features").alias("_other"))
-        pairs = rows.join(ranked.join(given, "rank").drop("rank"), ORD).withColumn("_own", vector_to_array("features"))
-        at = F.explode(F.array(*[F.lit(i) for i in range(len(names))]))
-        mixed = pairs.withColumn("_at", at).select(
+        pairs = _shuffled(rows, rep, seed).withColumn("_own", vector_to_array("features"))
+        mixed = pairs.withColumn("_at", F.explode(F.array(*[F.lit(i) for i in range(len(names))]))).select(
             ORD, "label", F.lit(rep).alias("rep"),
             F.element_at(F.array(*[F.lit(c) for c in names]), F.col("_at") + 1).alias("feature"),
             array_to_vector(F.transform("_own", lambda x, i: F.when(i == F.col("_at"), F.col("_other")[i]).otherwise(x)))
             .alias("features"))
         scored = mixed if scored is None else scored.unionByName(mixed)
+    return _metric_of(pipe, scored, metric)
+
+
+def permutation_importance(pipe, series: Series, metric: str = "R2", n_repeats: int = 5, seed: int = 42) -> DataFrame:
+    """(feature, importance_mean, importance_std): score lost when a feature is shuffled.
+
+    A shuffle is a join of row numbers with hash ranks: row i gets the values of
+    the row ranked i. All features share one shuffle per repeat. Linear and tree
+    regressions are scored within the batch; other models see each row once per
+    feature and repeat, streamed through the model and summed at once.
+    """
+    rows = staging.store(pipe.prepared.assemble(series).select(ORD, "label", "features"), "permute")
+    plain = _metric_of(pipe, rows.withColumn("feature", F.lit("")).withColumn("rep", F.lit(0)), metric).first()["m"]
+    shift = _shift_of(pipe, rows.sparkSession)
+    moved = _moved_scores(pipe, rows, shift, metric, n_repeats, seed) if shift is not None \
+        else _replaced_scores(pipe, rows, metric, n_repeats, seed)
     sign = 1.0 if scores.HIGHER_IS_BETTER.get(metric, True) else -1.0
-    drops = _metric_of(pipe, scored, metric).withColumn("drop", F.lit(sign) * (F.lit(plain) - F.col("m")))
+    drops = moved.withColumn("drop", F.lit(sign) * (F.lit(plain) - F.col("m")))
     return (drops.groupBy("feature").agg(F.avg("drop").alias("importance_mean"),
                                          F.stddev_pop("drop").alias("importance_std"))
             .orderBy(F.desc("importance_mean"), "feature"))
