@@ -152,6 +152,26 @@ def test_blends_reuse_fitted_members(series, trained):
     assert B.adopt(both, "R2", -10.0, "holdout_")[0].startswith("Ensemble_")
 
 
+def test_blends_learn_the_predictions_out_of_fold_they_lack(spark, series, trained, tmp_path, monkeypatch):
+    cfg, split, whole = trained
+    names = ["Ridge", "DecisionTree"]
+    bare = T.train_all(series, "y", X, split, names, cfg, cross=False)
+    assert bare.oof().isEmpty() and set(bare.pipelines) == set(names)
+    assert bare.leaderboard.first()["cv_R2"] is None and bare.leaderboard.first()["holdout_R2"] is not None
+    kept = T.FoldStore(spark, str(tmp_path / "folds"))
+    _, made = B.fit_blends(series, split, bare, names, cfg, kept=kept)
+    _, want = B.fit_blends(series, split, whole, names, cfg)
+    for n in want:
+        np.testing.assert_allclose(made[n].weights, want[n].weights, rtol=1e-6, atol=1e-9)
+    monkeypatch.setattr(T, "train_all", None)           # everything is in the store by now
+    again = T.with_folds(bare, series, "y", X, split, names, cfg, kept)
+    cols = ["model", "fold", "ord", "prediction"]
+    a, b = (t.oof().where(F.col("model").isin(names)).select(cols).toPandas().sort_values(cols[:3]) for t in (again, whole))
+    assert len(a) == len(b) > 0
+    np.testing.assert_allclose(a["prediction"], b["prediction"], rtol=1e-6)
+    assert kept.get(kept.key(series, "y", X[:2], split, "Ridge", cfg)) is None
+
+
 def test_nonnegative_weights():
     rng = np.random.default_rng(15)
     truth = rng.normal(size=400)

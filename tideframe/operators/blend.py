@@ -151,10 +151,23 @@ def _probability(scored: DataFrame):
 
 
 def fit_blends(series: Series, split: SP.Split, trained: T.Trained, names: list[str], cfg: T.TrainConfig,
-               include: tuple[str, ...] = ("Voting", "Weighted", "Stacking")) -> tuple[DataFrame, dict[str, Blend]]:
-    """Blends of already fitted models, scored like them. Nothing is fitted anew."""
+               include: tuple[str, ...] = ("Voting", "Weighted", "Stacking"), features: list[str] | None = None,
+               kept: T.FoldStore | None = None) -> tuple[DataFrame, dict[str, Blend]]:
+    """Blends of already fitted models, scored like them.
+
+    A fitted model is never fitted anew. Weights need predictions out of fold;
+    where ``trained`` lacks a model's, they are taken from ``kept`` or learnt from
+    ``features`` (those the model was prepared with, if not given). A model that
+    fails on a fold is in no blend.
+    """
     used = [n for n in names if n in trained.pipelines]
     spark = series.df.sparkSession
+    if cfg.task != CLASSIFICATION and len(used) > 1 and {"Weighted", "Stacking"} & set(include):
+        ready = trained.pipelines[used[0]].prepared
+        trained = T.with_folds(trained, series, ready.target, features or [*ready.prep.numeric, *ready.prep.categorical],
+                               split, used, cfg, kept)
+        have = {r["model"] for r in trained.oof().select("model").distinct().collect()}      # a row per model
+        used = [n for n in used if n in have]
     if len(used) < 2:
         return spark.createDataFrame([], "model string, family string, status string"), {}
     members = {n: trained.pipelines[n] for n in used}

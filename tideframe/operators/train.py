@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import random
 import time
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -138,8 +140,8 @@ def _scores(df: DataFrame, task: str, by: list[str], n_classes: int) -> DataFram
 
 
 def train_all(series: Series, target: str, features: list[str], split: SP.Split, names: list[str],
-              cfg: TrainConfig = TrainConfig()) -> Trained:
-    """Fit every model on every fold and on the training part; score all at once.
+              cfg: TrainConfig = TrainConfig(), cross: bool = True, final: bool = True) -> Trained:
+    """Fit every model on every fold (``cross``) and on the training part (``final``); score all at once.
 
     Preprocessing and selection are learnt once per training range and shared,
     as they do not depend on the model. Models on one range run side by side; a
@@ -151,7 +153,7 @@ def train_all(series: Series, target: str, features: list[str], split: SP.Split,
         raise ValueError("no model to train")
     SP.assert_order(series, split.train, split.valid)
     folds = SP.rolling_origin(len(split.train), cfg.split.n_splits, cfg.split.gap, cfg.split.max_train_size,
-                              split.train.lo)
+                              split.train.lo) if cross else []
     classes: list = []
     if cfg.task == CLASSIFICATION:
         classes = M.classes_of(series.df.where(split.train.where()), target)
@@ -162,14 +164,15 @@ def train_all(series: Series, target: str, features: list[str], split: SP.Split,
     fold_sets: list[set[str]] = []
     fold_params: dict[str, list[dict]] = {}
     steps = [(f.number, f.train, [("oof", f.test)]) for f in folds]
-    if picked == ["Ridge"] and not cfg.tune.applies_to("Ridge") and RG.applies(series, features, cfg.fit, [f.train for f in folds]):
+    if folds and picked == ["Ridge"] and not cfg.tune.applies_to("Ridge") and RG.applies(series, features, cfg.fit, [f.train for f in folds]):
         start = time.perf_counter()
         learnt, out = _ridge_folds(series, target, features, folds, cfg.fit, cfg.params.get("Ridge"))
         stored.append(out)
         fold_sets += [set(m.names) for m in learnt] if cfg.fit.fold_selection else []
         seconds["Ridge"] += time.perf_counter() - start
         steps = []
-    steps.append((0, split.train, [("insample", split.train), ("holdout", split.valid)]))
+    if final:
+        steps.append((0, split.train, [("insample", split.train), ("holdout", split.valid)]))
     for number, rng, parts in steps:
         ready = M.prepare(series, target, features, rng.where(), cfg.fit, classes or None)
         if number and cfg.fit.fold_selection:
@@ -217,6 +220,73 @@ def train_all(series: Series, target: str, features: list[str], split: SP.Split,
     return Trained(sort_leaderboard(board, cfg.champion_metric), predictions, pipelines, fold_sets, fold_params, classes)
 
 
+PREDICTIONS_SCHEMA = ("model string, part string, fold int, purpose string, ord bigint, label double, prediction double, "
+                      "probability array<double>, status string")
+
+
+class FoldStore:
+    """Predictions out of fold by model, settings, split and data, kept as tables in a shared folder.
+
+    A table is named by what it was learnt from, so a changed value, split or setting is another
+    table. One that was left half written counts as absent and is written again.
+    """
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    @staticmethod
+    def key(series: Series, target: str, features: list[str], split: SP.Split, name: str, cfg: TrainConfig) -> str:
+        from tideframe.operators.quality import fingerprint
+        used = [F.col(q(c)) for c in dict.fromkeys([ORD, series.ts, target, *features])]
+        about = {"data": fingerprint(series.df.where(split.train.where()).select(*used)).first()["fingerprint"],
+                 "target": target, "features": list(features), "train": [split.train.lo, split.train.hi], "model": name,
+                 "params": cfg.params.get(name, {}), "fit": asdict(cfg.fit), "split": asdict(cfg.split),
+                 "tune": asdict(cfg.tune) if cfg.tune.applies_to(name) else None}
+        return hashlib.sha256(json.dumps(about, sort_keys=True, default=str).encode()).hexdigest()
+
+    def get(self, key: str) -> DataFrame | None:
+        found = self.spark.read.schema(PREDICTIONS_SCHEMA)
+        try:
+            table = found.parquet(f"{self.path}/{key}")
+            return None if table.isEmpty() else table
+        except Exception as e:  # nothing was stored under this name
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return None
+
+    def put(self, key: str, predictions: DataFrame) -> DataFrame:
+        predictions.write.mode("overwrite").parquet(f"{self.path}/{key}")
+        return self.spark.read.schema(PREDICTIONS_SCHEMA).parquet(f"{self.path}/{key}")
+
+
+def with_folds(trained: Trained, series: Series, target: str, features: list[str], split: SP.Split, names: list[str],
+               cfg: TrainConfig, kept: FoldStore | None = None) -> Trained:
+    """``trained`` with predictions out of fold for each of ``names``: those it has, else those of
+    the store, else learnt now on the folds of the training part (and stored). A model that fails
+    on a fold gets none."""
+    have = {r["model"] for r in trained.oof().select("model").distinct().collect()}       # a row per model
+    lacking = [n for n in names if n not in have]
+    added, keys = [], {}
+    for n in lacking if kept else []:
+        keys[n] = kept.key(series, target, features, split, n, cfg)
+        found = kept.get(keys[n])
+        if found is not None:
+            added.append(found)
+            lacking = [m for m in lacking if m != n]
+    if lacking:
+        made = train_all(series, target, features, split, lacking, cfg, final=False).oof()
+        if kept:
+            learnt = {r["model"] for r in made.select("model").distinct().collect()}
+            added += [kept.put(keys[n], made.where(F.col("model") == n).select(*trained.predictions.columns))
+                      for n in lacking if n in learnt]
+        else:
+            added.append(made)
+    predictions = trained.predictions
+    for df in added:
+        predictions = predictions.unionByName(df)
+    return replace(trained, predictions=predictions)
+
+
 def _board(spark, predictions, picked, known, failed, seconds, fold_sets, cfg, n_classes) -> DataFrame:
     metrics = scores.metrics_of(cfg.task)
     ok = predictions.where(F.col("status") == "ok")
