@@ -1,5 +1,8 @@
 """Quality, language and toxicity: held-out accuracy and odd rows."""
 
+import collections
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +61,58 @@ def test_unseen_words_go_by_their_parts(spark):
     assert got[1] == "de" and got[2] == "en" and got[3] in ("de", "en")
 
 
+def plain_language(learned, texts):
+    """The same with dictionaries: nothing hashed, nothing bounded."""
+    def words(text):
+        return "".join(c if ord(c) >= 128 or c.isalpha() else " " for c in (text or "").lower()).split()
+
+    def grams(word, k):
+        word = f" {word} " if k > 1 else word
+        return [word[i:i + k] for i in range(len(word) - k + 1)]
+
+    counts = collections.defaultdict(collections.Counter)
+    for lang, text in learned:
+        for w in words(text):
+            counts[lang, 0][w] += 1
+            for k in range(1, 6):
+                counts[lang, k].update(grams(w, k))
+    langs = sorted({lang for lang, _ in counts})
+    size = {k: len(set().union(*[counts[lang, k] for lang in langs])) for k in range(6)}
+    whole = {key: sum(c.values()) for key, c in counts.items()}
+
+    def weight(key, k):
+        return np.array([np.log(counts[lang, k][key] + 0.5) - np.log(whole.get((lang, k), 0) + 0.5 * size[k] + 1) for lang in langs])
+
+    def known(key, k):
+        return any(key in counts[lang, k] for lang in langs)
+
+    prior = np.array([whole.get((lang, 0), 0) + 1.0 for lang in langs])
+    for text in texts:
+        total = np.log(prior / prior.sum())
+        for w in words(text):
+            if known(w, 0):
+                total = total + weight(w, 0)
+                continue
+            for k in (5, 4, 3, 2, 1):
+                there = [g for g in grams(w, k) if known(g, k)]
+                if there:
+                    total = total + np.mean([weight(g, k) for g in there], axis=0)
+                    break
+        share = np.exp(total - total.max())
+        yield (langs[int(share.argmax())], 1 / share.sum()) if any(c.isalpha() for c in text or "") else ("und", 0.0)
+
+
+@pytest.mark.parametrize("sent", [(langid.WORDS, langid.PARTS), (40, 30), (0, 0)])
+def test_language_equals_dictionaries_whatever_goes_to_every_task(spark, sent):
+    docs = queries.table(spark, SF, "documents").select("doc_id", "lang", "text").orderBy("doc_id").limit(160).collect()
+    learned = [(r["lang"], r["text"]) for r in docs[:60]] + [("de", "schöner müßiger Fluß"), (None, "unlabelled"), ("xx", None)]
+    texts = [r["text"][:400] for r in docs[60:]] + ["schönste müßig Ωmega", "Zzyzx", None, "", "42 --", "日本語", "qqqq " * 3_000]
+    model = langid.train(spark.createDataFrame(learned, "lang string, text string"), *sent)
+    found = langid.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    for r, (lang, share) in zip(found, plain_language([x for x in learned if x[0]], texts), strict=True):
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(share, rel=1e-6), texts[r["doc_id"]]
+
+
 def test_toxicity_holds_out(spark, odd):
     assert accuracy(spark, "op9_toxicity", "toxic", True) > 0.85
     docs, labels = queries.table(spark, SF, "documents"), queries.table(spark, SF, "labels")
