@@ -209,36 +209,28 @@ SELECT doc_id, size, crc AS text_crc32, 'key' AS law, here_last.s::INT AS shard,
 FROM sums JOIN here_last USING (doc_id) JOIN grown_last USING (doc_id)"""
 
 
-# Sparser than the operator's, which finds all that the rule counts: hits that these miss are in the query alone.
-_OP8_MASKS, _OP8_STEP = ("1101100101011", "1110010110011", "1011010011101"), 2
-
-
 def _op8_sql() -> str:
-    """The spaced seeds as joined tokens, the alignments token by token."""
+    """The rule itself, without masks. Of w tokens with so many equal, the others cut the equal ones into
+    w - need + 1 runs, so one run has ``n`` tokens at least: alignments that share none cannot count."""
     split = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+    w = decontaminate.WINDOW
 
-    def seeds(source: str, at: str) -> str:
-        parts = []
-        for n, mask in enumerate(_OP8_MASKS):
-            kept = " || ' ' || ".join(f"t[p + {i + 1}]" for i, c in enumerate(mask) if c == "1")
-            every = f" AND (p % {_OP8_STEP} = 0 OR p = len(t) - {len(mask)})" if at else ""
-            parts.append(f"SELECT id, p, {n} AS mask, {kept} AS seed FROM (SELECT id, t, unnest(range(0, len(t) - {len(mask) - 1})) AS p "
-                         f"FROM {source}) WHERE p <= len(t) - {len(mask)}{every}")
-        return " UNION ALL ".join(parts)
+    def runs(source: str) -> str:
+        return f"SELECT id, n, p, array_to_string(t[p + 1:p + n], ' ') AS run FROM (SELECT id, t, n, unnest(range(0, len(t) - n + 1)) AS p FROM {source})"
 
-    w = decontaminate.WINDOW
     return f"""
 WITH d AS MATERIALIZED (SELECT doc_id AS id, {split} AS t FROM documents),
-b AS MATERIALIZED (SELECT item_id AS id, {split} AS t FROM benchmark),
-ds AS ({seeds("d", "")}), bs AS ({seeds("b", "step")}),
-met AS MATERIALIZED (SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.p - bs.p AS shift FROM ds JOIN bs USING (mask, seed)),
-laid AS (SELECT doc_id, item_id, len(b.t) AS m, least({w}, len(b.t)) AS w,
+sized AS (SELECT item_id AS id, {split} AS t, least({w}, len(t)) AS w, ceil(w * 0.75)::INT AS need FROM benchmark),
+b AS MATERIALIZED (SELECT id, t, w, need, ceil(need / (w - need + 1))::INT AS n FROM sized WHERE w > 0),
+met AS MATERIALIZED (SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.p - bs.p AS shift
+  FROM ({runs("(SELECT d.id, t, n FROM d, (SELECT DISTINCT n FROM b))")}) ds JOIN ({runs("b")}) bs USING (n, run)),
+laid AS (SELECT doc_id, item_id, len(b.t) AS m, b.w, need,
   list_transform(range(greatest(0, -shift), least(len(b.t), len(d.t) - shift)), lambda i: (b.t[i + 1] = d.t[i + shift + 1])::INT) AS same
   FROM met JOIN d ON d.id = doc_id JOIN b ON b.id = item_id),
-best AS (SELECT doc_id, item_id, m, w, list_sum(same) AS matched,
+best AS (SELECT doc_id, item_id, m, need, list_sum(same) AS matched,
   list_max(list_transform(range(1, len(same) - w + 2), lambda i: list_sum(same[i:i + w - 1]))) AS run FROM laid)
 SELECT doc_id, item_id, max(matched)::BIGINT AS matched, max(m)::BIGINT AS item_tokens FROM best
-WHERE run >= ceil(w * 0.75) GROUP BY doc_id, item_id"""
+WHERE run >= need GROUP BY doc_id, item_id"""
 
 
 def _op10_sql() -> str:
