@@ -71,6 +71,15 @@ def test_knn_matches_brute_force_with_duplicates(spark, monkeypatch):
         # Equal points count with their mean, in any number.
         want = (y[sure].sum() + y[tied].mean() * (15 - sure.sum())) / 15
         assert got[i] == pytest.approx(want, abs=1e-9)
+    near = M.KnnEstimator(15, scores.REGRESSION, 0, "distance").fit(frame(base[:200], label=y[:200]))
+    asked = np.vstack([q[:20], base[3:5]])
+    got = pandas_of(near.transform(frame(asked, ord=range(len(asked)))))["prediction"]
+    for i, d in enumerate(np.sqrt(((asked[:, None] - base[None, :200]) ** 2).sum(-1))):
+        order = np.argsort(d)[:15]
+        want = y[order[0]] if d[order[0]] == 0 else np.average(y[order], weights=1 / d[order])
+        assert got[i] == pytest.approx(want, abs=1e-9)
+    with pytest.raises(ValueError):
+        M.KnnEstimator(15, scores.REGRESSION, 0, "nearest")
 
 
 def test_scores(spark):

@@ -97,7 +97,7 @@ def test_knn_and_categories_survive_saving(spark, tmp_path):
     pdf.loc[3, "mark"] = "once"
     s = as_series(spark, pdf)
     ready = M.prepare(s, "y", ["x1", "x2", "mark"], F.lit(True), M.FitConfig(fold_selection=False))
-    pipe = M.fit(ready, M.ZOO["KNN"])
+    pipe = M.fit(ready, M.ZOO["KNN"], {"weights": "distance"})
     runs.save_model(pipe, str(tmp_path / "m"))
     again = runs.load_model(spark, str(tmp_path / "m"))
     np.testing.assert_allclose(pandas_of(again.predict(s))["prediction"], pandas_of(pipe.predict(s))["prediction"])

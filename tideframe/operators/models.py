@@ -143,7 +143,7 @@ class PatientPerceptron:
 
 
 def nearest(ctx: FitContext, p: dict) -> "KnnEstimator":
-    return KnnEstimator(p.get("n_neighbors", 15), ctx.task, ctx.n_classes)
+    return KnnEstimator(p.get("n_neighbors", 15), ctx.task, ctx.n_classes, p.get("weights", "uniform"))
 
 
 ALL = (REGRESSION, CLASSIFICATION)
@@ -162,7 +162,8 @@ ZOO: dict[str, ModelSpec] = {s.name: s for s in (
     ModelSpec("GradientBoosting", "boosting", ALL, boosting,
               grid={"rate": [0.02, 0.05, 0.1], "n_rounds": [200, 400, 800], "max_depth": [3, 5, 6],
                     "subsample": [0.7, 0.85, 1.0], "min_leaf": [10, 20, 50]}),
-    ModelSpec("KNN", "neighbors", ALL, nearest, heavy=True, grid={"n_neighbors": [5, 10, 15, 25, 40]}),
+    ModelSpec("KNN", "neighbors", ALL, nearest, heavy=True, grid={"n_neighbors": [5, 10, 15, 25, 40],
+                                                                    "weights": ["uniform", "distance"]}),
     ModelSpec("SVM", "svm", (CLASSIFICATION,), kernel_svc, heavy=True, grid={"C": [1.0, 10.0, 100.0]}),
     ModelSpec("MLP", "neural", (CLASSIFICATION,), perceptron, heavy=True,
               grid={"hidden": [(64,), (128, 64), (256, 128)]}),
@@ -200,6 +201,11 @@ class KnnEstimator:
     k: int
     task: str
     n_classes: int
+    weights: str = "uniform"
+
+    def __post_init__(self):
+        if self.weights not in ("uniform", "distance"):
+            raise ValueError(f"no such weights: {self.weights}")
 
     def fit(self, df: DataFrame) -> "KnnModel":
         points = df.select(vector_to_array("features").alias("vec"), "label")
@@ -208,7 +214,7 @@ class KnnEstimator:
         else:
             payload = {f"c{i}": F.avg((F.col("label") == i).cast("double")) for i in range(self.n_classes)}
         base, cells = neighbours.build_cells(neighbours.merged(points, payload))
-        return KnnModel(self.k, self.task, base, cells, list(payload))
+        return KnnModel(self.k, self.task, base, cells, list(payload), self.weights)
 
 
 @dataclass
@@ -218,15 +224,23 @@ class KnnModel:
     base: DataFrame
     cells: neighbours.Cells
     payload: list[str]
+    weights: str = "uniform"
+
+    def _mean(self, value: Column, used: Column) -> Column:
+        """Mean over the neighbours of a query; by distance, the ones at the query itself decide alone."""
+        if self.weights == "uniform":
+            return F.sum(value * used) / F.sum(used)
+        at, away = F.when(F.col("dist") == 0, used), F.when(F.col("dist") > 0, used / F.col("dist"))
+        return F.coalesce(F.sum(value * at) / F.sum(at), F.sum(value * away) / F.sum(away))
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Mean of the k nearest, or their vote; ties in distance by point number. A vector that
-        many rows hold is asked once."""
+        """Mean of the k nearest, or their vote, equally or weighted by the inverse distance; ties in
+        distance by point number. A vector that many rows hold is asked once."""
         tagged = df.withColumn("vec", vector_to_array("features"))
         asked = neighbours.merged(tagged.select("vec"), {})
         near = neighbours.knn(asked, self.base, self.cells, self.k, {c: "double" for c in self.payload})
         used = F.least(F.col("weight"), F.lit(float(self.k)) - F.col("before"))
-        means = near.groupBy("pid").agg(*[(F.sum(F.col(c) * used) / F.sum(used)).alias(f"_{c}") for c in self.payload])
+        means = near.groupBy("pid").agg(*[self._mean(F.col(c), used).alias(f"_{c}") for c in self.payload])
         answers = staging.store(asked.select("vec", "weight", "pid").join(means, "pid"), "answers")
         out = neighbours.matched(tagged, answers, [f"_{c}" for c in self.payload]).drop("vec")
         if self.task == REGRESSION:

@@ -170,7 +170,7 @@ def save_model(pipe, path: str) -> None:
         prepared.prep.level_tables[c].write.mode("overwrite").parquet(f"{path}/levels{i}")
     if isinstance(pipe.model, M.KnnModel):
         cells = pipe.model.cells
-        _write_json(spark, f"{path}/cells", {"k": pipe.model.k, "payload": pipe.model.payload, "tops": cells.tops.tolist(),
+        _write_json(spark, f"{path}/cells", {"k": pipe.model.k, "payload": pipe.model.payload, "weights": pipe.model.weights, "tops": cells.tops.tolist(),
                                              "reach": cells.reach.tolist(), "chunks": cells.chunks.tolist()})
         cells.table.write.mode("overwrite").parquet(f"{path}/cell_table")
         pipe.model.base.write.mode("overwrite").parquet(f"{path}/base")
@@ -196,7 +196,8 @@ def load_model(spark: SparkSession, path: str):
     if spec.name == "KNN":
         c = _read_json(spark, f"{path}/cells")
         cells = neighbours.Cells(np.array(c["tops"]), np.array(c["reach"]), np.array(c["chunks"]), spark.read.parquet(f"{path}/cell_table"))
-        model = M.KnnModel(c["k"], meta["task"], spark.read.parquet(f"{path}/base"), cells, c["payload"])
+        model = M.KnnModel(c["k"], meta["task"], spark.read.parquet(f"{path}/base"), cells, c["payload"],
+                           c.get("weights", "uniform"))
     else:
         model = PipelineModel.load(f"{path}/ml").stages[0]
     return M.FittedPipeline(spec, prepared, model, meta["params"])
