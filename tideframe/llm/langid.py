@@ -31,13 +31,21 @@ EDGE = 32
 CODES = tx.mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Code points and offsets of the lower-cased texts, everything but letters made a space."""
-    data, offsets = tx.utf8(pc.utf8_lower(column.fill_null("")))
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, the offsets counted in them, and where each begins in the bytes."""
     codes = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype="<u4")
-    before = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    first = (data & 0xC0) != 0x80
+    before = np.concatenate(([0], np.cumsum(first)))
+    return codes, before[offsets], np.append(np.flatnonzero(first), len(data))
+
+
+def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points and offsets of the lower-cased texts, everything but letters made a space; their
+    bytes, and where each code point begins in these."""
+    data, offsets = tx.utf8(pc.utf8_lower(column.fill_null("")))
+    codes, offsets, places = code_points(data, offsets)
     letter = (codes >= 128) | (codes >= 97) & (codes <= 122) | (codes >= 65) & (codes <= 90)
-    return np.where(letter, codes, EDGE).astype(np.uint32), before[offsets]
+    return np.where(letter, codes, EDGE).astype(np.uint32), offsets, data, places
 
 
 def spans(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,7 +74,7 @@ def word_and_gram_counts(rows: DataFrame) -> DataFrame:
         totals: dict = {}
         for batch in batches:
             for part in tx.slices(batch, "text", tx.BATCH_BYTES):
-                data, offsets = lowered(part.column(1))
+                data, offsets, _, _ = lowered(part.column(1))
                 begin, end, first = spans(data, offsets)
                 langs, code = np.unique(np.array(part.column(0).to_pylist(), dtype=object).astype(str), return_inverse=True)
                 of = np.repeat(code, np.diff(first))
@@ -136,52 +144,62 @@ class Model:
 def train(rows: DataFrame, words: int = WORDS, parts: int = PARTS) -> Model:
     """Counts over all rows (lang, text) with a lang. ``words`` and ``parts`` bound what goes to
     every task: the commonest of each language, fewer where counts tie. They change no score."""
-    counts = staging.store(word_and_gram_counts(rows.where("lang is not null")).groupBy("lang", "kind", "h")
-                           .agg(F.sum("n").alias("n")), "counts")
-    level = F.when(F.col("n") < 64, F.col("n")).otherwise(F.floor(F.log2("n") * 16) - 32).cast("int")   # rises with n
-    rungs = counts.groupBy("lang", "kind", level.alias("level")).agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("n")).collect()
+    spoken = rows.where("lang is not null")
+    every = sorted(r["lang"] for r in spoken.select("lang").distinct().collect())
+    if not every:
+        return Model(Cache())
+    counts = staging.store(word_and_gram_counts(spoken).groupBy("kind", "h").agg(
+        *[F.sum(F.when(F.col("lang") == lang, F.col("n"))).alias(f"n{i}") for i, lang in enumerate(every)]), "counts")
+
+    def level(n: Column) -> Column:
+        return F.when(n < 64, n).otherwise(F.floor(F.log2(n) * 16) - 32).cast("int")        # rises with n
+
+    rungs = counts.select("kind", F.posexplode(F.array(*[F.col(f"n{i}") for i in range(len(every))])).alias("at", "n")).where("n > 0") \
+        .groupBy("kind", "at", level(F.col("n")).alias("level")).agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("n")).collect()
     totals: dict = {}
     least: dict = {}
-    for lang, kind in {(r["lang"], r["kind"]) for r in rungs}:
-        own = sorted((r for r in rungs if (r["lang"], r["kind"]) == (lang, kind)), key=lambda r: -r["level"])
-        totals[lang, kind] = sum(r["n"] for r in own)
+    for at, kind in {(r["at"], r["kind"]) for r in rungs}:
+        own = sorted((r for r in rungs if (r["at"], r["kind"]) == (at, kind)), key=lambda r: -r["level"])
+        totals[at, kind] = sum(r["n"] for r in own)
         fits = np.cumsum([r["keys"] for r in own]) <= (parts if kind else words)
-        least[lang, kind] = own[int(fits.sum()) - 1]["level"] if fits.any() else own[0]["level"] + 1
+        least[at, kind] = own[int(fits.sum()) - 1]["level"] if fits.any() else own[0]["level"] + 1
     if not totals:
         return Model(Cache())
-    spark, langs = rows.sparkSession, sorted({lang for lang, _ in totals})
-    cut = spark.createDataFrame([(a, b, c) for (a, b), c in least.items()], "lang string, kind int, least int")
-    marked = counts.withColumn("level", level).join(F.broadcast(cut), ["lang", "kind"])
-    keyed = staging.store(marked.groupBy("kind", "h").agg(
-        F.max(F.col("level") >= F.col("least")).alias("common"),
-        *[F.sum(F.when(F.col("lang") == lang, F.col("n"))).alias(f"n{i}") for i, lang in enumerate(langs)]), "keyed")
-    many = {r["kind"]: r["keys"] for r in keyed.groupBy("kind").agg(F.count(F.lit(1)).alias("keys")).collect()}
-
-    def whole(i: int) -> Column:
-        out = F.lit(0.0)
-        for kind, keys in many.items():
-            out = F.when(F.col("kind") == kind, F.lit(float(np.log(totals.get((langs[i], kind), 0) + 0.5 * keys + 1)))).otherwise(out)
+    learnt = sorted({at for at, _ in totals})       # languages with a word
+    many = {r["kind"]: r["keys"] for r in counts.groupBy("kind").agg(F.count(F.lit(1)).alias("keys")).collect()}
+
+    def of_kind(value) -> Column:
+        out = F.lit(None)
+        for kind in many:
+            out = F.when(F.col("kind") == kind, F.lit(value(kind))).otherwise(out)
         return out
 
-    w = F.array(*[F.log(F.coalesce(F.col(f"n{i}"), F.lit(0)) + 0.5) - whole(i) for i in range(len(langs))])
-    table = staging.store(keyed.select("kind", "h", w.alias("w"), "common"), "frequencies")
-    kept = table.where("common").select("kind", "h", "w").toPandas()       # words + 5 x parts for each language at most
+    def weight(at: int) -> Column:
+        whole = of_kind(lambda kind: float(np.log(totals.get((at, kind), 0) + 0.5 * many[kind] + 1)))
+        return F.log(F.coalesce(F.col(f"n{at}"), F.lit(0)) + 0.5) - whole
+
+    table = counts.select("kind", "h", F.array(*[weight(at) for at in learnt]).alias("w"))
+    common = F.lit(False)
+    for at in learnt:
+        common = common | F.coalesce(level(F.col(f"n{at}")) >= of_kind(lambda kind, at=at: least.get((at, kind))), F.lit(False))
+    langs = [every[at] for at in learnt]
+    kept = counts.where(common).select("kind", "h", F.array(*[weight(at) for at in learnt]).alias("w")).toPandas()       # words + 5 x parts for each language at most
     tables = {}
     for kind in (0, *GRAMS):
         own = kept[kept["kind"] == kind].sort_values("h")
         tables[kind] = (own["h"].to_numpy(dtype=np.int64),
                         np.stack(own["w"].to_numpy()) if len(own) else np.zeros((0, len(langs))))
-    size = np.array([totals.get((lang, 0), 0) for lang in langs], dtype=float)
-    return Model(Cache(langs, np.log((size + 1) / (size + 1).sum()), tables), table.drop("common"))
+    size = np.array([totals.get((at, 0), 0) for at in learnt], dtype=float)
+    return Model(Cache(langs, np.log((size + 1) / (size + 1).sum()), tables), table)
 
 
-def _words(codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
-    """Words as binary, four bytes a character."""
+def _words(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """Words as binary, from their bytes."""
     size = end - begin
     starts = np.cumsum(size) - size
     at = np.arange(size.sum()) - np.repeat(starts, size) + np.repeat(begin, size)
-    offsets = (np.concatenate(([0], np.cumsum(size))) * 4).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(codes[at].astype("<u4"))])
+    offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data[at])])
 
 
 def _letters(column: pa.Array, codes: np.ndarray, offsets: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -207,7 +225,7 @@ def _first_look(rows: DataFrame, cache: Cache) -> DataFrame:
         for batch in batches:
             for part in tx.slices(batch, "text", tx.BATCH_BYTES // 4):
                 n = part.num_rows
-                codes, offsets = lowered(part.column(1))
+                codes, offsets, data, places = lowered(part.column(1))
                 begin, end, first = spans(codes, offsets)
                 doc = np.repeat(np.arange(n), np.diff(first))
                 hashes = tx.hash_spans(codes, begin, end, CODES).view(np.int64)
@@ -219,7 +237,7 @@ def _first_look(rows: DataFrame, cache: Cache) -> DataFrame:
                 at = np.flatnonzero(new)
                 one = rest[at]
                 structs = pa.StructArray.from_arrays(
-                    [pa.array(hashes[one]), pa.array(np.diff(np.append(at, len(rest)))), _words(codes, begin[one], end[one])], ["h", "n", "word"])
+                    [pa.array(hashes[one]), pa.array(np.diff(np.append(at, len(rest)))), _words(data, places[begin[one]], places[end[one]])], ["h", "n", "word"])
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[one], np.arange(n + 1)).astype(np.int32)), structs)
                 totals = pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * len(own.langs)).astype(np.int32)), pa.array(total.ravel()))
                 yield pa.RecordBatch.from_arrays(
@@ -238,9 +256,8 @@ def _grams_of(words: DataFrame, cache: Cache, k: int) -> DataFrame:
     def work(batches):
         own = sent.value
         for batch in batches:
-            data = batch.column(1).cast(pa.large_binary())
-            offsets = np.frombuffer(data.buffers()[1], dtype=np.int64)[data.offset:data.offset + len(data) + 1] // 4
-            codes = np.frombuffer(data.buffers()[2], dtype="<u4", count=int(offsets[-1])) if data.buffers()[2] is not None and offsets[-1] else np.zeros(0, dtype=np.uint32)
+            data = batch.column(1).cast(pa.string())
+            codes, offsets, _ = code_points(*tx.utf8(data))
             keys, word = grams(codes, offsets[:-1], offsets[1:], k)
             known, place = own.find(k, keys)
             found = np.bincount(word[known], minlength=len(data))
