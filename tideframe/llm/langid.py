@@ -31,21 +31,19 @@ EDGE = 32
 CODES = tx.mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of UTF-8 bytes, the offsets counted in them, and where each begins in the bytes."""
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, and the offsets counted in them."""
     codes = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype="<u4")
-    first = (data & 0xC0) != 0x80
-    before = np.concatenate(([0], np.cumsum(first)))
-    return codes, before[offsets], np.append(np.flatnonzero(first), len(data))
+    if len(codes) == len(data):
+        return codes, offsets
+    return codes, np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)))[offsets]
 
 
-def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Code points and offsets of the lower-cased texts, everything but letters made a space; their
-    bytes, and where each code point begins in these."""
-    data, offsets = tx.utf8(pc.utf8_lower(column.fill_null("")))
-    codes, offsets, places = code_points(data, offsets)
+def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points and offsets of the lower-cased texts, everything but letters made a space."""
+    codes, offsets = code_points(*tx.utf8(pc.utf8_lower(column.fill_null(""))))
     letter = (codes >= 128) | (codes >= 97) & (codes <= 122) | (codes >= 65) & (codes <= 90)
-    return np.where(letter, codes, EDGE).astype(np.uint32), offsets, data, places
+    return np.where(letter, codes, np.uint32(EDGE)), offsets
 
 
 def spans(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,7 +72,7 @@ def word_and_gram_counts(rows: DataFrame) -> DataFrame:
         totals: dict = {}
         for batch in batches:
             for part in tx.slices(batch, "text", tx.BATCH_BYTES):
-                data, offsets, _, _ = lowered(part.column(1))
+                data, offsets = lowered(part.column(1))
                 begin, end, first = spans(data, offsets)
                 langs, code = np.unique(np.array(part.column(0).to_pylist(), dtype=object).astype(str), return_inverse=True)
                 of = np.repeat(code, np.diff(first))
@@ -144,28 +142,28 @@ class Model:
 def train(rows: DataFrame, words: int = WORDS, parts: int = PARTS) -> Model:
     """Counts over all rows (lang, text) with a lang. ``words`` and ``parts`` bound what goes to
     every task: the commonest of each language, fewer where counts tie. They change no score."""
-    spoken = rows.where("lang is not null")
-    every = sorted(r["lang"] for r in spoken.select("lang").distinct().collect())
-    if not every:
-        return Model(Cache())
-    counts = staging.store(word_and_gram_counts(spoken).groupBy("kind", "h").agg(
-        *[F.sum(F.when(F.col("lang") == lang, F.col("n"))).alias(f"n{i}") for i, lang in enumerate(every)]), "counts")
+    narrow = staging.store(word_and_gram_counts(rows.where("lang is not null")).groupBy("lang", "kind", "h")
+                           .agg(F.sum("n").alias("n")), "counts")
 
     def level(n: Column) -> Column:
         return F.when(n < 64, n).otherwise(F.floor(F.log2(n) * 16) - 32).cast("int")        # rises with n
 
-    rungs = counts.select("kind", F.posexplode(F.array(*[F.col(f"n{i}") for i in range(len(every))])).alias("at", "n")).where("n > 0") \
-        .groupBy("kind", "at", level(F.col("n")).alias("level")).agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("n")).collect()
+    rungs = narrow.groupBy("lang", "kind", level(F.col("n")).alias("level")) \
+        .agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("n")).collect()
+    langs = sorted({r["lang"] for r in rungs})
     totals: dict = {}
     least: dict = {}
-    for at, kind in {(r["at"], r["kind"]) for r in rungs}:
-        own = sorted((r for r in rungs if (r["at"], r["kind"]) == (at, kind)), key=lambda r: -r["level"])
+    for lang, kind in {(r["lang"], r["kind"]) for r in rungs}:
+        own = sorted((r for r in rungs if (r["lang"], r["kind"]) == (lang, kind)), key=lambda r: -r["level"])
+        at = langs.index(lang)
         totals[at, kind] = sum(r["n"] for r in own)
         fits = np.cumsum([r["keys"] for r in own]) <= (parts if kind else words)
         least[at, kind] = own[int(fits.sum()) - 1]["level"] if fits.any() else own[0]["level"] + 1
     if not totals:
         return Model(Cache())
-    learnt = sorted({at for at, _ in totals})       # languages with a word
+    counts = staging.store(narrow.groupBy("kind", "h").agg(
+        *[F.sum(F.when(F.col("lang") == lang, F.col("n"))).alias(f"n{i}") for i, lang in enumerate(langs)]), "counts")
+    learnt = range(len(langs))
     many = {r["kind"]: r["keys"] for r in counts.groupBy("kind").agg(F.count(F.lit(1)).alias("keys")).collect()}
 
     def of_kind(value) -> Column:
@@ -182,7 +180,6 @@ def train(rows: DataFrame, words: int = WORDS, parts: int = PARTS) -> Model:
     common = F.lit(False)
     for at in learnt:
         common = common | F.coalesce(level(F.col(f"n{at}")) >= of_kind(lambda kind, at=at: least.get((at, kind))), F.lit(False))
-    langs = [every[at] for at in learnt]
     kept = counts.where(common).select("kind", "h", F.array(*[weight(at) for at in learnt]).alias("w")).toPandas()       # words + 5 x parts for each language at most
     tables = {}
     for kind in (0, *GRAMS):
@@ -193,13 +190,15 @@ def train(rows: DataFrame, words: int = WORDS, parts: int = PARTS) -> Model:
     return Model(Cache(langs, np.log((size + 1) / (size + 1).sum()), tables), table)
 
 
-def _words(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
-    """Words as binary, from their bytes."""
+def _words(codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """Words as binary, in UTF-8."""
     size = end - begin
-    starts = np.cumsum(size) - size
-    at = np.arange(size.sum()) - np.repeat(starts, size) + np.repeat(begin, size)
-    offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data[at])])
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+    own = codes[at]
+    data = own.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")
+    width = 1 + (own >= 0x80) + (own >= 0x800) + (own >= 0x10000)
+    offsets = np.concatenate(([0], np.cumsum(width)))[np.concatenate(([0], np.cumsum(size)))].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
 def _letters(column: pa.Array, codes: np.ndarray, offsets: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -225,7 +224,7 @@ def _first_look(rows: DataFrame, cache: Cache) -> DataFrame:
         for batch in batches:
             for part in tx.slices(batch, "text", tx.BATCH_BYTES // 4):
                 n = part.num_rows
-                codes, offsets, data, places = lowered(part.column(1))
+                codes, offsets = lowered(part.column(1))
                 begin, end, first = spans(codes, offsets)
                 doc = np.repeat(np.arange(n), np.diff(first))
                 hashes = tx.hash_spans(codes, begin, end, CODES).view(np.int64)
@@ -237,7 +236,7 @@ def _first_look(rows: DataFrame, cache: Cache) -> DataFrame:
                 at = np.flatnonzero(new)
                 one = rest[at]
                 structs = pa.StructArray.from_arrays(
-                    [pa.array(hashes[one]), pa.array(np.diff(np.append(at, len(rest)))), _words(data, places[begin[one]], places[end[one]])], ["h", "n", "word"])
+                    [pa.array(hashes[one]), pa.array(np.diff(np.append(at, len(rest)))), _words(codes, begin[one], end[one])], ["h", "n", "word"])
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[one], np.arange(n + 1)).astype(np.int32)), structs)
                 totals = pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * len(own.langs)).astype(np.int32)), pa.array(total.ravel()))
                 yield pa.RecordBatch.from_arrays(
@@ -257,7 +256,7 @@ def _grams_of(words: DataFrame, cache: Cache, k: int) -> DataFrame:
         own = sent.value
         for batch in batches:
             data = batch.column(1).cast(pa.string())
-            codes, offsets, _ = code_points(*tx.utf8(data))
+            codes, offsets = code_points(*tx.utf8(data))
             keys, word = grams(codes, offsets[:-1], offsets[1:], k)
             known, place = own.find(k, keys)
             found = np.bincount(word[known], minlength=len(data))
