@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tideframe import staging
@@ -180,12 +181,12 @@ def train(rows: DataFrame, words: int = WORDS, parts: int = PARTS) -> Model:
     common = F.lit(False)
     for at in learnt:
         common = common | F.coalesce(level(F.col(f"n{at}")) >= of_kind(lambda kind, at=at: least.get((at, kind))), F.lit(False))
-    kept = counts.where(common).select("kind", "h", F.array(*[weight(at) for at in learnt]).alias("w")).toPandas()       # words + 5 x parts for each language at most
+    kept = counts.where(common).select("kind", "h", *[weight(at).alias(f"w{at}") for at in learnt]).toPandas()       # words + 5 x parts for each language at most
     tables = {}
     for kind in (0, *GRAMS):
         own = kept[kept["kind"] == kind].sort_values("h")
         tables[kind] = (own["h"].to_numpy(dtype=np.int64),
-                        np.stack(own["w"].to_numpy()) if len(own) else np.zeros((0, len(langs))))
+                        own[[f"w{at}" for at in learnt]].to_numpy(dtype=float))
     size = np.array([totals.get((at, 0), 0) for at in learnt], dtype=float)
     return Model(Cache(langs, np.log((size + 1) / (size + 1).sum()), tables), table)
 
@@ -211,10 +212,9 @@ def _letters(column: pa.Array, codes: np.ndarray, offsets: np.ndarray, doc: np.n
     return out
 
 
-def _first_look(rows: DataFrame, cache: Cache) -> DataFrame:
+def _first_look(rows: DataFrame, sent: Broadcast) -> DataFrame:
     """(row, doc_id, total, letters, missed), stored: what the commonest words say of each text, and
     its distinct other words with their counts."""
-    sent = rows.sparkSession.sparkContext.broadcast(cache)
     kinds = T.StructType([T.StructField("row", T.LongType()), rows.schema["doc_id"]]) \
         .add("total", T.ArrayType(T.DoubleType())).add("letters", T.BooleanType()) \
         .add("missed", T.ArrayType(T.StructType().add("h", T.LongType()).add("n", T.LongType()).add("word", T.BinaryType())))
@@ -247,10 +247,9 @@ def _first_look(rows: DataFrame, cache: Cache) -> DataFrame:
     return staging.store(tx.small_batches(rows).mapInArrow(look, kinds), "language")
 
 
-def _grams_of(words: DataFrame, cache: Cache, k: int) -> DataFrame:
+def _grams_of(words: DataFrame, sent: Broadcast, k: int) -> DataFrame:
     """(h, g, c, w): for each word the sum over its n-grams that are common, with no g, and a row
     for each other n-gram, with no w; c counts."""
-    sent = words.sparkSession.sparkContext.broadcast(cache)
 
     def work(batches):
         own = sent.value
@@ -282,7 +281,7 @@ def _added(rows: DataFrame, key: str, langs: int, times: Column | None = None) -
     return rows.groupBy(key).agg(F.sum("c").alias("c"), *[F.sum(F.col("w")[i] * one).alias(f"s{i}") for i in range(langs)])
 
 
-def _looked_up(missed: DataFrame, model: Model) -> DataFrame:
+def _looked_up(missed: DataFrame, model: Model, sent: Broadcast) -> DataFrame:
     """(h, n, w), stored: the log frequencies of each distinct word that the table knows or can tell by
     n-grams, and how often the texts have it."""
     langs = len(model.cache.langs)
@@ -290,7 +289,7 @@ def _looked_up(missed: DataFrame, model: Model) -> DataFrame:
     known = staging.store(left.join(model.table.where("kind = 0").select("h", "w"), "h").select("h", "n", "w"), "words")
     left = staging.store(left.join(known.select("h"), "h", "left_anti"), "unseen")
     for k in GRAMS:
-        parts = staging.store(_grams_of(left, model.cache, k), "grams")
+        parts = staging.store(_grams_of(left, sent, k), "grams")
         there = model.table.where(F.col("kind") == k).select(F.col("h").alias("g"), "w")
         met = parts.where("g is not null").select("h", "g", "c").join(there, "g") \
             .select("h", "c", F.transform("w", lambda x: x * F.col("c")).alias("w"))
@@ -315,9 +314,10 @@ def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     cache = model.cache
     if not cache.langs:
         return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    langs, seen = len(cache.langs), _first_look(rows, cache)
+    sent = docs.sparkSession.sparkContext.broadcast(cache)
+    langs, seen = len(cache.langs), _first_look(rows, sent)
     missed = seen.select("row", F.explode("missed").alias("m"))
-    scores = _looked_up(missed.select("m.h", "m.n", "m.word"), model)
+    scores = _looked_up(missed.select("m.h", "m.n", "m.word"), model, sent)
     many = scores.agg(F.sum("n")).first()[0] or 0
     hot = scores.where(F.col("n") * HOT_SHARE > many).select(F.col("h").alias("_h"), F.col("w").alias("_w"))      # HOT_SHARE rows at most
     met = missed.select("row", "m.h", F.col("m.n").alias("c")).join(F.broadcast(hot), F.col("h") == F.col("_h"), "left")
