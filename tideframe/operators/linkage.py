@@ -24,7 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from tideframe import staging
-from tideframe.operators import axis, neighbours
+from tideframe.operators import axis, neighbours, tiles
 from tideframe.operators.axis import ORD
 
 LINK = "struct<dist: double, lo: bigint, hi: bigint>"
@@ -190,12 +190,45 @@ def cut(tree: Merges, ks: list[int]) -> dict[int, DataFrame]:
     return out
 
 
+def _numbered(rows: DataFrame, points: DataFrame, parts: DataFrame) -> DataFrame:
+    """(ord, features, cluster) of (pid, label), clusters numbered by their least ordinal."""
+    held = staging.store(points.join(parts, "pid").select("vec", "weight", "label", "least"), "labels")
+    first = held.groupBy("label").agg(F.min("least").alias("_first"))
+    numbered = axis.ordinal(first, ["_first"], name="cluster").df.select("label", F.col("cluster").cast("int"))
+    placed = staging.store(held.join(numbered, "label").select("vec", "weight", "cluster"), "labels")
+    return neighbours.matched(rows, placed, ["cluster"]).select(ORD, "features", "cluster")
+
+
 def cut_at(tree: Merges, distance: float) -> DataFrame:
     """(ord, features, cluster): all merges of at most ``distance`` done, clusters numbered by their
     least ordinal, however many there are."""
     parts = staging.store(_parts(tree.points, tree.table.where(F.col("dist") <= float(distance))), "parts")
-    held = staging.store(tree.points.join(parts, "pid").select("vec", "weight", "label", "least"), "labels")
-    first = held.groupBy("label").agg(F.min("least").alias("_first"))
-    numbered = axis.ordinal(first, ["_first"], name="cluster").df.select("label", F.col("cluster").cast("int"))
-    placed = staging.store(held.join(numbered, "label").select("vec", "weight", "cluster"), "labels")
-    return neighbours.matched(tree.rows, placed, ["cluster"]).select(ORD, "features", "cluster")
+    return _numbered(tree.rows, tree.points, parts)
+
+
+def linked(points: DataFrame, distance: float) -> DataFrame:
+    """(pid, label), stored: points (pid, vec) joined by the pairs at most ``distance`` apart. Blocks
+    are joined within first; a tile then names the labels it joins, never its pairs."""
+    labels = points.select("pid", F.col("pid").alias("label"))
+    for inside in (True, False):
+        asked = staging.store(points.select("pid", "vec").join(labels, "pid"), "labelled")
+        joins = tiles.Joins(float(distance))
+        found = tiles.within_blocks(asked, joins, "lo bigint, hi bigint", "label") if inside else \
+            tiles.met(asked, asked, joins, "lo bigint, hi bigint", ("label", "label"))
+        links = staging.store(found.distinct().select(F.lit(0.0).alias("dist"), "lo", "hi"), "links")
+        names = labels.select(F.col("label").alias("pid")).distinct()
+        to = _parts(names, links).select(F.col("pid").alias("label"), F.col("label").alias("root"))
+        labels = staging.store(labels.join(to, "label").select("pid", F.col("root").alias("label")), "labels")
+    return labels
+
+
+def cut_vectors(vectors: DataFrame, distance: float, seed: int = 42) -> DataFrame:
+    """What ``cut_at`` makes of all merges, without those beyond ``distance``: long vectors are joined
+    in tiles at once, as a cut of single linkage is what short links connect."""
+    rows = vectors.select(ORD, "features", vector_to_array("features").alias("vec"))
+    points = neighbours.merged(rows, {"least": F.min(ORD)})
+    if not tiles.dense(points):
+        return cut_at(merges(vectors, seed), distance)
+    if points.where(F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).limit(1).count():
+        raise ValueError("vectors hold null or non-finite entries")
+    return _numbered(rows, points, linked(points, distance))
