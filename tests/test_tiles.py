@@ -1,9 +1,10 @@
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
 
 from tests.conftest import pandas_of
-from tideframe.operators import linkage, tiles
+from tideframe.operators import linkage, neighbours, segments, tiles
 
 
 def distances(x, y=None):
@@ -70,3 +71,16 @@ def test_cut_of_long_vectors_in_tiles(spark, small_tiles, monkeypatch, distance)
     assert (got == connected(distances(x) <= distance)).all()
     with pytest.raises(ValueError):
         linkage.cut_vectors(frame(spark, np.full((3, 20), np.nan)), distance)
+
+
+def test_density_clusters_of_long_vectors_in_tiles(spark, small_tiles, monkeypatch):
+    monkeypatch.setattr(neighbours, "build_cells", None)
+    x = long_vectors()
+    got = pandas_of(segments.dbscan(frame(spark, x), 2.0, 10))["cluster"].to_numpy()
+    near = distances(x) <= 2.0
+    core = near.sum(1) >= 10
+    label = connected(near & core[None] & core[:, None])
+    first = {k: np.flatnonzero(label == k)[0] for k in set(label[core])}        # by least core point
+    least = np.array([min((first[k] for k in set(label[near[i] & core])), default=-1) for i in range(len(x))])
+    groups = sorted(set(least) - {-1}, key=lambda m: np.flatnonzero(least == m)[0])
+    assert (got == [groups.index(m) if m >= 0 else -1 for m in least]).all() and (got < 0).any() and got.max() > 0

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from tideframe import staging
 from tideframe.functions.names import numeric_columns, q
 from tideframe.functions.stats import clean_double, exact_quantiles
-from tideframe.operators import axis, linkage, neighbours, prep as P
+from tideframe.operators import axis, linkage, neighbours, prep as P, tiles
 from tideframe.operators.axis import ORD, Series
 
 TREE_ROWS = 256
@@ -194,20 +194,25 @@ def _within(eps: float, value: str):
     return fold
 
 
-def dbscan(vectors: DataFrame, eps: float = 0.8, min_samples: int = 10, seed: int = 42) -> DataFrame:
-    """(ord, features, cluster), noise -1.
+def _dense_parts(points: DataFrame, eps: float, min_samples: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The same as ``_cell_parts`` for long vectors, in tiles: a query that has neighbours enough is
+    not asked further, and core points of one label are not compared."""
+    counted = tiles.met(points, points, tiles.Counted(eps, min_samples), "pid bigint, weight double", ("weight", "weight"))
+    core = staging.store(counted.groupBy("pid").agg(F.sum("weight").alias("near")).where(F.col("near") >= min_samples).select("pid"), "core")
+    inner = staging.store(points.join(core, "pid"), "inner")
+    parts = linkage.linked(inner, eps).join(inner.select("pid", "least"), "pid")
+    least = parts.groupBy("label").agg(F.min("least").alias("least"))
+    labels = staging.store(parts.select("pid", "label").join(least, "label").select("pid", F.col("least").alias("label")), "labels")
+    outer = points.join(core, "pid", "left_anti")
+    found = tiles.met(outer, inner.join(labels, "pid"), tiles.LeastLabel(eps), "pid bigint, label bigint", ("weight", "label"))
+    return labels, found.groupBy("pid").agg(F.min("label").alias("label"))
 
-    Neighbour pairs are never listed: a pass counts neighbours per point, later
-    passes return the least label among core neighbours. Labels that touch are
-    joined by following parents, so clusters merge in few rounds whatever their
-    extent. A cluster's label is the least ordinal of its core points, and a border
-    point joins the reachable cluster with the least label.
-    """
-    rows = vectors.select(ORD, "features", vector_to_array("features").alias("vec"))
-    points = neighbours.merged(rows, {"least": F.min(ORD)})
+
+def _cell_parts(points: DataFrame, eps: float, min_samples: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(pid, label) of the core points, and of the border points."""
     base, cells = neighbours.build_cells(points, seed)
     asked = points.select("pid", "vec")
-    visits = neighbours.visit(asked.withColumn("eps", F.lit(float(eps))), cells, "eps")
+    visits = neighbours.visit(asked.withColumn("eps", F.lit(eps)), cells, "eps")
     counted = neighbours.in_blocks(visits, asked, base, cells, _within(eps, "weight"), "pid bigint, weight double")
     core = staging.store(counted.groupBy("pid").agg(F.sum("weight").alias("near"))
                          .where(F.col("near") >= min_samples).select("pid"), "core")
@@ -231,6 +236,21 @@ def dbscan(vectors: DataFrame, eps: float = 0.8, min_samples: int = 10, seed: in
     border = visits.join(core, "pid", "left_anti")
     joined = neighbours.in_blocks(border, asked, base.join(labels, "pid"), cells, _within(eps, "label"),
                                   "pid bigint, label bigint").groupBy("pid").agg(F.min("label").alias("label"))
+    return labels, joined
+
+
+def dbscan(vectors: DataFrame, eps: float = 0.8, min_samples: int = 10, seed: int = 42) -> DataFrame:
+    """(ord, features, cluster), noise -1.
+
+    Neighbour pairs are never listed: a pass counts neighbours per point, later
+    passes return the least label among core neighbours. Labels that touch are
+    joined by following parents, so clusters merge in few rounds whatever their
+    extent. A cluster's label is the least ordinal of its core points, and a border
+    point joins the reachable cluster with the least label.
+    """
+    rows = vectors.select(ORD, "features", vector_to_array("features").alias("vec"))
+    points = neighbours.merged(rows, {"least": F.min(ORD)})
+    labels, joined = (_dense_parts if tiles.dense(points) else _cell_parts)(points, float(eps), min_samples, seed)
     every = labels.unionByName(joined)
     labelled = staging.store(points.join(every, "pid", "left").select("vec", "weight", "label"), "labels")
     tagged = staging.store(neighbours.matched(rows, labelled, ["label"]).drop("vec"), "dbscan")
