@@ -84,3 +84,19 @@ def test_density_clusters_of_long_vectors_in_tiles(spark, small_tiles, monkeypat
     least = np.array([min((first[k] for k in set(label[near[i] & core])), default=-1) for i in range(len(x))])
     groups = sorted(set(least) - {-1}, key=lambda m: np.flatnonzero(least == m)[0])
     assert (got == [groups.index(m) if m >= 0 else -1 for m in least]).all() and (got < 0).any() and got.max() > 0
+
+
+def test_nearest_of_long_vectors_in_tiles(spark, small_tiles, monkeypatch):
+    monkeypatch.setattr(neighbours, "in_blocks", None)
+    x = np.unique(long_vectors(), axis=0)
+    rows = spark.createDataFrame([(i, v, float(i)) for i, v in enumerate(x.tolist())], "ord bigint, vec array<double>, y double")
+    points = neighbours.merged(rows, {"value": F.max("y")})
+    base, cells = neighbours.build_cells(points)
+    got = {}
+    for r in neighbours.knn(points, base, cells, 6, {"value": "double"}, skip_self=True).collect():
+        got.setdefault(r["pid"], []).append((r["dist"], r["near"], r["value"]))
+    known = points.select("pid", "vec", "value").collect()
+    ids, d = np.array([r["pid"] for r in known]), distances(np.array([r["vec"] for r in known]))
+    for i, pid in enumerate(ids):
+        want = sorted((d[i, j], ids[j], known[j]["value"]) for j in range(len(ids)) if j != i)[:6]
+        assert sorted(got[pid]) == want

@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tideframe import staging
+from tideframe.operators import tiles
 
 TOPS = 2_048
 CELL_ROWS = 1_024
@@ -243,6 +244,10 @@ def knn(queries: DataFrame, base: DataFrame, cells: Cells, k: int, payload: dict
         return found.withColumn("before", before).where(F.col("before") < k)
 
     queries = staging.store(queries.select("pid", "vec"), "queries")
+    if tiles.dense(base):
+        found = tiles.met(queries.withColumn("one", F.lit(1.0)), base, tiles.Nearest(k, skip_self),
+                          "pid bigint, near bigint, dist double, weight double", ("one", "weight"))
+        return best(found).join(base.select(F.col("pid").alias("near"), *extra), "near") if extra else best(found)
     cells_of = staging.store(_own_cells(queries, cells), "own")
     first = staging.store(best(in_blocks(cells_of, queries, base, cells, fold, schema)), "knn")
     known = first.groupBy("pid").agg(F.sum("weight").alias("got"), F.max("dist").alias("far"))
