@@ -100,3 +100,21 @@ def test_nearest_of_long_vectors_in_tiles(spark, small_tiles, monkeypatch):
     for i, pid in enumerate(ids):
         want = sorted((d[i, j], ids[j], known[j]["value"]) for j in range(len(ids)) if j != i)[:6]
         assert sorted(got[pid]) == want
+
+
+@pytest.mark.parametrize("k", [3, 500])
+def test_merges_of_long_vectors_in_tiles(spark, small_tiles, monkeypatch, k):
+    monkeypatch.setattr(linkage, "NEAREST", k)
+    monkeypatch.setattr(neighbours, "build_cells", None)
+    x = long_vectors()
+    tree = linkage.merges(frame(spark, x))
+    known = tree.points.select("pid", "vec").collect()
+    ids, d = [r["pid"] for r in known], distances(np.array([r["vec"] for r in known]))
+    links = sorted((d[i, j], min(ids[i], ids[j]), max(ids[i], ids[j])) for i in range(len(ids)) for j in range(i))
+    at, want = {i: i for i in ids}, []
+    for dist, lo, hi in links:
+        if at[lo] != at[hi]:
+            want.append((dist, lo, hi))
+            old = at[hi]
+            at = {i: at[lo] if a == old else a for i, a in at.items()}
+    assert sorted((r["dist"], r["lo"], r["hi"]) for r in tree.table.collect()) == want

@@ -21,13 +21,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tideframe import staging
 from tideframe.operators import axis, neighbours, tiles
 from tideframe.operators.axis import ORD
 
 LINK = "struct<dist: double, lo: bigint, hi: bigint>"
+NEAREST = 16            # links that a long vector lists at first
 SLACK = 1e-9            # roundings between a distance taken here and there
 
 
@@ -92,11 +93,71 @@ def _reach(state: DataFrame, points: DataFrame) -> DataFrame:
     return names.crossJoin(F.broadcast(first)).select("label", (far * (1 + SLACK)).alias("most"))     # one row on the right
 
 
+def _listed(points: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(pid, dist, lo, hi, near) of each point's k nearest, and (pid, far): from there on the list tells nothing."""
+    asked = points.select("pid", "vec", F.lit(1.0).alias("one"))
+    found = tiles.met(asked, asked, tiles.Nearest(k, True), "pid bigint, near bigint, dist double, weight double", ("one", "one"))
+    rank = F.row_number().over(Window.partitionBy("pid").orderBy("dist", "near"))
+    first = staging.store(found.withColumn("_r", rank).where(F.col("_r") <= k), "lists")
+    whole = points.count() <= k + 1
+    far = staging.store(first.groupBy("pid").agg((F.lit(float("inf")) if whole else F.max("dist")).alias("far")), "far")
+    lists = first.join(far, "pid").where("dist < far")              # of equally far ones, some may be missing
+    return lists.select("pid", "dist", F.least("pid", "near").alias("lo"), F.greatest("pid", "near").alias("hi"), "near"), far
+
+
+def _dense_merges(points: DataFrame) -> DataFrame:
+    """The merge table of long vectors. Each point lists its nearest once, in tiles; a cluster takes
+    the least link that leaves it when no point whose list has run out can have a shorter one, and all
+    others wait, as the least link out of a single cluster belongs to the tree whatever the rest does.
+    When none can, points with nothing left search again, all but those of the largest cluster."""
+    spark, many = points.sparkSession, points.count()
+    taken, number = spark.createDataFrame([], "round int, dist double, lo bigint, hi bigint"), 0
+    labels = points.select("pid", F.col("pid").alias("label"))
+    if many < 2:
+        return taken
+    live, far = _listed(points, min(NEAREST, many - 1))
+    while many > 1:
+        number += 1
+        there = labels.select(F.col("pid").alias("near"), F.col("label").alias("there"))
+        live = staging.store(live.drop("label", "there").join(labels, "pid").join(there, "near").where("label <> there"), "lists")
+        best = live.groupBy("label").agg(F.min(F.struct("dist", "lo", "hi", "there")).alias("b"))
+        blind = labels.join(far, "pid").join(live.select("pid").distinct(), "pid", "left_anti")
+        limits = blind.groupBy("label").agg(F.min("far").alias("far"))
+        status = staging.store(labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(best, "label", "left").join(limits, "label", "left"), "status")
+        sure = status.where("b is not null and (far is null or b.dist < far)")
+        if sure.isEmpty():
+            largest = status.orderBy(F.desc("n"), "label").first()["label"]
+            asked = blind.where(F.col("label") != largest).join(status.select("label", F.col("b.dist").alias("most")), "label") \
+                .where("most is null or far <= most").join(points.select("pid", "vec"), "pid").select("pid", "vec", "label")
+            asked = staging.store(asked, "asked")
+            found = tiles.met(asked, points.select("pid", "vec").join(labels, "pid"), tiles.Outside(),
+                              "pid bigint, dist double, lo bigint, hi bigint, near bigint", ("label", "label"))
+            link = found.groupBy("pid").agg(F.min(F.struct("dist", "lo", "hi", "near")).alias("b")).select("pid", "b.*")
+            link = staging.store(link, "found")
+            if link.isEmpty():
+                raise ValueError("vectors hold null or non-finite entries")
+            live = live.select("pid", "dist", "lo", "hi", "near").unionByName(link)
+            far = staging.store(far.join(link.select("pid", F.col("dist").alias("_d")), "pid", "left").select(
+                "pid", F.coalesce("_d", "far").alias("far")), "far")
+            number -= 1
+            continue
+        chosen = staging.store(sure.select("label", "b.*"), "chosen")
+        taken = taken.unionByName(chosen.select(F.lit(number).alias("round"), "dist", "lo", "hi").distinct())
+        ends = chosen.select("label", F.col("there").alias("parent"))
+        waiting = ends.select(F.col("parent").alias("label")).distinct().join(ends, "label", "left_anti")
+        to = roots(ends.unionByName(waiting.select("label", F.col("label").alias("parent"))))
+        labels = staging.store(labels.join(to, "label", "left").select("pid", F.coalesce("root", "label").alias("label")), "labels")
+        many = labels.select("label").distinct().count()
+    return taken
+
+
 def merges(vectors: DataFrame, seed: int = 42) -> Merges:
     """The merge table of (ord, features). No rows are an error, as there is no point to be near to;
     one point has no merges."""
     rows = vectors.select(ORD, "features", vector_to_array("features").alias("vec"))
     points = neighbours.merged(rows, {"least": F.min(ORD)})
+    if tiles.dense(points):
+        return Merges(rows, points, staging.store(_dense_merges(points), "merges"))
     base, cells = neighbours.build_cells(points, seed)
     cell_of = staging.store(neighbours._own_cells(points.select("pid", "vec"), cells), "own")
     state = points.select("pid", F.col("pid").alias("label"), F.lit(0.0).alias("low"),

@@ -68,6 +68,8 @@ def near(asked: Side, there: Side, most: np.ndarray, k: int = 0, apart=None):
     floor = (asked.sq - most.astype(float) ** 2) / 2
     if there.odd.any():
         s[:, there.odd] = -np.inf
+    if k and apart is not None:
+        s[apart[0][:, None] == apart[1][None]] = -np.inf
     if k and s.shape[1] > k and np.isinf(most).any():
         floor = np.maximum(floor, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] - slack)
     floor = floor - slack - 2 * eps * np.abs(floor)
@@ -278,3 +280,28 @@ class Joins:
                             root = _united(root, la[r], lb[c])
         moved = np.flatnonzero(root != np.arange(len(names)))
         yield names[root[moved]], names[moved]
+
+
+class Outside:
+    """The least link (dist, lo, hi) of each query to a point of another label (extra)."""
+
+    columns = ("pid", "dist", "lo", "hi", "near")
+
+    def __call__(self, asked: Side, there: list[Side]):
+        for mine in (asked.part(at) for at in _slices(len(asked), ASK)):
+            most = np.full(len(mine), np.inf)
+            row, ids, dist = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            for block in there:
+                for b in (block.part(at) for at in _slices(len(block), MEET)):
+                    r, at, d = near(mine, b, most, 1, apart=(mine.extra, b.extra))
+                    if not len(r):
+                        continue
+                    row, ids, dist = np.concatenate((row, r)), np.concatenate((ids, b.pid[at])), np.concatenate((dist, d))
+                    own = mine.pid[row]
+                    order = np.lexsort((np.maximum(own, ids), np.minimum(own, ids), dist, row))
+                    row, ids, dist = (x[order] for x in (row, ids, dist))
+                    first = np.append(True, row[1:] != row[:-1])
+                    row, ids, dist = row[first], ids[first], dist[first]
+                    most[row] = dist
+            own = mine.pid[row]
+            yield own, dist, np.minimum(own, ids), np.maximum(own, ids), ids
