@@ -4,7 +4,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tests.conftest import pandas_of
-from tideframe.operators import linkage, neighbours, segments, tiles
+from tideframe.operators import leaves, linkage, neighbours, segments, tiles
 
 
 def distances(x, y=None):
@@ -118,3 +118,58 @@ def test_merges_of_long_vectors_in_tiles(spark, small_tiles, monkeypatch, k):
             old = at[hi]
             at = {i: at[lo] if a == old else a for i, a in at.items()}
     assert sorted((r["dist"], r["lo"], r["hi"]) for r in tree.table.collect()) == want
+
+
+def one_hot(seed=4, n=400, lines=17):
+    """A number beside one-hot columns, with ties, lone points and a line of few."""
+    rng = np.random.default_rng(seed)
+    at = rng.integers(0, lines - 1, n)
+    at[:4] = lines - 1
+    x = np.hstack([np.round(rng.lognormal(0, 1, (n, 1)), 2), np.eye(lines)[at]])
+    x[5, 0] = 60.0
+    return np.unique(x, axis=0)
+
+
+@pytest.mark.parametrize("skip_self", [False, True])
+def test_vectors_along_lines_meet_few_boxes(spark, monkeypatch, skip_self):
+    monkeypatch.setattr(leaves, "LEAF_ROWS", 16)
+    monkeypatch.setattr(tiles, "met", None)         # not all against all
+    x, k = one_hot(), 6
+    odd = np.vstack([x, x[:1]])
+    odd[-1, 0] = np.nan         # near to nothing, and hides nothing
+    rows = [(i, [float(e) for e in v], 1.0 + i % 3) for i, v in enumerate(odd)]
+    base = spark.createDataFrame(rows, "pid bigint, vec array<double>, weight double").withColumn("value", F.col("pid") * 2.0)
+    got = {}
+    for r in neighbours.knn(base, base, None, k, {"value": "double"}, skip_self).collect():
+        got.setdefault(r["pid"], []).append((r["dist"], r["near"], r["weight"], r["before"], r["value"]))
+    d, weight = distances(x), np.array([w for _, _, w in rows[:-1]])
+    for i in range(len(x)):
+        want, before = [], 0.0
+        for j in np.lexsort((np.arange(len(x)), d[i])):
+            w = weight[j] - (skip_self and i == j)
+            if w > 0 and before < k:
+                want.append((d[i, j], j, w, before, 2.0 * j))
+                before += w
+        assert sorted(got[i], key=lambda r: r[:2]) == want
+    assert len(x) not in got
+
+
+def test_boxes_leave_out_most_pairs(spark, monkeypatch):
+    monkeypatch.setattr(leaves, "LEAF_ROWS", 16)
+    x = one_hot(n=1_500)
+    base = spark.createDataFrame([(i, v.tolist(), 1.0) for i, v in enumerate(x)], "pid bigint, vec array<double>, weight double")
+    _, tree = leaves.grown(base)
+    near = np.sort(distances(x), 1)[:, 4]
+    bound = spark.createDataFrame([(i, v.tolist(), float(m)) for i, (v, m) in enumerate(zip(x, near))], "pid bigint, vec array<double>, limit double")
+    seen = leaves.visits(bound, tree, "limit").join(tree.table, F.col("target") == F.col("cell")).agg(F.sum("n")).first()[0]
+    assert seen == leaves.pairs(bound, tree, "limit") < len(x) ** 2 / 10
+    assert leaves.pairs(bound.withColumn("limit", F.lit(None).cast("double")), tree, "limit") > len(x) ** 2 * .9
+
+
+def test_vectors_without_lines_meet_in_tiles(spark, small_tiles, monkeypatch):
+    monkeypatch.setattr(leaves, "LEAF_ROWS", 16)
+    monkeypatch.setattr(leaves, "visits", None)
+    x = np.random.default_rng(8).normal(size=(200, 20))
+    base = spark.createDataFrame([(i, v.tolist(), 1.0) for i, v in enumerate(x)], "pid bigint, vec array<double>, weight double")
+    got = {(r["pid"], r["near"]) for r in neighbours.knn(base, base, None, 3, {}, True).collect()}
+    assert got == {(i, j) for i, near in enumerate(np.argsort(distances(x), 1)[:, 1:4]) for j in near}
