@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tests.conftest import as_series, pandas_of, walk
 from tideframe import staging
 from tideframe.operators import axis, blend as B, models as M, neighbours, scores, split as SP, train as T
+from tideframe.plans import catalog
 
 X = ["x1", "x2", "x3"]
 
@@ -273,3 +274,24 @@ def test_no_class_is_left_out(spark):
     ready = M.prepare(s, "kind", ["x"], axis.in_range(0, 2600), M.FitConfig(task=scores.CLASSIFICATION, fold_selection=False))
     assert ready.classes == list(range(1200)) and ready.frame.count() == 2600
     assert ready.frame.where("label <> ord % 1200").count() == 0
+
+
+def test_classifier_leaderboard_trains_at_the_operators_own_settings(spark, tmp_path, monkeypatch):
+    """No learner, fold or selection is made smaller than the operators' defaults."""
+    spark.createDataFrame([(i, f"text {i}", 6 + i % 9, "en" if i % 3 else "fr", f"s{i % 2}") for i in range(40)],
+                          "doc_id bigint, text string, n_chars bigint, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    asked = []
+
+    class Trained:
+        leaderboard = spark.createDataFrame([("none", 0.0)], "model string, fit_seconds double")
+
+    monkeypatch.setattr(T, "train_all", lambda *given: asked.append(given) or Trained)
+    catalog.classifier_leaderboard(spark, str(tmp_path))
+    names, cfg = asked[0][4], asked[0][5]
+    assert cfg.split == SP.SplitConfig() and cfg.fit == M.FitConfig(task=scores.CLASSIFICATION)
+    ctx = M.FitContext(scores.CLASSIFICATION, 40, 0.5, 5, 2)
+    made = {n: M.ZOO[n].build(ctx, cfg.params.get(n, {})) for n in names}
+    assert len(made) == 7 and made["GradientBoosting"].getMaxIter() == 400 and made["RandomForest"].getNumTrees() == 400
+    assert made["MLP"].layers == [5, 128, 64, 2] and made["MLP"].max_iter == 600
+    assert made["SVM"].getStages()[-1].getMaxIter() == 200
