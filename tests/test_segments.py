@@ -5,7 +5,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tests.conftest import as_series, pandas_of, walk
-from tideframe.operators import linkage, neighbours, segments as U
+from tideframe.operators import leaves, linkage, neighbours, segments as U
 
 
 @pytest.fixture(scope="module")
@@ -159,6 +159,45 @@ def test_cluster_scores_in_blocks(spark, monkeypatch):
         assert got["calinski_harabasz"] == pytest.approx(whole["calinski_harabasz"])
 
 
+@pytest.mark.parametrize("dims", [2, 20])
+def test_silhouette_beyond_the_centres_that_are_sent(spark, monkeypatch, dims):
+    """The same silhouette by nearest neighbours as by definition and as Spark's: noise, a cluster of
+    one row, clusters of one centre, and a vector that lies in two clusters."""
+    rng = np.random.default_rng(dims)
+    label = np.append(rng.integers(0, 9, 300), [-1] * 10)
+    x = rng.normal(size=(310, dims)) + np.maximum(label, 0)[:, None]
+    near, far = x[0] + 3, x[0] - 3
+    x = np.vstack([x, x[[0, 0]], near[None] + 20, [near, far, near, far], [x[1]] * 3])
+    label = np.append(label, [(label[0] + 1) % 9, (label[0] + 2) % 9, 9, 10, 10, 11, 11, 12, 12, 12])
+    df = spark.createDataFrame([(Vectors.dense(v), int(c)) for v, c in zip(x, label)], ["features", "cluster"])
+    spark_s = U.cluster_metrics(df)["silhouette"]
+    monkeypatch.setattr(U, "CENTRE_SENT", 5)
+    got = U.cluster_metrics(df)
+    x, label = x[label >= 0], label[label >= 0]
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    s = []
+    for i, c in enumerate(label):
+        b = min(d[i, label == o].mean() for o in set(label) - {c})
+        a = d[i, label == c].sum() / max((label == c).sum() - 1, 1)
+        s.append((b - a) / max(a, b) if (label == c).sum() > 1 and a != b else 0.0)
+    assert got["n_clusters"] == 13 and got["silhouette"] == pytest.approx(np.mean(s)) and spark_s == pytest.approx(np.mean(s))
+
+
+def test_boxes_where_tasks_have_no_rows(spark, monkeypatch):
+    """A large file is read in more tasks than it has row groups; the others are empty."""
+    monkeypatch.setattr(leaves, "LEAF_ROWS", 60)
+    monkeypatch.setattr(leaves, "LEAST", 2)
+    x = np.random.default_rng(4).normal(size=(400, 20))
+    base = spark.createDataFrame([(i, 1.0, v.tolist()) for i, v in enumerate(x)], "pid bigint, weight double, vec array<double>").coalesce(1)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+    try:
+        placed, tree = leaves.grown(base)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert placed.count() == 400 and tree.table.agg(F.sum("n")).first()[0] == 400
+
+
 def single_linkage(x, k):
     """Label per row: clusters merge by their nearest members until k are left."""
     d = distances(np.unique(x, axis=0))

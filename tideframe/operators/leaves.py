@@ -115,6 +115,8 @@ def grown(base: DataFrame, seed: int = 42) -> tuple[DataFrame, Leaves] | None:
             hi[own] = np.fmax(hi[own], np.fmax.reduceat(rows[order], first))
             held += np.bincount(at, minlength=many)
         own = np.flatnonzero(held)
+        if not len(own):        # a task without rows; an empty column of lists has no type
+            return
         yield pd.DataFrame({"cell": own, "n": held[own], "lo": list(lo[own]), "hi": list(hi[own])})
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:

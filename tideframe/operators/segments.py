@@ -61,7 +61,8 @@ PARTITIONS = {
 
 
 MEASURES = ("n_clusters", "noise_ratio", "silhouette", "davies_bouldin", "calinski_harabasz")
-CENTRE_CELLS = 2_000_000        # numbers in centres that may be broadcast: 16 MB
+CENTRE_SENT = 2_000_000         # numbers in centres that may be broadcast: 16 MB
+CENTRE_CELLS: int | None = None     # a caller's own bound on them, beyond which the silhouette is left out; none unless set
 CENTRE_BLOCK = 512
 SALTS = 64
 
@@ -99,14 +100,39 @@ def _worst_neighbours(spread: DataFrame, clusters: int) -> DataFrame:
         .applyInPandas(worst, "cluster bigint, worst double").groupBy("cluster").agg(F.max("worst").alias("worst"))
 
 
+def _silhouette(placed: DataFrame, spread: DataFrame, clusters: int) -> float:
+    """The mean squared-Euclidean silhouette of rows (cluster, v, sq), with no centres sent to tasks.
+
+    A row's mean squared distance to a cluster is that to its centre and the cluster's variance: the
+    squared distance to the centre lengthened by the standard deviation. So the nearest other cluster
+    is the nearer of a row's two nearest among these, or the one left without its own.
+    """
+    around = F.sqrt(F.col("sq") / F.col("n"))
+    points = neighbours.merged(spread.select(F.concat("centre", F.array(around)).alias("vec"), "cluster"),
+                               {"low": F.min("cluster"), "high": F.max("cluster")})
+    base, cells = neighbours.build_cells(points)
+    rows = placed.select("cluster", "sq", F.concat("v", F.array(F.lit(0.0))).alias("vec"))
+    asked = neighbours.merged(rows.select("vec"), {})
+    near = neighbours.knn(asked, base, cells, 2, {"low": "bigint", "high": "bigint"}) \
+        .groupBy("pid").agg(F.collect_list(F.struct("dist", "low", "high")).alias("near"))
+    answers = staging.store(asked.join(near, "pid").select("vec", "weight", "near"), "near_centres")
+    other = F.filter("near", lambda c: (c["low"] != F.col("cluster")) | (c["high"] != F.col("cluster")))
+    met = neighbours.matched(rows, answers, ["near"]) \
+        .select("cluster", "sq", F.col("vec").alias("v"), F.pow(F.array_min(F.transform(other, lambda c: c["dist"])), 2).alias("b"))
+    sums = spread.select("cluster", "n", F.col("sq").alias("all"))
+    a = (F.col("sq") + F.col("all") / F.col("n")) * F.col("n") / (F.col("n") - 1)
+    s = F.when((F.col("n") == 1) | (F.col("a") == F.col("b")), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return _with_centres(met, sums, clusters <= neighbours.FEW).withColumn("a", F.when(F.col("n") > 1, a)).agg(F.avg(s)).first()[0]
+
+
 def cluster_metrics(df: DataFrame) -> dict[str, float | None]:
     """Quality of (features, cluster); noise (-1) is left out. No sampling.
 
     Davies-Bouldin and Calinski-Harabasz need the centres and two sums per cluster, which stay a
     table; the driver sees their totals alone. Fewer than two clusters or ten rows have no quality,
     and two clusters of one centre have a Davies-Bouldin of infinity (0 when both are points). The
-    silhouette is the squared-Euclidean one, for which Spark sends all centres to every task: it is
-    left out when these are more than CENTRE_CELLS numbers.
+    silhouette is the squared-Euclidean one, for which Spark sends all centres to every task; when
+    these are more than CENTRE_SENT numbers, rows meet them as nearest neighbours, to the same value.
     """
     v = vector_to_array("features").alias("v")
     shape = df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("cluster") >= 0).alias("n"),
@@ -119,13 +145,17 @@ def cluster_metrics(df: DataFrame) -> dict[str, float | None]:
         "n_clusters": k, "noise_ratio": (shape["rows"] - n) / shape["rows"] if shape["rows"] else 0.0}
     if k < 2 or n < 10:
         return out
-    small = k * shape["d"] <= CENTRE_CELLS
+    cells = k * shape["d"]
+    asked = CENTRE_CELLS is None or cells <= CENTRE_CELLS
+    small = asked and cells <= CENTRE_SENT
 
     def squares(a: str, b: str):
         return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda total, x: total + x)
 
     placed = _with_centres(kept.select(F.col("cluster").cast("long").alias("cluster"), v), centres, small) \
-        .select("cluster", squares("v", "centre").alias("sq"))
+        .select("cluster", "v", squares("v", "centre").alias("sq"))
+    if asked and not small:
+        placed = staging.store(placed, "placed")        # read again for the silhouette
     reach = placed.groupBy("cluster").agg(F.avg(F.sqrt("sq")).alias("s"), F.sum("sq").alias("sq"))
     spread = staging.store(centres.join(reach, "cluster"), "spread")
     overall = np.array([r["m"] for r in spread.select(F.posexplode("centre").alias("i", "x"), "n").groupBy("i")
@@ -135,7 +165,8 @@ def cluster_metrics(df: DataFrame) -> dict[str, float | None]:
                                                 F.sum("sq").alias("within")).first()
     out["davies_bouldin"] = _worst_neighbours(spread, k).agg(F.avg("worst")).first()[0]
     out["calinski_harabasz"] = total["between"] * (n - k) / (total["within"] * (k - 1)) if total["within"] > 0 else 1.0
-    out["silhouette"] = float(ClusteringEvaluator(predictionCol="cluster").evaluate(kept)) if small else None
+    if asked:
+        out["silhouette"] = float(ClusteringEvaluator(predictionCol="cluster").evaluate(kept)) if small else _silhouette(placed, spread, k)
     return out
 
 
